@@ -1,8 +1,8 @@
 """All queries of this subpackage and their SQL."""
 
-from findwell.llm import encode, leaks, neighbours, split
+from findwell.llm import encode, fuse_scores, leaks, neighbours, spans, split, terms
 
-MODULES = [split, neighbours, encode, leaks]
+MODULES = [split, fuse_scores, terms, neighbours, encode, leaks, spans]
 
 
 def queries() -> dict:
