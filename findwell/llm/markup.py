@@ -44,7 +44,7 @@ def tidy(text: str) -> str:
 _SIGNS = {
     "html": re.compile(r"</?(?:html|body|p|div|h[1-6]|ul|ol|li|table|span|a|b|em|strong)\b[^<>]*>", re.I),
     "latex": re.compile(r"\\(?:documentclass|begin\{|end\{|(?:sub)*section\b|chapter\b|emph\{|text(?:bf|tt|it)\{|href\{|item\b|underline\{)"),
-    "wiki": re.compile(r"^(={2,6})(?!=)[^\n]*[^=\s][ \t]*\1[ \t]*$|'''|\[\[|<ref\b|\{\{|^\{\||<math>|<(?:syntaxhighlight|source)\b|\[https?://\S+ |^\*(?![* \n])[^*\n]*$|^\*\*+[^*\n]*$|^#+ ?[^\n]*\n#+ ?[^#\n]", re.M),
+    "wiki": re.compile(r"^(={2,6})(?!=)[^\n]*[^=\s][ \t]*\1[ \t]*$|'''|\[\[|<ref\b|\{\{|^\{\||<math>|<(?:syntaxhighlight|source)\b|\[https?://\S+ |^\*(?![* \n])[^*\n]*$|^\*\*+[^*\n]+$|^#+ ?[^\n]*\n#+ ?[^#\n]", re.M),
     "markdown": re.compile(r"^(?:`{3,}|~{3,})|\*\*[^*\n]+\*\*|\]\([^()\n]*\)|^[^\n]*\S\n(?:={3,}|-{3,})[ \t]*$|^#{1,6} [^\n]*\n(?:\n|\Z)|(?<!\w)__\w|~~|^> |^[-+] |^\d+\. |`[^`\n]+`|^    \S", re.M),
 }
 
@@ -164,7 +164,7 @@ class _Html(HTMLParser):
 
 def read_html(text: str) -> list[Block]:
     parser = _Html()
-    parser.feed(text)
+    parser.feed(re.sub(r"<[/!]?[A-Za-z][^<>]*\Z", "", text))  # a tag cut off at the end shows nothing
     parser.close()
     parser.flush()
     while parser.open:

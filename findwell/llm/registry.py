@@ -1,8 +1,8 @@
 """All queries of this subpackage and their SQL."""
 
-from findwell.llm import encode, fuse_scores, leaks, near_copies, neighbours, spans, split, terms
+from findwell.llm import encode, fuse_scores, leaks, markup, near_copies, neighbours, spans, split, terms
 
-MODULES = [split, near_copies, fuse_scores, terms, neighbours, encode, leaks, spans]
+MODULES = [split, near_copies, fuse_scores, terms, markup, neighbours, encode, leaks, spans]
 
 
 def queries() -> dict:
