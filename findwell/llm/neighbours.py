@@ -210,9 +210,15 @@ def unit_vectors(df: DataFrame, key: str, vector: str, dim: int) -> DataFrame:
     return units.select("id", F.xxhash64("id").alias("rid"), "unit")
 
 
-def fit_forest(units: DataFrame, dim: int, sample: int = SAMPLE, **shape) -> Forest:
-    """The forest of the ``sample`` vectors whose ids hash lowest: bounded, and the same every time."""
-    rows = units.select("rid", "unit").orderBy("rid", "unit").limit(sample).collect()
+def fit_forest(df: DataFrame, key: str, vector: str, dim: int, sample: int = SAMPLE, **shape) -> Forest:
+    """The forest of at most ``sample`` vectors, those whose ids hash lowest: the same every time.
+
+    Rows are thinned by the hash before anything is sent, so that the driver gets about the sample
+    and not as much from every partition.
+    """
+    share = min(1 << 30, int((1 << 30) * 1.1 * sample / max(1, df.count())) + 1)
+    thin = df.where(F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(1 << 30)) < share)
+    rows = unit_vectors(thin, key, vector, dim).select("rid", "unit").orderBy(F.pmod("rid", F.lit(1 << 30)), "unit").limit(sample).collect()
     x = np.frombuffer(b"".join(r["unit"] for r in rows), dtype=np.float32).reshape(-1, dim)
     return Forest(x, **shape)
 
@@ -229,7 +235,7 @@ def similar_vectors(df: DataFrame, key: str, vector: str, dim: int = DIM, thresh
         raise ValueError("either a threshold or top is needed")
     spark = df.sparkSession
     units = unit_vectors(df, key, vector, dim)
-    forest = spark.sparkContext.broadcast(fit_forest(units, dim, sample, **shape))
+    forest = spark.sparkContext.broadcast(fit_forest(df, key, vector, dim, sample, **shape))
     asks = F.lit(True) if asking is None else F.coalesce(asking, F.lit(False))
     packs = units.select("rid", "unit", asks.alias("asks")).mapInArrow(_leaf_udf(forest, probes, asking is not None), "leaf int, keys binary, flags binary, bytes binary")
     met = packs.groupBy("leaf").applyInArrow(_meet_udf(dim, None if threshold is None else threshold - slack, top and 3 * top), "a bigint, b bigint, near float")
