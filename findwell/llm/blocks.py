@@ -29,6 +29,30 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
+def shorten(tokens: np.ndarray) -> bytes:
+    """Hashes whose lowest 16 bits are 0 as six bytes each."""
+    return tokens.astype("<u8").view(np.uint8).reshape(-1, 8)[:, 2:].tobytes()
+
+
+def lengthen(blob: bytes) -> np.ndarray:
+    """The hashes of :func:`shorten`."""
+    out = np.zeros((len(blob) // 6, 8), dtype=np.uint8)
+    out[:, 2:] = np.frombuffer(blob, dtype=np.uint8).reshape(-1, 6)
+    return out.reshape(-1).view("<u8").astype(np.uint64, copy=False)
+
+
+def pack_counts(counts: np.ndarray) -> bytes:
+    """Positive counts as one byte each, those of 255 and more in full behind them."""
+    return np.minimum(counts, 255).astype(np.uint8).tobytes() + counts[counts >= 255].astype("<i8").tobytes()
+
+
+def unpack_counts(blob: bytes, n: int) -> np.ndarray:
+    """The ``n`` counts of :func:`pack_counts`."""
+    out = np.frombuffer(blob, dtype=np.uint8, count=n).astype(np.int64)
+    out[out == 255] = np.frombuffer(blob, dtype="<i8", offset=n)
+    return out
+
+
 class WordHashes(dict):
     """64-bit hashes of words, remembered."""
 
@@ -39,7 +63,9 @@ class WordHashes(dict):
         return h
 
 
-def _send_udf(tokens_of, bits):
+def _send_udf(tokens_of, bits, short):
+    pack = shorten if short else lambda t: t.tobytes()
+
     def run(batches):
         for batch in batches:
             for i in range(batch.num_rows):
@@ -47,40 +73,46 @@ def _send_udf(tokens_of, bits):
                 edges = np.searchsorted(tokens, np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits)) if bits else []
                 edges = [0, *edges, len(tokens)]
                 full = [k for k in range(1 << bits) if edges[k] < edges[k + 1]]
-                parts = [[a[edges[k] : edges[k + 1]].tobytes() for k in full] for a in (tokens, counts.astype(np.int32))]
+                parts = [[pack(tokens[edges[k] : edges[k + 1]]) for k in full], [pack_counts(counts[edges[k] : edges[k + 1]]) for k in full]]
                 yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([block] * len(full), pa.int64()), *[pa.array(p, pa.binary()) for p in parts]], names=["range", "block", "tokens", "counts"])
 
     return run
 
 
-def _add_up(table):
-    tokens = [np.frombuffer(b, dtype=np.uint64) for b in table.column("tokens").to_pylist()]
-    counts = np.frombuffer(b"".join(table.column("counts").to_pylist()), dtype=np.int32)
-    inverse = np.unique(np.concatenate(tokens), return_inverse=True)[1]
-    total = np.bincount(inverse, weights=counts)[inverse].astype(np.int64)
-    edges = np.cumsum([0, *[len(t) for t in tokens]])
-    blobs = [total[a:b].tobytes() for a, b in zip(edges, edges[1:])]
-    return pa.table({"block": table.column("block"), "range": table.column("range"), "totals": pa.array(blobs, pa.binary())})
+def _add_udf(short):
+    unpack = lengthen if short else lambda b: np.frombuffer(b, dtype=np.uint64)
+
+    def add_up(table):
+        tokens = [unpack(b) for b in table.column("tokens").to_pylist()]
+        counts = np.concatenate([unpack_counts(b, len(t)) for b, t in zip(table.column("counts").to_pylist(), tokens)])
+        inverse = np.unique(np.concatenate(tokens), return_inverse=True)[1]
+        total = np.bincount(inverse, weights=counts)[inverse].astype(np.int64)
+        edges = np.cumsum([0, *[len(t) for t in tokens]])
+        blobs = [pack_counts(total[a:b]) for a, b in zip(edges, edges[1:])]
+        sizes = pa.array(np.diff(edges).astype(np.int32))
+        return pa.table({"block": table.column("block"), "range": table.column("range"), "n": sizes, "totals": pa.array(blobs, pa.binary())})
+
+    return add_up
 
 
-def with_totals(blocks: DataFrame, tokens_of, size: str) -> DataFrame:
+def with_totals(blocks: DataFrame, tokens_of, size: str, short: bool = False) -> DataFrame:
     """``blocks`` with totals: for each token of the block, how many texts of all blocks hold it.
 
     ``tokens_of(batch, i)`` gives the number of block ``i`` of a batch, its distinct token hashes in
     ascending order and the number of its texts that hold each; column ``size`` is about how
-    many tokens it has. ``blocks`` must give the same rows each time it is read.
+    many tokens it has. Hashes whose lowest 16 bits are 0 may be sent ``short``. ``blocks`` must give the same rows each time it is read.
     """
     amount = blocks.agg(F.sum(size)).collect()[0][0] or 0
     bits = max(4, int(np.ceil(np.log2(max(1, amount / RANGE_TOKENS)))))
-    sent = blocks.mapInArrow(_send_udf(tokens_of, bits), "range int, block bigint, tokens binary, counts binary")
-    added = sent.groupBy("range").applyInArrow(_add_up, "block bigint, range int, totals binary")
-    reply = added.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("range", "totals"))).alias("__t"))
-    return blocks.join(reply, "block").withColumn("totals", F.col("__t.totals")).drop("__t")
+    sent = blocks.mapInArrow(_send_udf(tokens_of, bits, short), "range int, block bigint, tokens binary, counts binary")
+    added = sent.groupBy("range").applyInArrow(_add_udf(short), "block bigint, range int, n int, totals binary")
+    reply = added.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("range", "n", "totals"))).alias("__t"))
+    return blocks.join(reply, "block").withColumn("totals", F.transform("__t", lambda t: F.struct(t["n"].alias("n"), t["totals"].alias("counts")))).drop("__t")
 
 
 def totals_of(batch, i) -> np.ndarray:
     """The totals of block ``i``, in the order of its tokens."""
-    return np.frombuffer(b"".join(batch.column("totals")[i].as_py()), dtype=np.int64)
+    return np.concatenate([unpack_counts(t["counts"], t["n"]) for t in batch.column("totals")[i].as_py()] or [np.zeros(0, dtype=np.int64)])
 
 
 def numbers(batch, name: str, i: int, kind) -> np.ndarray:

@@ -4,9 +4,9 @@ A record is the set of its sequences of ``shingle`` words. Sequences are ordered
 records hold them, rarest first. Two sets with ``threshold`` of their union in common have at
 least k sequences in common among the first n - ceil(threshold * n) + k of each (extended
 prefix). Which of them are looked up depends on their class: a rare sequence alone; common ones in
-pairs, of which at least one isn't very common; very common ones in triples. With k = 3 every
-similar pair meets in one of the three, while no list of a key grows with the frequent sequences.
-All pairs that meet are verified on their whole sets.
+pairs, of which at least one isn't very common; very common ones in triples. Whatever the classes
+of k common sequences, they make a certain least number of common keys, so pairs that meet under
+fewer keys are dropped at once. All others are verified on their whole sets.
 
 Records of equal sets are one class until the end, so exact copies never meet as pairs before. The
 counts that order the sequences are exact and cover all current records.
@@ -25,15 +25,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from findwell.llm.arrow import list_array, slices
-from findwell.llm.blocks import WORD, WordHashes, mix, numbers, totals_of, with_totals
+from findwell.llm.blocks import WORD, WordHashes, lengthen, mix, numbers, shorten, totals_of, with_totals
 from findwell.operators.state import current_rows
 from findwell.plans.scratch import materialize
 
 SHINGLE, THRESHOLD, LEAST_WORDS = 5, 0.8, 20
 RARE, COMMON = 16, 1024
 BLOCK_WORDS = 400_000
-_K = 3
-_BLOCK = "block bigint, ids array<string>, classes array<bigint>, sizes array<int>, lengths array<int>, words array<int>, vocabulary array<bigint>, size bigint"
+K = 6
+_KEPT = ~np.uint64(0xFFFF)  # hashes of 48 bits: two of a record's sequences are confused once in 10**10 records
+_BLOCK = "block bigint, ids array<string>, classes array<bigint>, sizes array<int>, lengths array<int>, words binary, wide boolean, vocabulary array<bigint>, size bigint"
+
+
+def least_keys(k: int) -> int:
+    """The least number of common keys of two sets that have ``k`` sequences of any classes in common."""
+    splits = [(r, m, k - r - m) for r in range(k + 1) for m in range(k + 1 - r)]
+    return min(r + m * (m - 1) // 2 + m * v + v * (v - 1) * (v - 2) // 6 for r, m, v in splits)
 
 
 def shingle_hashes(words: np.ndarray, lengths: np.ndarray, shingle: int) -> tuple[np.ndarray, np.ndarray]:
@@ -51,7 +58,7 @@ def shingle_hashes(words: np.ndarray, lengths: np.ndarray, shingle: int) -> tupl
         total += np.where(left > i, mix(padded[i : i + len(words)] * factor + np.uint64(i)), np.uint64(0))
     first = np.arange(len(words)) == (ends - lengths)[text]
     keep = (left >= shingle) | (first & (lengths[text] < shingle))
-    text, total = text[keep], mix(total[keep])
+    text, total = text[keep], mix(total[keep]) & _KEPT
     order = np.lexsort((total, text))
     text, total = text[order], total[order]
     new = np.ones(len(text), dtype=bool)
@@ -80,9 +87,10 @@ def _pack_udf(shingle, least_words):
             edges = np.concatenate([[0], np.cumsum(sizes)])
             classes = [_class_of(tokens[a:b]) for a, b in zip(edges, edges[1:])]
             vocabulary, local = np.unique(words, return_inverse=True)
+            wide = len(vocabulary) > 1 << 16
             columns = [
                 pa.array([part << 32 | number], pa.int64()), list_array([len(ids)], pa.array(ids, pa.string()), pa.string()), list_array([len(ids)], classes, pa.int64()),
-                list_array([len(ids)], sizes, pa.int32()), list_array([len(ids)], lengths, pa.int32()), list_array([len(local)], local.astype(np.int32), pa.int32()),
+                list_array([len(ids)], sizes, pa.int32()), list_array([len(ids)], lengths, pa.int32()), pa.array([local.astype(np.uint32 if wide else np.uint16).tobytes()], pa.binary()), pa.array([wide]),
                 list_array([len(vocabulary)], vocabulary.view(np.int64), pa.int64()), pa.array([len(tokens)], pa.int64()),
             ]
             return pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in _BLOCK.split(", ")])
@@ -105,7 +113,8 @@ def _pack_udf(shingle, least_words):
 
 def _block_tokens(batch, i, shingle):
     vocabulary = numbers(batch, "vocabulary", i, np.int64).view(np.uint64)
-    return shingle_hashes(vocabulary[numbers(batch, "words", i, np.int64)], numbers(batch, "lengths", i, np.int64), shingle)
+    words = np.frombuffer(batch.column("words")[i].as_py(), dtype=np.uint32 if batch.column("wide")[i].as_py() else np.uint16)
+    return shingle_hashes(vocabulary[words], numbers(batch, "lengths", i, np.int64), shingle)
 
 
 def _tokens_of(shingle):
@@ -121,12 +130,12 @@ def _combined(hashes: np.ndarray) -> np.ndarray:
     return mix(mix(hashes).sum(axis=1, dtype=np.uint64) + np.uint64(hashes.shape[1]))
 
 
-def prefix_keys(tokens: np.ndarray, df: np.ndarray, n: int, rare: int, common: int) -> np.ndarray:
-    """The keys under which a set of ``n`` tokens is looked up; ``tokens`` is its prefix, with their df."""
+def prefix_keys(tokens: np.ndarray, df: np.ndarray, small: bool, rare: int, common: int) -> np.ndarray:
+    """The keys under which a set is looked up; ``tokens`` is its prefix, with their df."""
     here = df > 1  # what one record alone holds meets nothing
     tokens, df = tokens[here], df[here]
-    low = (df <= rare) | (n <= 5)  # so few tokens may share fewer than three
-    keys = [_combined(tokens[low][:, None])]
+    alone = (df <= rare) | small  # two small sets may share fewer than k tokens
+    keys = [_combined(tokens[alone][:, None])]
     some, many = tokens[(df > rare) & (df <= common)], tokens[df > common]
     if len(some) > 1:
         keys.append(_combined(np.array(list(combinations(some, 2)), dtype=np.uint64)))
@@ -147,13 +156,11 @@ def _keys_udf(shingle, threshold, rare, common):
                 tokens, df = tokens[order], df[order]
                 classes, sizes = numbers(batch, "classes", i, np.int64), numbers(batch, "sizes", i, np.int64)
                 starts = np.cumsum(sizes) - sizes
-                shown: dict[int, int] = {}
+                chosen = np.sort(numbers(batch, "chosen", i, np.int64))
                 keys, cls, size = [], [], []
-                for c, n, at in zip(classes.tolist(), sizes.tolist(), starts.tolist()):
-                    if shown.setdefault(c, at) != at:
-                        continue  # a copy within the block
-                    p = min(n, n - int(np.ceil(threshold * n - 1e-9)) + _K)
-                    found = prefix_keys(tokens[at : at + p], df[at : at + p], n, rare, common)
+                for c, n, at in zip(classes[chosen].tolist(), sizes[chosen].tolist(), starts[chosen].tolist()):
+                    p = min(n, n - int(np.ceil(threshold * n - 1e-9)) + K)
+                    found = prefix_keys(tokens[at : at + p], df[at : at + p], n * threshold <= 2 * K, rare, common)
                     keys.append(found), cls.append(np.full(len(found), c)), size.append(np.full(len(found), n, dtype=np.int32))
                 if keys:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(cls)), pa.array(np.concatenate(size))], names=["key", "cls", "n"])
@@ -170,7 +177,7 @@ def _sets_udf(shingle):
                 ends = np.cumsum(sizes)
                 for cut in range(0, len(batch.column("needed")[i]), 1000):
                     needed = np.sort(numbers(batch, "needed", i, np.int64))[cut : cut + 1000]
-                    blobs = [tokens[ends[k] - sizes[k] : ends[k]].tobytes() for k in needed]
+                    blobs = [shorten(tokens[ends[k] - sizes[k] : ends[k]]) for k in needed]
                     yield pa.RecordBatch.from_arrays([pa.array(numbers(batch, "classes", i, np.int64)[needed]), pa.array(blobs, pa.binary())], names=["cls", "tokens"])
 
     return run
@@ -181,7 +188,7 @@ def _similar_udf(threshold):
         for batch in slices(batches, 2048):
             kept, share = [], []
             for k, (a, b) in enumerate(zip(batch.column("set_a").to_pylist(), batch.column("set_b").to_pylist())):
-                x, y = np.frombuffer(a, dtype=np.uint64), np.frombuffer(b, dtype=np.uint64)
+                x, y = lengthen(a), lengthen(b)
                 both = np.concatenate([x, y])
                 both.sort()
                 common = int((both[1:] == both[:-1]).sum())
@@ -204,16 +211,19 @@ def near_copies(records: DataFrame, shingle: int = SHINGLE, threshold: float = T
     rows = records.where(F.col("id").isNotNull()).select("id", "title", "content")
     blocks = materialize(rows.mapInArrow(_pack_udf(shingle, least_words), _BLOCK), "blocks")
     each = blocks.select("block", F.posexplode(F.arrays_zip("ids", "classes")).alias("at", "m")).select("block", "at", F.col("m.ids").alias("id"), F.col("m.classes").alias("cls"))
-    counted = with_totals(blocks.select("block", "classes", "sizes", "lengths", "words", "vocabulary", "size"), _tokens_of(shingle), "size")
-    keys = counted.mapInArrow(_keys_udf(shingle, threshold, rare, common), "key bigint, cls bigint, n int").distinct()
+    first = materialize(each.groupBy("cls").agg(F.min(F.struct("block", "at")).alias("w")).select("cls", "w.block", "w.at"), "classes")
+    chosen = first.groupBy("block").agg(F.collect_list("at").alias("chosen"))
+    counted = with_totals(blocks.select("block", "classes", "sizes", "lengths", "words", "wide", "vocabulary", "size"), _tokens_of(shingle), "size", short=True)
+    keys = counted.join(chosen, "block").mapInArrow(_keys_udf(shingle, threshold, rare, common), "key bigint, cls bigint, n int")
     a = keys.select("key", F.col("cls").alias("a"), F.col("n").alias("n_a"))
     b = keys.select("key", F.col("cls").alias("b"), F.col("n").alias("n_b"))
-    near = F.least("n_a", "n_b") >= threshold * F.greatest("n_a", "n_b") - 1e-9
-    pairs = materialize(a.join(b, "key").where((F.col("a") < F.col("b")) & near).select("a", "b").distinct(), "pairs")
+    small = F.least("n_a", "n_b")
+    met = a.join(b, "key").where((F.col("a") < F.col("b")) & (small >= threshold * F.greatest("n_a", "n_b") - 1e-9))
+    enough = F.count("*") >= F.min(F.least(F.lit(least_keys(K)), F.ceil(threshold * small - 1e-9)))
+    pairs = materialize(met.groupBy("a", "b").agg(enough.alias("enough")).where("enough").select("a", "b"), "pairs")
     asked = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct()
-    where = each.groupBy("cls").agg(F.min(F.struct("block", "at")).alias("w")).join(asked, "cls", "left_semi")
-    needed = where.groupBy("w.block").agg(F.collect_list("w.at").alias("needed"))
-    sets = blocks.select("block", "classes", "sizes", "lengths", "words", "vocabulary").join(needed, "block").mapInArrow(_sets_udf(shingle), "cls bigint, tokens binary")
+    needed = first.join(asked, "cls", "left_semi").groupBy("block").agg(F.collect_list("at").alias("needed"))
+    sets = blocks.select("block", "classes", "sizes", "lengths", "words", "wide", "vocabulary").join(needed, "block").mapInArrow(_sets_udf(shingle), "cls bigint, tokens binary")
     both = pairs.join(sets.select(F.col("cls").alias("a"), F.col("tokens").alias("set_a")), "a").join(sets.select(F.col("cls").alias("b"), F.col("tokens").alias("set_b")), "b")
     return each.select("id", "cls"), both.select("a", "b", "set_a", "set_b").mapInArrow(_similar_udf(threshold), "a bigint, b bigint, similarity double")
 
