@@ -1,8 +1,8 @@
 """The queries that the driver runs, with the SQL that DuckDB runs beside them."""
 
-from findwell.suite import changes
+from findwell.suite import changes, ranking, retrieval, scalars, storage
 
-MODULES = [changes]
+MODULES = [changes, scalars, retrieval, ranking, storage]
 
 
 def queries() -> dict:
