@@ -80,10 +80,12 @@ def component(ranks: DataFrame, scores: list[str], directions: list[int], prior:
     n = len(scores)
     pairs = [(i, j) for i in range(n) for j in range(i)]
     turned = [F.col(f"rank_{s}") * d for s, d in zip(scores, directions)]
-    row = ranks.agg(F.count(F.lit(1)), *[F.corr(turned[i], turned[j]) for i, j in pairs]).collect()[0] if pairs else []
+    moments = [F.stddev_pop(t) for t in turned] + [F.covar_pop(turned[i], turned[j]) for i, j in pairs]
+    row = [0.0 if m is None or np.isnan(m) else m for m in ranks.agg(*moments).collect()[0]]
     matrix = np.eye(n)
-    for (i, j), r in zip(pairs, row[1:]):
-        matrix[i, j] = matrix[j, i] = 0.0 if r is None or np.isnan(r) else r
+    for (i, j), together in zip(pairs, row[n:]):
+        if row[i] > 0 and row[j] > 0:  # a score that is the same everywhere goes with none
+            matrix[i, j] = matrix[j, i] = together / (row[i] * row[j])
     values, vectors = np.linalg.eigh((1 - prior) * matrix + prior * np.ones((n, n)))
     first = vectors[:, -1]
     first = first if first.sum() >= 0 else -first

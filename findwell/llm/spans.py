@@ -179,7 +179,26 @@ def common_stretches(a: str, b: str, meetings: list[tuple[int, int]], least: int
     return found
 
 
-_STRETCH = pa.struct([("start_a", pa.int32()), ("start_b", pa.int32()), ("length", pa.int32())])
+def reach(text: str, start: int, length: int, least: int) -> tuple[int, int]:
+    """What a shared stretch covers of a text: itself, and where the text goes on with its period, all
+    places that have an equal part of the least length."""
+    part = text[start : start + length]
+    period = part.find(part[: length - length // 2], 1)
+    if period < 0 or part[period:] != part[: length - period]:
+        return start, start + length
+    low, high = start, start + length
+    while low > 0 and text[low - 1] == text[low - 1 + period]:
+        low -= 1
+    while high < len(text) and text[high] == text[high - period]:
+        high += 1
+    starts = range(start, start + min(period, length - least + 1))
+    first = min(s - (s - low) // period * period for s in starts)
+    last = max(s + (high - least - s) // period * period for s in starts)
+    return min(first, start), max(last + least, start + length)
+
+
+_FIELDS = ["start_a", "start_b", "length", "from_a", "to_a", "from_b", "to_b"]
+_STRETCH = pa.struct([(f, pa.int32()) for f in _FIELDS])
 
 
 def _verify_udf(least):
@@ -189,7 +208,7 @@ def _verify_udf(least):
             for r in batch.to_pylist():
                 if found := common_stretches(r["text_a"], r["text_b"], [(m["a"], m["b"]) for m in r["meetings"]], least):
                     out_a.append(r["cls_a"]), out_b.append(r["cls_b"]), counts.append(len(found))
-                    flat += [{"start_a": x, "start_b": y, "length": n} for x, y, n in found]
+                    flat += [dict(zip(_FIELDS, (x, y, n, *reach(r["text_a"], x, n, least), *reach(r["text_b"], y, n, least)))) for x, y, n in found]
             yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64()), list_array(counts, pa.array(flat, _STRETCH), _STRETCH)], names=["cls_a", "cls_b", "stretches"])
 
     return run
@@ -211,7 +230,8 @@ def _meetings(signed: DataFrame) -> DataFrame:
 def shared_stretches(df: DataFrame, key: str, text: str, least: int = LEAST, gram: int = GRAM, hot: int = HOT) -> tuple[DataFrame, DataFrame]:
     """((key, cls) members, (cls_a, cls_b, stretches) for each pair of different texts that share).
 
-    ``stretches`` holds (start_a, start_b, length) in characters from 0, all of at least ``least``.
+    ``stretches`` holds (start_a, start_b, length) in characters from 0, all of at least ``least``,
+    and what each covers in either text (from, to): more than itself only in periodic parts.
     """
     if not 0 < gram < least:
         raise ValueError("gram must be under the least length")
@@ -227,7 +247,7 @@ def shared_stretches(df: DataFrame, key: str, text: str, least: int = LEAST, gra
     pairs = met.groupBy("cls_a", "cls_b").agg(F.collect_set(F.struct("a", "b")).alias("meetings"))
     both = pairs.join(texts.select(F.col("cls").alias("cls_a"), F.col("text").alias("text_a")), "cls_a")
     both = both.join(texts.select(F.col("cls").alias("cls_b"), F.col("text").alias("text_b")), "cls_b")
-    found = both.select("cls_a", "cls_b", "meetings", "text_a", "text_b").mapInArrow(_verify_udf(least), "cls_a bigint, cls_b bigint, stretches array<struct<start_a:int,start_b:int,length:int>>")
+    found = both.select("cls_a", "cls_b", "meetings", "text_a", "text_b").mapInArrow(_verify_udf(least), f"cls_a bigint, cls_b bigint, stretches array<struct<{','.join(f + ':int' for f in _FIELDS)}>>")
     return members, found
 
 
@@ -249,8 +269,8 @@ def shared_parts(df: DataFrame, key: str, text: str, **sizes) -> DataFrame:
     """
     members, found = shared_stretches(df, key, text, **sizes)
     s = found.select("cls_a", "cls_b", F.explode("stretches").alias("s"))
-    spans = s.select(F.col("cls_a").alias("cls"), F.col("s.start_a").alias("start"), (F.col("s.start_a") + F.col("s.length")).alias("end"))
-    spans = spans.unionByName(s.select(F.col("cls_b").alias("cls"), F.col("s.start_b").alias("start"), (F.col("s.start_b") + F.col("s.length")).alias("end")))
+    spans = s.select(F.col("cls_a").alias("cls"), F.col("s.from_a").alias("start"), F.col("s.to_a").alias("end"))
+    spans = spans.unionByName(s.select(F.col("cls_b").alias("cls"), F.col("s.from_b").alias("start"), F.col("s.to_b").alias("end")))
     w = Window.partitionBy("cls").orderBy("start", "end")
     new = F.greatest("start", F.coalesce(F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     covered = spans.distinct().withColumn("from", new).groupBy("cls").agg(F.sum(F.greatest(F.col("end") - F.col("from"), F.lit(0))).alias("part"))
