@@ -128,3 +128,9 @@ def p3_ranking(spark, d):
 
 
 QUERIES = {"p3_found": p3_found, "p3_ranking": p3_ranking}
+
+SQL = {
+    "p3_found": """WITH h AS (SELECT search_id, document_id, max(keyword_score) AS k, max(semantic_score) AS s, max(score) AS c FROM search_results WHERE search_id IS NOT NULL AND document_id IS NOT NULL GROUP BY ALL),
+  r AS (SELECT search_id, document_id, percent_rank() OVER (PARTITION BY search_id ORDER BY k NULLS FIRST) + percent_rank() OVER (PARTITION BY search_id ORDER BY s NULLS FIRST) + percent_rank() OVER (PARTITION BY search_id ORDER BY c NULLS FIRST) AS f FROM h)
+SELECT search_id, document_id FROM (SELECT *, row_number() OVER (PARTITION BY search_id ORDER BY round(f, 9) DESC, document_id) AS p FROM r) WHERE p = 1""",
+}

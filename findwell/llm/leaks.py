@@ -208,3 +208,14 @@ def p9_clean(spark, d):
 
 
 QUERIES = {"p9_found": p9_found, "p9_report": p9_report, "p9_clean": p9_clean}
+
+_HITS = r"""d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents WHERE doc_id IS NOT NULL),
+  b AS (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM benchmark WHERE item_id IS NOT NULL),
+  k AS (SELECT item_id, w, least(12, len(w)) AS k, unnest(range(len(w) - least(12, len(w)) + 1)) AS i FROM b WHERE len(w) > 0), g AS (SELECT DISTINCT item_id, k, array_to_string(w[i + 1 : i + k], ' ') AS g FROM k),
+  s AS (SELECT doc_id, w, k, unnest(range(len(w) - k + 1)) AS i FROM d, (SELECT DISTINCT k FROM k) WHERE len(w) >= k), h AS (SELECT DISTINCT doc_id, k, array_to_string(w[i + 1 : i + k], ' ') AS g FROM s),
+  hit AS (SELECT DISTINCT doc_id, item_id FROM h JOIN g USING (k, g))"""
+
+SQL = {
+    "p9_found": f"WITH {_HITS} SELECT doc_id, item_id FROM hit",
+    "p9_clean": f"WITH {_HITS} SELECT doc_id FROM documents WHERE doc_id IS NULL OR doc_id NOT IN (SELECT doc_id FROM hit)",
+}

@@ -257,3 +257,11 @@ def p2_links(spark, d):
 
 
 QUERIES = {"p2_found": p2_found, "p2_links": p2_links}
+
+SQL = {
+    "p2_found": r"""WITH cur AS (SELECT id, coalesce(title, '') AS title, content FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY coalesce(updated_at, created_at) DESC NULLS LAST) AS r FROM stored_documents WHERE id IS NOT NULL) WHERE r = 1),
+  w AS (SELECT id, regexp_extract_all(lower(title || chr(10) || coalesce(content, '')), '[\p{L}\p{N}]+') AS w FROM cur),
+  s AS (SELECT DISTINCT id, array_to_string(w[i + 1 : i + 3], ' ') AS g FROM (SELECT id, w, unnest(range(len(w) - 2)) AS i FROM w WHERE len(w) >= 20)),
+  n AS (SELECT id, count(*) AS n FROM s GROUP BY id), c AS (SELECT a.id AS id_a, b.id AS id_b, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.id < b.id GROUP BY ALL)
+SELECT id_a, id_b FROM c JOIN n x ON x.id = id_a JOIN n y ON y.id = id_b WHERE k >= 0.6 * (x.n + y.n - k)""",
+}

@@ -274,3 +274,9 @@ def p7_nearest(spark, d):
 
 
 QUERIES = {"p7_found": p7_found, "p7_nearest": p7_nearest}
+
+SQL = {
+    "p7_found": """WITH v AS (SELECT DISTINCT id, embedding::DOUBLE[] AS e FROM document_chunks WHERE id IS NOT NULL AND len(embedding) = 64
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0)
+SELECT DISTINCT a.id AS chunk_id_a, b.id AS chunk_id_b FROM v a JOIN v b ON a.id < b.id WHERE list_cosine_similarity(a.e, b.e) >= 0.9""",
+}

@@ -294,3 +294,12 @@ def p10_share(spark, d):
 
 
 QUERIES = {"p10_found": p10_found, "p10_share": p10_share}
+
+_WINDOWS = """w AS (SELECT doc_id, length(text) AS n, unnest(range(1, length(text) - 298)) AS i, text FROM documents WHERE length(text) >= 300 AND doc_id IS NOT NULL),
+  h AS (SELECT doc_id, n, i, md5(substr(text, i, 300)) AS h FROM w)"""
+
+SQL = {
+    "p10_found": f"WITH {_WINDOWS}, u AS (SELECT DISTINCT doc_id, h FROM h) SELECT DISTINCT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM u a JOIN u b ON a.h = b.h AND a.doc_id < b.doc_id",
+    "p10_share": f"""WITH {_WINDOWS}, m AS (SELECT h FROM h GROUP BY h HAVING count(DISTINCT doc_id) > 1), c AS (SELECT doc_id, n, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM h JOIN m USING (h))
+SELECT doc_id, n::BIGINT AS n_chars, sum(CASE WHEN before IS NULL THEN 300 ELSE least(300, i - before) END)::BIGINT AS shared_chars, sum(CASE WHEN before IS NULL THEN 300 ELSE least(300, i - before) END) / n::DOUBLE AS share FROM c GROUP BY doc_id, n""",
+}

@@ -146,3 +146,15 @@ def p1_topics(spark, d):
 
 
 QUERIES = {"p1_found": p1_found, "p1_topics": p1_topics}
+
+SQL = {
+    "p1_found": r"""WITH RECURSIVE cur AS (SELECT id, coalesce(title, '') AS title, content FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY coalesce(updated_at, created_at) DESC NULLS LAST) AS r FROM stored_documents WHERE id IS NOT NULL) WHERE r = 1),
+  w AS (SELECT id, regexp_extract_all(content, '[^ \t\r\n]+[ \t\r\n]*', 0) AS w FROM cur),
+  e AS (SELECT id, len(w) AS n, list_filter(range(len(w)), lambda i: length(w[i + 1]) - length(replace(w[i + 1], chr(10), '')) >= 2) AS pe,
+    list_filter(range(len(w)), lambda i: regexp_matches(w[i + 1], '[.!?]["'')\]]?[ \t\r\n]*$')) AS se FROM w WHERE len(w) > 200),
+  p AS (SELECT id, n, pe, se, 0 AS chunk_index, 0::BIGINT AS s,
+      CASE WHEN n <= 200 THEN n - 1 ELSE coalesce(list_max(list_filter(pe, lambda x: x BETWEEN 100 AND 199)), list_max(list_filter(se, lambda x: x BETWEEN 100 AND 199)), 199) END AS t FROM e
+    UNION ALL SELECT id, n, pe, se, chunk_index + 1, t - 19,
+      CASE WHEN n - (t - 19) <= 200 THEN n - 1 ELSE coalesce(list_max(list_filter(pe, lambda x: x BETWEEN t + 81 AND t + 180)), list_max(list_filter(se, lambda x: x BETWEEN t + 81 AND t + 180)), t + 180) END FROM p WHERE t < n - 1)
+SELECT id, chunk_index::INT AS chunk_index, s::INT AS first_word, t::INT AS last_word FROM p""",
+}

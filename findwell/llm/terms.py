@@ -12,7 +12,6 @@ terms counts in N and has no rows; a null title or content is an empty one. Ties
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 
 import numpy as np
@@ -26,14 +25,13 @@ from findwell.operators.state import current_rows
 from findwell.plans.scratch import materialize
 
 BLOCK_TERMS = 400_000
-_TERM = re.compile(r"[^\W\d_]{3,}")
 _SCHEMA = "block bigint, ids array<string>, held array<int>, lengths array<int>, terms array<int>, tf array<int>, words array<string>, size bigint, length_sum bigint, records bigint"
 
 
 def terms_of(title: str | None, content: str | None) -> Counter:
     """Term counts of a record."""
     words = map(str.lower, WORD.findall(f"{title or ''}\n{content or ''}"))
-    return Counter(filter(_TERM.fullmatch, words))
+    return Counter(w for w in words if len(w) >= 3 and w.isalpha())
 
 
 def _pack_udf(salt: int):
@@ -130,3 +128,14 @@ def p4_weights(spark, d):
 
 
 QUERIES = {"p4_found": p4_found, "p4_weights": p4_weights}
+
+_COUNTS = r"""cur AS (SELECT id, coalesce(title, '') AS title, content FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY coalesce(updated_at, created_at) DESC NULLS LAST) AS r FROM stored_documents WHERE id IS NOT NULL) WHERE r = 1),
+  t AS (SELECT id, unnest(regexp_extract_all(lower(title || chr(10) || coalesce(content, '')), '[\p{L}\p{N}]+')) AS term FROM cur),
+  tf AS (SELECT id, term, count(*)::INT AS tf FROM t WHERE regexp_full_match(term, '\p{L}{3,}') GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+  n AS (SELECT count(*) AS n, (SELECT sum(tf) FROM tf) / count(*)::DOUBLE AS av FROM cur), len AS (SELECT id, sum(tf) AS len FROM tf GROUP BY id)"""
+
+SQL = {
+    "p4_found": f"""WITH {_COUNTS}, w AS (SELECT id, term, df, round(tf * ln(n / df::DOUBLE), 6) AS w FROM tf JOIN df USING (term), n WHERE df > 1)
+SELECT id, term FROM (SELECT *, max(w) OVER (PARTITION BY id) AS m FROM w) WHERE w = m AND df BETWEEN 2 AND 8""",
+    "p4_weights": f"""WITH {_COUNTS} SELECT id, term, tf, df, round(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / av)), 6) AS weight FROM tf JOIN df USING (term) JOIN len USING (id), n""",
+}
