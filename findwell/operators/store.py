@@ -48,7 +48,11 @@ def counts(**tables: DataFrame) -> DataFrame:
 
 
 class Store:
-    """Tables of one folder. ``write`` adds a version of some of them, the others stay as they were."""
+    """Tables of one folder, each made of one or more folders of files.
+
+    ``write`` replaces some tables, ``append`` adds rows to some, so that additions cost what they
+    add and not what is there; the other tables stay as they were.
+    """
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
@@ -57,8 +61,8 @@ class Store:
         p = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
         return p, p.getFileSystem(self.spark._jsc.hadoopConfiguration())
 
-    def manifest(self) -> dict[str, str]:
-        """Table name -> folder of its current version."""
+    def manifest(self) -> dict[str, list[str]]:
+        """Table name -> folders of its current version."""
         p, fs = self._file("MANIFEST")
         if not fs.exists(p):
             return {}
@@ -70,15 +74,22 @@ class Store:
 
     def read(self, table: str) -> DataFrame | None:
         where = self.manifest().get(table)
-        return self.spark.read.parquet(where) if where else None
+        return self.spark.read.parquet(*where) if where else None
+
+    def append(self, tables: dict[str, DataFrame]) -> None:
+        """Add rows to tables, then show all of them at once."""
+        self._publish(tables, keep=True)
 
     def write(self, tables: dict[str, DataFrame]) -> None:
         """Write new versions, then show all of them at once."""
+        self._publish(tables, keep=False)
+
+    def _publish(self, tables: dict[str, DataFrame], keep: bool) -> None:
         current = self.manifest()
         for name, df in tables.items():
             where = f"{self.path}/{name}/{uuid.uuid4().hex}"
             df.write.parquet(where)
-            current[name] = where
+            current[name] = [*(current.get(name, []) if keep else []), where]
         new, fs = self._file(f"MANIFEST.{uuid.uuid4().hex}")
         out = fs.create(new, True)
         out.write(bytearray(json.dumps(current).encode()))
@@ -91,7 +102,7 @@ class Store:
 
     def vacuum(self) -> None:
         """Delete the versions that the manifest doesn't name; no reader may still be using them."""
-        kept = {w.rsplit("/", 1)[1] for w in self.manifest().values()}
+        kept = {w.rsplit("/", 1)[1] for folders in self.manifest().values() for w in folders}
         for table in self.manifest():
             p, fs = self._file(table)
             for status in fs.listStatus(p):

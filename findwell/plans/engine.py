@@ -58,7 +58,7 @@ class SearchEngine:
     def index(self, documents: DataFrame, as_of=None) -> None:
         """Add documents (title, content; id and metadata optional), replacing those of the same id.
 
-        A missing id is the hash of title and content. Texts are cleaned, cut into chunks and
+        New ids are appended; only a replacement rewrites the tables. A missing id is the hash of title and content. Texts are cleaned, cut into chunks and
         embedded, each distinct chunk once; all tables change together.
         """
         c, names = self.config.search, set(documents.columns)
@@ -76,6 +76,10 @@ class SearchEngine:
         chunks = parts.join(texts, "content").select("chunk_id", "document_id", "chunk_index", "content", "embedding")
         index = KeywordIndex.build(new)
         ids = new.select("id")
+        added = {"documents": new, "chunks": chunks, "postings": index.postings.repartition("term").sortWithinPartitions("field", "term"), "lengths": index.lengths}
+        if self.documents().select("id").join(ids, "id", "left_semi").isEmpty():
+            self.store.append(added)
+            return
         old = self.keyword_index().without(ids)
         self.store.write({
             "documents": delete(self.documents(), ids).unionByName(new),
@@ -84,6 +88,11 @@ class SearchEngine:
             "lengths": old.lengths.unionByName(index.lengths),
         })
 
+    def compact(self) -> None:
+        """Rewrite what many additions have left in many small folders, and delete the old files."""
+        self.store.write({name: self.store.read(name) for name in self.store.manifest()})
+        self.store.vacuum()
+
     def delete(self, ids: DataFrame) -> None:
         """Remove documents (id) from all tables; unknown ids don't matter."""
         ids = ids.select("id")

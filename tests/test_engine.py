@@ -102,6 +102,8 @@ def test_replace_delete_status(spark, engine):
     assert engine.status()["documents"] == len(TOPICS)
     with pytest.raises(KeyError):
         engine.get("extra")
+    engine.compact()
+    assert engine.status()["documents"] == len(TOPICS)
 
 
 def test_folder_is_followed(spark, tmp_path):

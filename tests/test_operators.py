@@ -179,6 +179,10 @@ def test_store_versions(spark, tmp_path):
     assert rows(s.read("t")) == [(2, "z")]
     s.vacuum()
     assert rows(s.read("t")) == [(2, "z")] and s.disk_bytes() > 0
+    s.append({"t": spark.createDataFrame([(3, "w")], "id int, v string"), "u": a})
+    assert rows(s.read("t")) == [(2, "z"), (3, "w")] and s.read("u").count() == 2
+    s.vacuum()
+    assert rows(s.read("t")) == [(2, "z"), (3, "w")]
 
 
 def test_query_settings():
