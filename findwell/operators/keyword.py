@@ -10,6 +10,8 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,6 +21,28 @@ K1, B = 1.2, 0.75
 FIELDS = ("title", "content")
 
 
+def _postings(batches):
+    """Postings of documents, each from its own row: an index is built without a shuffle."""
+    for batch in batches:
+        fields, owners = batch.column("field").to_pylist(), []
+        names, terms, positions, counts = [], [], [], []
+        for row, words in enumerate(batch.column("t").to_pylist()):
+            places: dict[str, list[int]] = {}
+            for at, word in enumerate(words):
+                places.setdefault(word, []).append(at)
+            terms.extend(places)
+            owners.extend([row] * len(places))
+            names.extend([fields[row]] * len(places))
+            counts.extend(map(len, places.values()))
+            for p in places.values():
+                positions.extend(p)
+        offsets = pa.array(np.concatenate([[0], np.cumsum(np.array(counts, dtype=np.int64))]).astype(np.int32))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(names, pa.string()), pa.array(terms, pa.string()), batch.column("id").take(pa.array(owners, pa.int64())), pa.array(counts, pa.int32()), pa.ListArray.from_arrays(offsets, pa.array(positions, pa.int32()))],
+            names=["field", "term", "id", "tf", "positions"],
+        )
+
+
 class KeywordIndex:
     """The index tables of a collection.
 
@@ -36,8 +60,8 @@ class KeywordIndex:
             F.struct(F.lit("content").alias("field"), tokens(F.coalesce(F.col(content), F.lit("")), stop_words).alias("t")),
         )
         fields = documents.where(F.col(key).isNotNull()).select(F.col(key).alias("id"), F.explode(text).alias("f")).select("id", "f.field", "f.t")
-        flat = fields.select("id", "field", F.posexplode("t").alias("position", "term"))
-        postings = flat.groupBy("field", "term", "id").agg(F.count(F.lit(1)).cast("int").alias("tf"), F.sort_array(F.collect_list("position")).alias("positions"))
+        kind = fields.schema["id"].dataType.simpleString()
+        postings = fields.mapInArrow(_postings, f"field string, term string, id {kind}, tf int, positions array<int>")
         return cls(postings, fields.select("field", "id", F.size("t").alias("len")))
 
     def write(self, path: str) -> "KeywordIndex":
@@ -115,12 +139,19 @@ def fuzzy_terms(index: KeywordIndex, wanted: DataFrame, fuzziness: int = 2) -> D
     Instead of comparing all pairs, terms meet under the strings that deleting up to ``fuzziness``
     characters leaves of them; two terms within that distance have one in common.
     """
-    left, right = deletions(wanted.select("term").distinct(), fuzziness), deletions(index.vocabulary(), fuzziness)
+    asked = wanted.select("term").distinct()
+    left, right = deletions(asked, fuzziness), deletions(of_near_length(index.vocabulary(), asked, fuzziness), fuzziness)
     near = left.withColumnRenamed("term", "asked").join(right, "stub").select("asked", "term").distinct()
     near = near.where(F.levenshtein("asked", "term", fuzziness) >= 0)
     return wanted.withColumnRenamed("term", "asked").join(near, "asked")
 
 
+def of_near_length(terms: DataFrame, asked: DataFrame, most: int) -> DataFrame:
+    """The terms whose length differs by at most ``most`` from that of any asked term; long junk is left out."""
+    sizes = asked.select(F.explode(F.sequence(F.length("term") - most, F.length("term") + most)).alias("__n")).distinct()
+    return terms.join(sizes, F.length("term") == F.col("__n"), "left_semi")
+
+
 def deletions(terms: DataFrame, most: int) -> DataFrame:
     """(term, stub): what is left of each term after deleting at most ``most`` characters."""
 

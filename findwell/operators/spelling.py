@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from findwell.functions.text import query_words
-from findwell.operators.keyword import deletions
+from findwell.operators.keyword import deletions, of_near_length
 
 
 def misspelled(terms: DataFrame, dictionary: DataFrame) -> DataFrame:
@@ -21,7 +21,8 @@ def suggest(terms: DataFrame, dictionary: DataFrame, distance: int = 2, frequenc
     Terms meet their neighbours by common deletions, not by comparison with the whole dictionary.
     """
     asked = deletions(terms.select("term").distinct(), distance).withColumnRenamed("term", "asked")
-    known = deletions(dictionary.where(F.col("df") >= frequency).select("term"), distance)
+    near_length = of_near_length(dictionary.where(F.col("df") >= frequency).select("term"), terms.select("term"), distance)
+    known = deletions(near_length, distance)
     near = asked.join(known, "stub").select("asked", "term").distinct().where(F.col("asked") != F.col("term"))
     near = near.withColumn("distance", F.levenshtein("asked", "term", distance)).where("distance >= 0")
     scored = near.join(dictionary, "term").withColumn("score", F.col("df") / (F.col("distance") + 1.0))

@@ -13,41 +13,66 @@ from findwell.functions.vectors import inner_product
 QUERIES_AT_ONCE = 4096
 
 
+def _exact(x: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Row-wise products in single precision, their sums in double: as the column expression does."""
+    return (x * q).astype(np.float64).sum(axis=1)
+
+
 def _scan_udf(ids, matrix: np.ndarray, k: int, kind: pa.DataType):
+    """The candidates of a task: one matrix product per batch, exact scores only near the k best."""
+    slack = 4e-7 * matrix.shape[1]  # bound on the error of a single-precision product of unit vectors
+    sizes = np.linalg.norm(matrix.astype(np.float64), axis=1)
+
     def run(batches):
-        kept_s = np.full((len(matrix), 0), 0.0)
-        kept_i = np.empty((len(matrix), 0), dtype=object)
+        import pyarrow.compute as pc
+
+        least = np.full(len(matrix), -np.inf)  # the k-th best exact score so far
+        q_kept, id_kept, s_kept = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=object), np.zeros(0)
         for batch in batches:
-            good = np.flatnonzero(np.asarray(pa.compute.equal(pa.compute.list_value_length(batch.column("v")), matrix.shape[1]).fill_null(False)))
-            if not len(good):
-                continue
-            x = np.asarray(batch.column("v").take(pa.array(good)).flatten().cast(pa.float64())).reshape(len(good), -1)
-            names = np.array(batch.column("id").take(pa.array(good)).to_pylist(), dtype=object)
-            for at in range(0, len(x), 4096):
-                part = x[at : at + 4096]
-                # Products in single precision, sums in double: as the row-wise expression does.
-                s = np.stack([(part.astype(np.float32) * q).astype(np.float64).sum(axis=1) for q in matrix])
-                s, i = np.concatenate([kept_s, s], axis=1), np.concatenate([kept_i, np.broadcast_to(names[at : at + 4096], (len(matrix), len(part)))], axis=1)
-                if s.shape[1] > k:
-                    cut = np.partition(-s, k - 1, axis=1)[:, k - 1 : k]
-                    width = int((-s <= cut).sum(axis=1).max())  # all that tie with the last stay
-                    order = np.argsort(-s, axis=1, kind="stable")[:, :width]
-                    s, i = np.take_along_axis(s, order, 1), np.take_along_axis(i, order, 1)
-                kept_s, kept_i = s, i
-        if kept_s.shape[1]:
-            n = kept_s.shape[1]
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(ids, dtype=object), n).tolist(), kind), pa.array(kept_i.ravel().tolist(), pa.string()), pa.array(kept_s.ravel())], names=["query_id", "id", "score"])
+            right = np.flatnonzero(np.asarray(pc.equal(pc.list_value_length(batch.column("v")), matrix.shape[1]).fill_null(False)))
+            x = np.asarray(batch.column("v").take(pa.array(right)).flatten().cast(pa.float32()).fill_null(float("nan"))).reshape(len(right), matrix.shape[1])
+            finite = np.isfinite(x).all(axis=1)
+            x, names = x[finite], batch.column("id").take(pa.array(right[finite]))
+            for at in range(0, len(x), 2048):
+                part = x[at : at + 2048]
+                near = part @ matrix.T
+                error = slack * np.linalg.norm(part.astype(np.float64), axis=1)[:, None] * sizes[None, :]
+                bar = least
+                if len(part) > k:
+                    bar = np.maximum(bar, np.partition(near - error, len(part) - k, axis=0)[len(part) - k])
+                i, j = np.nonzero(near + error >= bar[None, :])
+                q_kept = np.concatenate([q_kept, j])
+                id_kept = np.concatenate([id_kept, np.array(names.take(pa.array(i + at)).to_pylist(), dtype=object)])
+                s_kept = np.concatenate([s_kept, _exact(part[i], matrix[j])])
+                if len(q_kept) > 4 * k * len(matrix) + 10_000:
+                    q_kept, id_kept, s_kept = _best(q_kept, id_kept, s_kept, k, least)
+        q_kept, id_kept, s_kept = _best(q_kept, id_kept, s_kept, k, least)
+        for at in range(0, len(q_kept), 100_000):
+            cut = slice(at, at + 100_000)
+            yield pa.RecordBatch.from_arrays([pa.array([ids[q] for q in q_kept[cut]], kind), pa.array(id_kept[cut].tolist(), pa.string()), pa.array(s_kept[cut])], names=["query_id", "id", "score"])
 
     return run
 
 
+def _best(q, ids, s, k: int, least: np.ndarray):
+    """The candidates of each query that reach its k-th best score, ties with it included; updates ``least``."""
+    order = np.lexsort((-s, q))
+    q, ids, s = q[order], ids[order], s[order]
+    starts = np.searchsorted(q, np.arange(len(least)))
+    ends = np.searchsorted(q, np.arange(len(least)), side="right")
+    full = ends - starts >= k
+    least[full] = s[starts[full] + k - 1]
+    keep = s >= least[q]
+    return q[keep], ids[keep], s[keep]
+
+
 def nearest(vectors: DataFrame, queries: DataFrame, k: int, key: str = "id", vector: str = "embedding", strategy: str = "arrow") -> DataFrame:
     """(query_id, id, score, rank): the ``k`` best of all vectors for each query (query_id, vector).
 
     ``arrow`` reads the vectors once per block of at most 4096 queries and keeps k candidates per
     task and query; ``expr`` evaluates the inner product as a column, for a handful of queries (64 at once).
-    Vectors of another length, null vectors and null ids don't take part; ties go to the smaller
-    id; k of 0 or less gives none.
+    Vectors of another length or with numbers that aren't finite, null vectors and null ids don't
+    take part; ties go to the smaller id; k of 0 or less gives none.
     """
     rows = vectors.where(F.col(key).isNotNull() & F.col(vector).isNotNull()).select(F.col(key).cast("string").alias("id"), F.col(vector).alias("v"))
     asked = queries.where(F.col("vector").isNotNull()).select("query_id", F.col("vector").alias("q"))
@@ -61,7 +86,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int, key: str = "id", vec
             q = np.array([r["q"] for r in block], dtype=np.float32)
             return rows.mapInArrow(_scan_udf([r["query_id"] for r in block], q, k, to_arrow_type(asked.schema["query_id"].dataType)), f"query_id {kind}, id string, score double")
         asks = F.array(*[F.struct(F.lit(r["query_id"]).cast(kind).alias("query_id"), F.array(*[F.lit(x).cast("float") for x in r["q"]]).alias("q")) for r in block])
-        met = rows.select("id", "v", F.explode(asks).alias("a")).where(F.size("v") == F.size("a.q"))
+        met = rows.select("id", "v", F.explode(asks).alias("a")).where((F.size("v") == F.size("a.q")) & F.forall("v", lambda x: F.abs(x) < float("inf")))
         return met.select("a.query_id", "id", inner_product("v", "a.q").alias("score"))
 
     for row in asked.toLocalIterator() if k > 0 else ():
