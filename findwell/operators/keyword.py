@@ -1,6 +1,6 @@
 """Lexical retrieval over an inverted index kept as DataFrames.
 
-``postings`` (field, term, id, tf, positions) and ``lengths`` (field, id, len) are built once per
+``postings`` (field, term, id, tf, len, positions) and ``lengths`` (field, id, len) are built once per
 collection. Queries come as a DataFrame (query_id, query): many at once is the usual case, one is a
 DataFrame of one row. A posting meets only the queries that hold its term, and what is shuffled by
 document is (query, id, score).
@@ -25,7 +25,7 @@ def _postings(batches):
     """Postings of documents, each from its own row: an index is built without a shuffle."""
     for batch in batches:
         fields, owners = batch.column("field").to_pylist(), []
-        names, terms, positions, counts = [], [], [], []
+        names, terms, positions, counts, sizes = [], [], [], [], []
         for row, words in enumerate(batch.column("t").to_pylist()):
             places: dict[str, list[int]] = {}
             for at, word in enumerate(words):
@@ -34,12 +34,13 @@ def _postings(batches):
             owners.extend([row] * len(places))
             names.extend([fields[row]] * len(places))
             counts.extend(map(len, places.values()))
+            sizes.extend([len(words)] * len(places))
             for p in places.values():
                 positions.extend(p)
         offsets = pa.array(np.concatenate([[0], np.cumsum(np.array(counts, dtype=np.int64))]).astype(np.int32))
         yield pa.RecordBatch.from_arrays(
-            [pa.array(names, pa.string()), pa.array(terms, pa.string()), batch.column("id").take(pa.array(owners, pa.int64())), pa.array(counts, pa.int32()), pa.ListArray.from_arrays(offsets, pa.array(positions, pa.int32()))],
-            names=["field", "term", "id", "tf", "positions"],
+            [pa.array(names, pa.string()), pa.array(terms, pa.string()), batch.column("id").take(pa.array(owners, pa.int64())), pa.array(counts, pa.int32()), pa.array(sizes, pa.int32()), pa.ListArray.from_arrays(offsets, pa.array(positions, pa.int32()))],
+            names=["field", "term", "id", "tf", "len", "positions"],
         )
 
 
@@ -61,7 +62,7 @@ class KeywordIndex:
         )
         fields = documents.where(F.col(key).isNotNull()).select(F.col(key).alias("id"), F.explode(text).alias("f")).select("id", "f.field", "f.t")
         kind = fields.schema["id"].dataType.simpleString()
-        postings = fields.mapInArrow(_postings, f"field string, term string, id {kind}, tf int, positions array<int>")
+        postings = fields.mapInArrow(_postings, f"field string, term string, id {kind}, tf int, len int, positions array<int>")
         return cls(postings, fields.select("field", "id", F.size("t").alias("len")))
 
     def write(self, path: str) -> "KeywordIndex":
@@ -111,7 +112,7 @@ class KeywordIndex:
         asked = wanted.select("term").distinct()
         hits = self.postings.join(asked, "term", "left_semi")
         df = hits.groupBy("field", "term").agg(F.count(F.lit(1)).alias("df"))
-        rows = hits.join(df, ["field", "term"]).join(self.lengths, ["field", "id"]).join(F.broadcast(self._field_stats()), "field")
+        rows = hits.join(df, ["field", "term"]).join(F.broadcast(self._field_stats()), "field")
         return rows.withColumn("s", score(scorer, F.col("tf"), F.col("df"), F.col("n"), F.col("len"), F.col("avg"))).select("field", "term", "id", "positions", "s")
 
 
@@ -192,8 +193,9 @@ def boosted(index: KeywordIndex, queries: DataFrame, title_boost: float = 3.0, p
     wanted = fuzzy_terms(index, wanted, fuzziness) if fuzzy else wanted.withColumn("asked", F.col("term"))
     hits = index.scored_postings(wanted, scorer).join(wanted, "term")
     weight = F.when(F.col("field") == "title", title_boost).otherwise(1.0)
-    per_word = hits.groupBy("query_id", "id", "asked").agg(F.sum(F.col("s") * F.col("times") * weight).alias("s"), F.max("times").alias("times"), F.max("words").alias("words"))
-    merged = per_word.groupBy("query_id", "id").agg(F.sum("s").alias("s"), F.sum("times").alias("matched"), F.max("words").alias("words"))
+    held = F.collect_set(F.struct("asked", "times"))  # at most the words of the query
+    matched = F.aggregate(held, F.lit(0).cast("bigint"), lambda n, w: n + w["times"])
+    merged = hits.groupBy("query_id", "id").agg(F.sum(F.col("s") * F.col("times") * weight).alias("s"), matched.alias("matched"), F.max("words").alias("words"))
     share = F.least(F.lit(1.0), F.greatest("matched", F.lit(1)) / F.col("words"))
     merged = merged.withColumn("s", F.col("s") * F.when(F.col("words") > 1, share * share).otherwise(1.0))
     if phrase_boost > 1:

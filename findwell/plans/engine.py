@@ -49,7 +49,7 @@ class SearchEngine:
     def keyword_index(self) -> KeywordIndex:
         postings, lengths = self.store.read("postings"), self.store.read("lengths")
         if postings is None:
-            postings = self.spark.createDataFrame([], "field string, term string, id string, tf int, positions array<int>")
+            postings = self.spark.createDataFrame([], "field string, term string, id string, tf int, len int, positions array<int>")
             lengths = self.spark.createDataFrame([], "field string, id string, len int")
         return KeywordIndex(postings, lengths)
 

@@ -6,13 +6,15 @@ from findwell.functions import text as T
 from findwell.operators import fusion, keyword, spelling, vector_search
 from findwell.operators.chunks import chunk_documents
 from findwell.operators.keyword import KeywordIndex
+from findwell.plans.scratch import materialize
 from findwell.suite.common import ASKED, CLEAN, POSTINGS, asked, clean, sql_tokens, table
 
 _DOT = "list_sum(list_transform(list_zip({a}, {b}), lambda z: (z[1] * z[2])::DOUBLE))"
 
 
 def _index(spark, d, stop_words=None):
-    return KeywordIndex.build(clean(spark, d), stop_words=stop_words)
+    built = KeywordIndex.build(clean(spark, d), stop_words=stop_words)
+    return KeywordIndex(materialize(built.postings, "postings"), materialize(built.lengths, "lengths"))  # read by several parts of a plan
 
 
 def q_term_df(spark, d):
