@@ -54,23 +54,28 @@ def _split_ranks(df: DataFrame, group: str, scores: list[str]) -> DataFrame:
     return out
 
 
-def rank_within(df: DataFrame, group: str, scores: list[str], hot_rows: int = HOT_ROWS) -> DataFrame:
+def _without_copies(df: DataFrame, group: str, item: str, scores: list[str]) -> DataFrame:
+    return df.groupBy(group, item).agg(*[F.max(s).alias(s) for s in scores])
+
+
+def rank_within(df: DataFrame, group: str, scores: list[str], hot_rows: int = HOT_ROWS, item: str | None = None) -> DataFrame:
     """``df`` with rank_<score> in [0, 1] within the group: ties share the lowest, nulls are lowest.
 
+    With ``item`` the rows of a group and item are one first, with the greatest of each score.
     Groups of more than ``hot_rows`` rows, at most ``HOT_GROUPS`` as the limit grows with the
-    table, are ranked in parts that no single task holds whole.
+    table, are ranked in parts that no single task holds whole. All others are moved once, by group.
     """
     sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("n"))
     total, most = sizes.agg(F.sum("n"), F.max("n")).collect()[0]
     limit = max(hot_rows, (total or 0) // HOT_GROUPS)
     hot = [r[0] for r in sizes.where(F.col("n") > limit).select(group).collect()] if (most or 0) > limit else []
+    once = (lambda x: _without_copies(x, group, item, scores)) if item else (lambda x: x)
     if hot:
         listed = F.broadcast(df.sparkSession.createDataFrame([(h,) for h in hot], sizes.select(group).schema))
         large, small = df.join(listed, group, "left_semi"), df.join(listed, group, "left_anti")
-        parts = [_split_ranks(large, group, scores), _plain_ranks(small, group, scores)]
-        ranked = parts[0].unionByName(parts[1])
+        ranked = _split_ranks(once(large), group, scores).unionByName(_plain_ranks(once(small.repartition(group)), group, scores))
     else:
-        ranked = _plain_ranks(df, group, scores)
+        ranked = _plain_ranks(once(df.repartition(group)), group, scores)
     share = {f"rank_{s}": F.coalesce(F.try_divide(F.col(f"__r_{s}"), F.col("__n") - 1), F.lit(0.0)) for s in scores}
     return ranked.withColumns(share).drop("__n", *[f"__r_{s}" for s in scores])
 
@@ -100,8 +105,7 @@ def fused_ranking(df: DataFrame, group: str, item: str, scores: list[str], direc
     directions = directions or [1] * len(scores)
     number = lambda s: F.when(~F.isnan(F.col(s).cast("double")), F.col(s).cast("double"))
     rows = df.where(F.col(group).isNotNull() & F.col(item).isNotNull()).select(F.col(group), F.col(item), *[number(s).alias(s) for s in scores])
-    once = rows.groupBy(group, item).agg(*[F.max(s).alias(s) for s in scores])
-    ranks = materialize(rank_within(once, group, scores, hot_rows).select(group, item, *[f"rank_{s}" for s in scores]), "ranks")
+    ranks = materialize(rank_within(rows, group, scores, hot_rows, item).select(group, item, *[f"rank_{s}" for s in scores]), "ranks")
     loads = component(ranks, scores, directions, prior)
     fused: Column = reduce(lambda a, b: a + b, [F.col(f"rank_{s}") * float(x) for s, x in zip(scores, loads)])
     return ranks.select(group, item, F.round(fused, 9).alias("fused"))
