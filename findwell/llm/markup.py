@@ -34,6 +34,14 @@ Block = tuple[str, str, int]  # kind, text, line
 _SPACE = re.compile(r"[\s\xa0]+")
 
 
+_ENTITY = re.compile(r"&(?:#\d{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]*);")
+
+
+def unescape(text: str) -> str:
+    """Entities with their semicolon as the character; ``R&D`` and ``&copy`` stay."""
+    return _ENTITY.sub(lambda m: html.unescape(m[0]), text)
+
+
 def tidy(text: str) -> str:
     """One blank for every run of white space, none at the ends."""
     return _SPACE.sub(" ", text).strip()
@@ -211,7 +219,7 @@ def markdown_inline(text: str) -> str:
     text = _ESCAPED.sub(lambda m: keep(m[1]), text)
     for pattern, by in _INLINE:
         text = pattern.sub(by, text)
-    text = html.unescape(text)
+    text = unescape(text)
     while "\ue000" in text:
         text = re.sub("\ue000(\\d+)\ue001", lambda m: kept[int(m[1])], text)
     return tidy(text)
@@ -338,7 +346,7 @@ def wiki_inline(text: str) -> str:
         text = shorter
     for pattern, by in _WIKI_INLINE:
         text = pattern.sub(by, text)
-    return tidy(html.unescape(text))
+    return tidy(unescape(text))
 
 
 def read_wiki(text: str) -> list[Block]:
@@ -353,7 +361,7 @@ def read_wiki(text: str) -> list[Block]:
             kept.append(m[2])
             return f"\ue000{len(kept) - 1}\ue001" + lines
         if name and tidy(m[2]):
-            body = html.unescape(m[2]) if name == "pre" else m[2]
+            body = unescape(m[2]) if name == "pre" else m[2]
             out.append(("formula" if name == "math" else "code", tidy(body), line))
         return " " + lines if name == "math" or not name else "\n" + lines[1:]
 
