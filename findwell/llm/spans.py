@@ -236,8 +236,7 @@ def shared_stretches(df: DataFrame, key: str, text: str, least: int = LEAST, gra
     if not 0 < gram < least:
         raise ValueError("gram must be under the least length")
     members, texts = text_classes(df, key, text, least)
-    long = df.where((F.length(text) >= least) & F.col(key).isNotNull()).select(F.xxhash64(text).alias("cls"), F.col(text).alias("text"))
-    signed = long.mapInArrow(_signature_udf(least, gram), "sig bigint, cls bigint, place int").distinct()
+    signed = texts.mapInArrow(_signature_udf(least, gram), "sig bigint, cls bigint, place int")
     held = signed.groupBy("sig").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi"), F.count("*").alias("n")).where("lo < hi")
     known = signed.join(held.select("sig", "n"), "sig")
     cold = known.where(F.col("n") <= hot).drop("n")
