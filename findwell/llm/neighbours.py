@@ -17,7 +17,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from findwell.llm.arrow import slices
@@ -198,16 +198,15 @@ def _exact_udf(dim):
         for batch in slices(batches, 8192):
             x, y = (_matrix(batch.column(c), dim).astype(np.float64) for c in ("unit_a", "unit_b"))
             score = np.einsum("ij,ij->i", x, y) / np.sqrt(np.einsum("ij,ij->i", x, x) * np.einsum("ij,ij->i", y, y))
-            yield pa.RecordBatch.from_arrays([batch.column("id_a"), batch.column("id_b"), pa.array(score)], names=["id_a", "id_b", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(score)], names=["a", "b", "score"])
 
     return run
 
 
 def unit_vectors(df: DataFrame, key: str, vector: str, dim: int) -> DataFrame:
-    """(id, rid, unit): distinct usable vectors as bytes. Ids that share a rid are told apart at the end."""
+    """(id, cls, unit) of the usable vectors; unit is the vector at unit length as bytes, cls its hash."""
     rows = df.where(F.col(key).isNotNull()).select(F.col(key).cast("string").alias("id"), F.col(vector).cast("array<float>").alias("v"))
-    units = rows.mapInArrow(_normal_udf(dim), "id string, unit binary")
-    return units.select("id", F.xxhash64("id").alias("rid"), "unit")
+    return rows.mapInArrow(_normal_udf(dim), "id string, unit binary").select("id", F.xxhash64("unit").alias("cls"), "unit")
 
 
 def fit_forest(df: DataFrame, key: str, vector: str, dim: int, sample: int = SAMPLE, **shape) -> Forest:
@@ -218,7 +217,7 @@ def fit_forest(df: DataFrame, key: str, vector: str, dim: int, sample: int = SAM
     """
     share = min(1 << 30, int((1 << 30) * 1.1 * sample / max(1, df.count())) + 1)
     thin = df.where(F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(1 << 30)) < share)
-    rows = unit_vectors(thin, key, vector, dim).select("rid", "unit").orderBy(F.pmod("rid", F.lit(1 << 30)), "unit").limit(sample).collect()
+    rows = unit_vectors(thin, key, vector, dim).select(F.xxhash64("id").alias("h"), "unit").distinct().orderBy("h", "unit").limit(sample).collect()
     x = np.frombuffer(b"".join(r["unit"] for r in rows), dtype=np.float32).reshape(-1, dim)
     return Forest(x, **shape)
 
@@ -229,32 +228,41 @@ def similar_vectors(df: DataFrame, key: str, vector: str, dim: int = DIM, thresh
     With ``threshold`` each pair comes once, the smaller id first. With ``top`` the rows are
     (asking id, neighbour, score), ties broken by the neighbour's id; ``asking`` is a condition on
     the column id that picks the queries, all rows if left out. The search loses few pairs, those
-    whose leaves the queue didn't reach; every pair that comes out has its exact score.
+    whose leaves the queue didn't reach; every pair that comes out has its exact score. Equal
+    vectors are one in the search and meet as members of their class.
     """
     if (threshold is None) == (top is None):
         raise ValueError("either a threshold or top is needed")
     spark = df.sparkSession
     units = unit_vectors(df, key, vector, dim)
-    forest = spark.sparkContext.broadcast(fit_forest(df, key, vector, dim, sample, **shape))
     asks = F.lit(True) if asking is None else F.coalesce(asking, F.lit(False))
-    packs = units.select("rid", "unit", asks.alias("asks")).mapInArrow(_leaf_udf(forest, probes, asking is not None), "leaf int, keys binary, flags binary, bytes binary")
+    forest = spark.sparkContext.broadcast(fit_forest(df, key, vector, dim, sample, **shape))
+    classes = units.groupBy("cls").agg(F.max("unit").alias("unit"), F.max(asks).alias("asks"))
+    members = units.select("cls", "id").distinct()
+    packs = classes.select(F.col("cls").alias("rid"), "unit", "asks").mapInArrow(_leaf_udf(forest, probes, asking is not None), "leaf int, keys binary, flags binary, bytes binary")
     met = packs.groupBy("leaf").applyInArrow(_meet_udf(dim, None if threshold is None else threshold - slack, top and 3 * top), "a bigint, b bigint, near float")
     pairs = met.groupBy("a", "b").agg(F.max("near").alias("near"))
     if top is not None:
-        from pyspark.sql import Window
-
         rank = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("near"), "b"))
         pairs = pairs.withColumn("r", rank).where(F.col("r") <= 3 * top)
-    a = units.select(F.col("rid").alias("a"), F.col("id").alias("id_a"), F.col("unit").alias("unit_a"))
-    b = units.select(F.col("rid").alias("b"), F.col("id").alias("id_b"), F.col("unit").alias("unit_b"))
-    both = pairs.select("a", "b").join(a, "a").join(b, "b").where(F.col("id_a") != F.col("id_b"))
-    scored = both.select("id_a", "id_b", "unit_a", "unit_b").mapInArrow(_exact_udf(dim), "id_a string, id_b string, score double")
+    a = classes.select(F.col("cls").alias("a"), F.col("unit").alias("unit_a"))
+    b = classes.select(F.col("cls").alias("b"), F.col("unit").alias("unit_b"))
+    both = pairs.select("a", "b").join(a, "a").join(b, "b").select("a", "b", "unit_a", "unit_b")
+    scored = both.mapInArrow(_exact_udf(dim), "a bigint, b bigint, score double")
+    mine = members.select(F.col("cls").alias("a"), F.col("id").alias("id_a"))
     if threshold is not None:
-        ordered = scored.where(F.col("score") >= threshold).select(F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b"), "score")
-        return ordered.groupBy("id_a", "id_b").agg(F.max("score").alias("score"))
-    from pyspark.sql import Window
-
-    best = scored.groupBy("id_a", "id_b").agg(F.max("score").alias("score"))
+        yours = members.select(F.col("cls").alias("b"), F.col("id").alias("id_b"))
+        other = scored.where(F.col("score") >= threshold).join(mine, "a").join(yours, "b").select("id_a", "id_b", "score")
+        equal = mine.join(yours, F.col("a") == F.col("b")).where(F.col("id_a") < F.col("id_b")).select("id_a", "id_b", F.lit(1.0).alias("score"))
+        met = other.unionByName(equal if threshold <= 1 else equal.limit(0)).where(F.col("id_a") != F.col("id_b"))
+        return met.select(F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b"), "score").groupBy("id_a", "id_b").agg(F.max("score").alias("score"))
+    # Of a class only the top + 1 smallest ids can be among the top of any other.
+    place = F.row_number().over(Window.partitionBy("cls").orderBy("id"))
+    yours = members.withColumn("r", place).where(F.col("r") <= top + 1).select(F.col("cls").alias("b"), F.col("id").alias("id_b"))
+    asked = members.where(asks).select(F.col("cls").alias("a"), F.col("id").alias("id_a"))
+    own = asked.select("a").distinct().select("a", F.col("a").alias("b"), F.lit(1.0).alias("score"))
+    found = scored.unionByName(own).join(asked, "a").join(yours, "b").where(F.col("id_a") != F.col("id_b"))
+    best = found.groupBy("id_a", "id_b").agg(F.max("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("id_a").orderBy(F.desc("score"), "id_b"))
     return best.withColumn("rank", rank).where(F.col("rank") <= top)
 

@@ -273,3 +273,15 @@ def test_stretches_between_two_texts():
     a, b = "xx" + "abcdefgh" * 5 + "yy", "q" + "abcdefgh" * 5 + "z"
     assert common_stretches(a, b, [(10, 9), (18, 17)], 20) == [(2, 1, 40)]
     assert common_stretches(a, b, [(10, 9)], 41) == []
+
+
+def test_many_equal_vectors_are_one_in_the_search(spark):
+    g = np.random.default_rng(3)
+    x = g.standard_normal((40, 64)).astype(np.float32)
+    rows = [(f"c{k:03d}", [float(y) for y in x[0]]) for k in range(60)] + [(f"o{k:03d}", [float(y) for y in v]) for k, v in enumerate(x[1:])]
+    df = spark.createDataFrame(rows, "id string, e array<float>")
+    pairs = {(r["id_a"], r["id_b"]) for r in similar_vectors(df, "id", "e", threshold=0.9999).collect()}
+    assert pairs == {(f"c{i:03d}", f"c{j:03d}") for i in range(60) for j in range(i + 1, 60)}
+    top = similar_vectors(df, "id", "e", top=5, asking=F.col("id").isin("c000", "c030", "o001")).collect()
+    got = {i: [r["id_b"] for r in sorted(top, key=lambda r: r["rank"]) if r["id_a"] == i] for i in ("c000", "c030", "o001")}
+    assert got["c000"] == [f"c{k:03d}" for k in range(1, 6)] and got["c030"] == [f"c{k:03d}" for k in range(5)] and len(got["o001"]) == 5
