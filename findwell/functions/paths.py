@@ -2,30 +2,27 @@
 
 from __future__ import annotations
 
-import posixpath
-
-import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.functions import arrow_udf
-from pyspark.sql.types import StringType
 
 from findwell.functions.text import col
 
 
-@arrow_udf(StringType())
-def _clean(path: pa.Array) -> pa.Array:
-    return pa.array([None if p is None else "/" + posixpath.normpath(p).lstrip("/") if p.startswith("/") else posixpath.normpath(p or ".") for p in path.to_pylist()], pa.string())
-
-
 def clean_path(path) -> Column:
-    """The shortest equal path. Only paths with dots or doubled slashes go through Python."""
+    """The shortest equal path: no empty or ``.`` parts, ``..`` taken back where a part is before it."""
     p = col(path)
-    return F.when(p.rlike(r"(^|/)\.{1,2}(/|$)|//|./$|^$"), _clean(p)).otherwise(p)
-
-
-def clean(path: str) -> str:
-    return posixpath.normpath(path or ".")
+    rooted = F.startswith(p, F.lit("/"))
+    none = F.expr("cast(array() as array<string>)")
+
+    def step(done: Column, part: Column) -> Column:
+        last = F.try_element_at(done, F.lit(-1))
+        back = F.when(F.coalesce(last != "..", F.lit(False)), F.slice(done, F.lit(1), F.size(done) - 1)).when(rooted, done).otherwise(F.concat(done, F.array(part)))
+        return F.when(part.isin("", "."), done).when(part == "..", back).otherwise(F.concat(done, F.array(part)))
+
+    parts = F.array_join(F.aggregate(F.split(p, "/"), none, step), "/")
+    tidy = F.concat(F.when(rooted, "/").otherwise(""), parts)
+    # Most paths are clean already.
+    return F.when(p.rlike(r"(^|/)\.{1,2}(/|$)|//|./$|^$"), F.when(tidy == "", ".").otherwise(tidy)).otherwise(p)
 
 
 def path_components(path) -> Column:

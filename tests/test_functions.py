@@ -67,7 +67,7 @@ def test_headers_of_three_kinds(spark):
     assert [h["position"] for h in found[:2]] == [0, 11]
 
 
-@pytest.mark.parametrize("path, want", [("/a/b/c.txt", ["a", "b"]), ("/a/./b/../c/d", ["a", "c"]), ("x.txt", []), ("", []), ("/", [])])
+@pytest.mark.parametrize("path, want", [("/a/b/c.txt", ["a", "b"]), ("/a/./b/../c/d", ["a", "c"]), ("../../a/b", ["..", "..", "a"]), ("/..//a/", []), ("a/..", []), ("x.txt", []), ("", []), ("/", [])])
 def test_path_components(spark, path, want):
     assert one(spark, P.path_components(F.lit(path))) == want
 
