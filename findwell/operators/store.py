@@ -56,6 +56,7 @@ class Store:
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
+        self._read: dict[str, tuple[list[str], DataFrame]] = {}  # so that files are listed once per version
 
     def _file(self, name: str):
         p = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
@@ -74,7 +75,9 @@ class Store:
 
     def read(self, table: str) -> DataFrame | None:
         where = self.manifest().get(table)
-        return self.spark.read.parquet(*where) if where else None
+        if where and self._read.get(table, ([],))[0] != where:
+            self._read[table] = (where, self.spark.read.parquet(*where))
+        return self._read[table][1] if where else None
 
     def append(self, tables: dict[str, DataFrame]) -> None:
         """Add rows to tables, then show all of them at once."""

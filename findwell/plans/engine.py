@@ -159,9 +159,10 @@ class SearchEngine:
         q = (SearchQuery(query) if isinstance(query, str) else query).validated()
         began = time.time()
         one = self.spark.createDataFrame([(0, q.query)], "query_id int, query string")
-        fused = materialize(self._fused(one, q), "fused")
+        fused = self._fused(one, q).persist()  # at most the candidates of either list
         sizes = {r["source"]: r["total"] for r in fusion.totals(fused).collect()}
         if auto_fuzzy and not q.fuzzy and not sizes:
+            fused.unpersist()
             again = self.search(replace(q, fuzzy=True), rerank)
             return again | {"auto_fuzzy": True} if again["total_keyword"] + again["total_semantic"] else again | {"auto_fuzzy": False}
         took = int((time.time() - began) * 1000)
@@ -177,6 +178,7 @@ class SearchEngine:
             d = r.asDict(True)
             document = {k: d[k] for k in ("id", "title", "content", "metadata", "created_at", "updated_at")}
             lists[d["source"]].append({"document": document, "rank": d["rank"], "score": d["score"], "keyword_score": d["keyword_score"], "semantic_score": d["semantic_score"]})
+        fused.unpersist()
         said = self.suggest(q.query) if q.fuzzy else []
         return lists | {"total_keyword": sizes.get("keyword", 0), "total_semantic": sizes.get("semantic", 0), "query": q.query, "query_time_ms": took, "suggestions": said, "auto_fuzzy": False}
 
