@@ -34,6 +34,7 @@ class Context:
     name: Column  # words of the title as a file name
     low: Column  # the content in lower case
     n_words: Column  # of the content
+    headers: Column  # of the content
     metadata: Column
     path: Column
     size: Column
@@ -43,7 +44,8 @@ class Context:
     frequencies: Column  # map from term to how many documents hold it
 
 
-PARTS = ["query", "tokens", "phrases", "title", "content", "name", "low", "n_words", "metadata", "path", "size", "modified", "as_of", "documents", "frequencies"]
+DOCUMENT_PARTS = ["title", "content", "name", "low", "n_words", "headers", "metadata", "path", "size", "modified"]
+QUERY_PARTS = ["query", "tokens", "phrases", "as_of", "documents", "frequencies"]
 
 
 def _computed(df: DataFrame, value: Column, name: str) -> DataFrame:
@@ -54,24 +56,33 @@ def _computed(df: DataFrame, value: Column, name: str) -> DataFrame:
     return df.select("*", F.explode(F.array(value)).alias(name))
 
 
-def with_context(df: DataFrame, query: Column, title="title", content="content", metadata="metadata", as_of=None, documents=None, frequencies=None) -> tuple[DataFrame, Context]:
-    """The rows with the parts of the context as columns, computed once; and the context over them.
+def prepared(df: DataFrame, title="title", content="content", metadata="metadata") -> DataFrame:
+    """Documents with what scorers need of them, worked out once per document, before they meet queries.
 
     Path, size and time of the file come from the metadata (a map of strings).
     """
-    m = T.col(metadata)
+    m, text, name = T.col(metadata), F.coalesce(T.col(content), F.lit("")), F.coalesce(T.col(title), F.lit(""))
     parts = {
-        "query": query, "tokens": Q.match_tokens(query), "phrases": Q.phrases(query),
-        "title": F.coalesce(T.col(title), F.lit("")), "content": F.coalesce(T.col(content), F.lit("")), "metadata": m,
-        "name": T.filename_words(F.coalesce(T.col(title), F.lit(""))), "low": F.lower(F.coalesce(T.col(content), F.lit(""))), "n_words": F.size(T.words(F.coalesce(T.col(content), F.lit("")))),
+        "title": name, "content": text, "name": T.filename_words(name), "low": F.lower(text), "n_words": F.size(T.words(text)), "headers": T.headers(text), "metadata": m,
         "path": M.source_path(m), "size": M.digits(F.coalesce(F.try_element_at(m, F.lit("source_size")), F.lit("0"))),
         "modified": F.when(F.map_contains_key(m, F.lit("source_mtime")), M.modified_at(F.try_element_at(m, F.lit("source_mtime")))),
-        "as_of": F.current_timestamp() if as_of is None else as_of,
+    }
+    return _computed(df, F.struct(*[parts[n].alias(n) for n in DOCUMENT_PARTS]), "__doc")
+
+
+def with_context(df: DataFrame, query: Column, title="title", content="content", metadata="metadata", as_of=None, documents=None, frequencies=None) -> tuple[DataFrame, Context]:
+    """The rows with the parts of the context as columns, computed once; and the context over them.
+
+    Rows that are :func:`prepared` already keep what they have.
+    """
+    rows = df if "__doc" in df.columns else prepared(df, title, content, metadata)
+    parts = {
+        "query": query, "tokens": Q.match_tokens(query), "phrases": Q.phrases(query), "as_of": F.current_timestamp() if as_of is None else as_of,
         "documents": F.lit(0) if documents is None else documents,
         "frequencies": F.expr("cast(map() as map<string,bigint>)") if frequencies is None else frequencies,
     }
-    rows = _computed(df, F.struct(*[c.alias(n) for n, c in parts.items()]), "__ctx")
-    return rows, Context(*[F.col(f"__ctx.{n}") for n in PARTS])
+    rows = _computed(rows, F.struct(*[parts[n].alias(n) for n in QUERY_PARTS]), "__ctx")
+    return rows, Context(**{n: F.col(f"__doc.{n}") for n in DOCUMENT_PARTS}, **{n: F.col(f"__ctx.{n}") for n in QUERY_PARTS})
 
 
 def _best(values: Column) -> Column:
@@ -171,7 +182,7 @@ def position_multiplier(ctx: Context, c: RankingConfig) -> Column:
 
 def header_score(ctx: Context, c: RankingConfig) -> Column:
     n = F.size(ctx.tokens)
-    each = F.transform(T.headers(ctx.content), lambda h: c.header * (1 + (5 - h["level"]) * 0.1) * T.count_terms_in(ctx.tokens, h["text"]) / n)
+    each = F.transform(ctx.headers, lambda h: c.header * (1 + (5 - h["level"]) * 0.1) * T.count_terms_in(ctx.tokens, h["text"]) / n)
     return F.when(n > 0, _best(each)).otherwise(0.0)
 
 
@@ -203,7 +214,7 @@ def content_details(ctx: Context, c: RankingConfig) -> Column:
         .when((n > 0) & (found == n), F.when(T.terms_in_order(ctx.tokens, ctx.low, True), "phrase").otherwise("all_words"))
         .when(found > 0, "partial").otherwise("none")
     )
-    heads = F.filter(T.headers(ctx.content), lambda h: T.count_terms_in(ctx.tokens, h["text"]) > 0)
+    heads = F.filter(ctx.headers, lambda h: T.count_terms_in(ctx.tokens, h["text"]) > 0)
     return F.struct(
         content_score(ctx, c).alias("score"), kind.alias("match_type"), F.filter(ctx.phrases, lambda p: F.contains(low, p)).alias("phrase_matches"),
         F.filter(ctx.tokens, lambda t: F.contains(low, t)).alias("matched_terms"), F.transform(heads, lambda h: h["text"]).alias("header_matches"),
@@ -328,7 +339,7 @@ def ranked(df: DataFrame, query: Column, config: RankingConfig | None = None, mu
         (F.create_map(*[x for n in factors for x in (F.lit(n), F.col(f"__s.x_{n}"))]) if factors else F.expr("cast(map() as map<string,double>)")).alias("multipliers"),
         F.col("__s.match_type").alias("match_type"),
     )
-    out = rows.select(*[F.col(n) for n in df.columns], final.alias("rank_score"), details.alias("breakdown"))
+    out = rows.select(*[F.col(n) for n in df.columns if n != "__doc"], final.alias("rank_score"), details.alias("breakdown"))
     return out.where("rank_score > 0") if positive else out
 
 

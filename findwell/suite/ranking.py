@@ -14,7 +14,7 @@ CONFIG = RankingConfig(size_enabled=True)
 def _pairs(spark, d):
     """Each query with the documents that it hit in the stored searches, where their texts are still kept."""
     hits = table(spark, d, "search_results").select("query_id", F.col("document_id").alias("id")).distinct()
-    return clean(spark, d).join(hits, "id").join(asked(spark, d), "query_id")
+    return R.prepared(clean(spark, d)).join(hits, "id").join(asked(spark, d), "query_id")
 
 
 def _context(spark, d):
