@@ -99,7 +99,7 @@ class KeywordIndex:
         """(documents, term, df) of the listed terms; 0 for those that don't occur."""
         df = self.term_frequencies()
         rows = terms.select("term").distinct().join(df, "term", "left").select("term", F.coalesce("df", F.lit(0)).alias("df"))
-        return rows.crossJoin(self.document_count())  # one row on the other side
+        return rows.withColumn("documents", self.document_count().scalar())
 
     # scores
 

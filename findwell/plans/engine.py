@@ -171,7 +171,7 @@ class SearchEngine:
             stats = ranking.corpus_stats(self.documents())
             freq = ranking.frequencies_of(one, stats).select("frequencies")
             n = self.documents().count()
-            rows = ranking.ranked(paged.crossJoin(freq), F.lit(q.query), self.config.ranking, documents=F.lit(n), frequencies=F.col("frequencies"))
+            rows = ranking.ranked(paged.withColumn("frequencies", freq.scalar()), F.lit(q.query), self.config.ranking, documents=F.lit(n), frequencies=F.col("frequencies"))
             paged = fusion.page(rows.withColumn("score", F.col("rank_score")).drop("rank", "frequencies"), 0, q.limit)
         lists: dict[str, list] = {"keyword": [], "semantic": []}
         for r in paged.orderBy("source", "rank").collect():  # a page of each list

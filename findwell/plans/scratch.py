@@ -15,6 +15,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL: list[str] = []
+_USED: dict[str, SparkSession] = {}
 
 
 def _drop_local() -> None:
@@ -22,13 +23,29 @@ def _drop_local() -> None:
         shutil.rmtree(_LOCAL.pop(), ignore_errors=True)
 
 
+def _delete(spark: SparkSession, where: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(where)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def _drop_used() -> None:
+    """Delete what this application has written, if its session still answers."""
+    while _USED:
+        where, spark = _USED.popitem()
+        try:
+            _delete(spark, where)
+        except Exception:  # noqa: BLE001 - the session is gone; the folder's owner cleans up
+            return
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder of the session; a temporary one if the session is local and names none."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    master = spark.sparkContext.master
+    if not (master == "local" or master.startswith("local[")):
+        return spark.conf.get("spark.sql.warehouse.dir").rstrip("/")  # the other folder that a cluster shares
     if not _LOCAL:
         _LOCAL.append(tempfile.mkdtemp(prefix="findwell-"))
         atexit.register(_drop_local)
@@ -38,15 +55,18 @@ def shared_dir(spark: SparkSession) -> str:
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once and read it back: one computation, no lineage, columnar and compressed."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/findwell/{name}-{uuid.uuid4().hex}"
+    mine = f"{shared_dir(spark)}/findwell/{spark.sparkContext.applicationId}"
+    if mine not in _USED:
+        if not _USED:
+            atexit.register(_drop_used)
+        _USED[mine] = spark
+    path = f"{mine}/{name}-{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def release(df: DataFrame) -> None:
     """Delete the files behind a table made by :func:`materialize`, once nothing reads it any more."""
-    spark = df.sparkSession
     for file in df.inputFiles()[:1]:
-        path = spark._jvm.org.apache.hadoop.fs.Path(file.rsplit("/", 1)[0])
         if "/findwell/" in file:
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+            _delete(df.sparkSession, file.rsplit("/", 1)[0])

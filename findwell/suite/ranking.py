@@ -77,14 +77,14 @@ def _frequencies(spark, d):
 def q_tfidf(spark, d):
     """tf, idf and their product of each query token in the documents it hit."""
     n = clean(spark, d).agg(F.count("*").alias("n"))
-    rows = _pairs(spark, d).withColumn("term", F.explode(Q.match_tokens("query"))).join(R.corpus_stats(clean(spark, d)), "term", "left").crossJoin(n)
+    rows = _pairs(spark, d).withColumn("term", F.explode(Q.match_tokens("query"))).join(R.corpus_stats(clean(spark, d)), "term", "left").withColumn("n", n.scalar())
     tf, idf = R.term_frequency("term", "content"), R.idf(F.col("n"), F.col("df"))
     return rows.select("query_id", "id", "term", F.round(tf, 9).alias("tf"), F.round(idf, 6).alias("idf"), F.round(R.tf_idf("term", "content", F.col("n"), F.col("df")), 9).alias("tfidf"))
 
 
 def _ranked(spark, d):
     n = clean(spark, d).agg(F.count("*").alias("n"))
-    rows = _pairs(spark, d).join(_frequencies(spark, d), "query_id").crossJoin(n)
+    rows = _pairs(spark, d).join(_frequencies(spark, d), "query_id").withColumn("n", n.scalar())
     return R.ranked(rows, F.col("query"), CONFIG, as_of=F.lit(AS_OF).cast("timestamp_ntz"), documents=F.col("n"), frequencies=F.col("frequencies"), positive=True)
 
 
