@@ -4,7 +4,6 @@ from pyspark.sql import functions as F
 
 from findwell.config import RankingConfig
 from findwell.functions import query as Q
-from findwell.functions import text as T
 from findwell.operators import ranking as R
 from findwell.suite.common import AS_OF, CUR, asked, clean, table
 
