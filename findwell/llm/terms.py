@@ -34,7 +34,7 @@ def terms_of(title: str | None, content: str | None) -> Counter:
     return Counter(w for w in words if len(w) >= 3 and w.isalpha())
 
 
-def _pack_udf(salt: int):
+def _pack_udf():
     def run(batches):
         from pyspark import TaskContext
 
@@ -108,7 +108,7 @@ def term_weights(stored: DataFrame, k1: float = 1.2, b: float = 0.75, idf: str =
     only each record's terms of greatest weight come out, if from low to high records hold them.
     """
     now = current_rows(stored, {"title": F.col("title"), "content": F.col("content")}).select("id", "title", "content")
-    blocks = materialize(now.mapInArrow(_pack_udf(0), _SCHEMA), "terms")
+    blocks = materialize(now.mapInArrow(_pack_udf(), _SCHEMA), "terms")
     records, words = blocks.agg(F.sum("records"), F.sum("length_sum")).collect()[0]
     records = records or 0
     average = max(1.0, (words or 0) / max(1, records))
