@@ -18,3 +18,15 @@ def slices(batches, rows: int):
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
+
+
+def share(spark, thing):
+    """Broadcast an object as its plain attributes, so that workers needn't import its class."""
+    return spark.sparkContext.broadcast(vars(thing))
+
+
+def shared(kind, ref):
+    """The object of :func:`share` again, in a worker."""
+    thing = kind.__new__(kind)
+    thing.__dict__.update(ref.value)
+    return thing

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from findwell.llm.arrow import list_array, slices
+from findwell.llm.arrow import list_array, share, shared, slices
 
 TOKENIZER = "byte_bpe_50k.json"
 KEPT_WORDS = 400_000  # words whose ids a task remembers; beyond it starts anew, which costs time only
@@ -104,7 +104,7 @@ def _encode_udf(table_ref, pattern: str):
     def run(batches):
         import regex
 
-        table, find = table_ref.value, regex.compile(pattern).findall
+        table, find = shared(MergeTable, table_ref), regex.compile(pattern).findall
         known: dict[str, list[int]] = {}
         for batch in slices(batches, 400):
             texts = batch.column("__text").to_pylist()
@@ -135,7 +135,7 @@ def encode_texts(df: DataFrame, text: str, keep: list[str], path: str | None = N
         import public_tokenizers
 
         pattern = public_tokenizers.PATTERN
-    table = df.sparkSession.sparkContext.broadcast(MergeTable(path or tokenizer_path()))
+    table = share(df.sparkSession, MergeTable(path or tokenizer_path()))
     rows = df.select(*keep, F.col(text).alias("__text"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "__text") + ", ids array<int>"
     return rows.mapInArrow(_encode_udf(table, pattern), schema)

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from findwell.llm.arrow import slices
+from findwell.llm.arrow import share, shared, slices
 
 LEAST = 12
 SHARD_WORDS = 1 << 18
@@ -121,7 +121,7 @@ def search_shard(texts: list[list[int]], items: Items) -> tuple[np.ndarray, np.n
 
 def _search_udf(items_ref):
     def run(batches):
-        items = items_ref.value
+        items = shared(Items, items_ref)
         number = items.vocabulary.get
         ids: list[int] = []
         texts: list[list[int]] = []
@@ -173,7 +173,7 @@ def find_leaks(documents: DataFrame, benchmark: DataFrame, doc_id="doc_id", text
     rows = documents.select(F.col(doc_id).cast("bigint").alias("k"), F.col(text).alias("t"))
     hits = None
     for block in _blocks(benchmark, item_id, item_text, block_chars):
-        ref = spark.sparkContext.broadcast(Items(block, least))
+        ref = share(spark, Items(block, least))
         part = rows.mapInArrow(_search_udf(ref), "doc_id bigint, item_id bigint, longest bigint")
         hits = part if hits is None else hits.unionAll(part)
     if hits is None:

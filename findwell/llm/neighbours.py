@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from findwell.llm.arrow import slices
+from findwell.llm.arrow import share, shared, slices
 
 DIM = 64
 SAMPLE = 16_384  # rows that the trees are fitted on, at most
@@ -123,7 +123,7 @@ def _leaf_udf(forest_ref, probes, queries_only):
     """Packs of what a batch sends to each leaf: row keys, whether indexed and asked there, bytes."""
 
     def run(batches):
-        forest = forest_ref.value
+        forest = shared(Forest, forest_ref)
         for batch in slices(batches, 8192):
             if not batch.num_rows:
                 continue
@@ -236,7 +236,7 @@ def similar_vectors(df: DataFrame, key: str, vector: str, dim: int = DIM, thresh
     spark = df.sparkSession
     units = unit_vectors(df, key, vector, dim)
     asks = F.lit(True) if asking is None else F.coalesce(asking, F.lit(False))
-    forest = spark.sparkContext.broadcast(fit_forest(df, key, vector, dim, sample, **shape))
+    forest = share(spark, fit_forest(df, key, vector, dim, sample, **shape))
     classes = units.groupBy("cls").agg(F.max("unit").alias("unit"), F.max(asks).alias("asks"))
     members = units.select("cls", "id").distinct()
     packs = classes.select(F.col("cls").alias("rid"), "unit", "asks").mapInArrow(_leaf_udf(forest, probes, asking is not None), "leaf int, keys binary, flags binary, bytes binary")

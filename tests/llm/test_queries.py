@@ -42,3 +42,21 @@ def test_nothing_else_imports_the_subpackage():
     for path in [*(ROOT / "findwell").rglob("*.py"), *(ROOT / "tests").glob("*.py"), ROOT / "bench.py"]:
         if "llm" not in path.parts and path.exists():
             assert not re.search(r"^\s*(from|import) findwell\.llm", path.read_text(), re.M), path
+
+
+def test_workers_need_no_path_to_the_package(tmp_path):
+    """As on a cluster whose executors don't have the package: the driver alone can import it."""
+    import subprocess
+    import sys
+
+    script = f"""
+import sys; sys.path.insert(0, {str(ROOT)!r})
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").getOrCreate()
+import __spark_entry__ as e
+for name in ("p7_found", "p8_ids", "p9_found", "p2_found", "p5_found"):
+    print(name, e.queries()[name](spark, {TABLES!r}).count())
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", script], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
+    assert done.returncode == 0 and "p5_found" in done.stdout, done.stderr[-2000:]
