@@ -74,6 +74,12 @@ def q_fuzzy_terms(spark, d):
     return near.where(F.col("term").rlike("^[a-z]+$")).select("asked", "term")
 
 
+def q_fuzzy_terms_all(spark, d):
+    """Index terms within two edits of the query terms, of any letters, digits and marks."""
+    wanted = keyword.query_terms(asked(spark, d)).select("term").distinct()
+    return keyword.fuzzy_terms(_index(spark, d), wanted).select("asked", "term")
+
+
 def q_fuzzy_search(spark, d):
     return _round(keyword.boosted(_index(spark, d), asked(spark, d), fuzzy=True))
 
@@ -97,6 +103,17 @@ def q_spell_check(spark, d):
     return spelling.check(plain, _ascii_dictionary(spark, d))
 
 
+def q_suggest_all(spark, d):
+    """Suggestions from the whole vocabulary for all unknown words."""
+    words, known = asked(spark, d).select(F.explode(T.query_words("query")).alias("term")).distinct(), _index(spark, d).term_frequencies()
+    return spelling.suggest(spelling.misspelled(words, known), known)
+
+
+def q_spell_check_all(spark, d):
+    """All queries against the whole vocabulary."""
+    return spelling.check(asked(spark, d), _index(spark, d).term_frequencies())
+
+
 def q_chunk(spark, d):
     x = clean(spark, d)
     return chunk_documents(x, size=60, overlap=12).select("chunk_id", "document_id", "chunk_index", F.md5("content").alias("content_md5"))
@@ -185,8 +202,8 @@ def q_hybrid(spark, d):
 
 
 QUERIES = {f.__name__: f for f in (
-    q_term_df, q_vocabulary, q_field_lengths, q_corpus_stats, q_stop_words, q_match_any, q_match_tfidf, q_boosted, q_top_keyword, q_phrases, q_fuzzy_terms, q_fuzzy_search,
-    q_misspelled, q_suggest, q_spell_check, q_chunk, q_vec_topk, q_vec_topk_expr, q_vec_remove, q_sem_by_doc, q_split_fusion, q_min_score, q_totals, q_page, q_hydrate, q_hybrid,
+    q_term_df, q_vocabulary, q_field_lengths, q_corpus_stats, q_stop_words, q_match_any, q_match_tfidf, q_boosted, q_top_keyword, q_phrases, q_fuzzy_terms, q_fuzzy_terms_all, q_fuzzy_search,
+    q_misspelled, q_suggest, q_suggest_all, q_spell_check, q_spell_check_all, q_chunk, q_vec_topk, q_vec_topk_expr, q_vec_remove, q_sem_by_doc, q_split_fusion, q_min_score, q_totals, q_page, q_hydrate, q_hybrid,
 )}
 
 _SP = r"[\s\p{Z}\x{85}\x{0B}]+"
