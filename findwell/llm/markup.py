@@ -29,7 +29,7 @@ from findwell.llm.arrow import list_array, slices
 from findwell.operators.state import current_rows
 
 KINDS = ("heading", "list_item", "code", "formula")
-Block = tuple[str, str, int]  # kind, text, line
+Block = tuple[str, str, int] | tuple[str, str, int, int]  # kind, text, line, and of running text the last line
 
 _SPACE = re.compile(r"[\s\xa0]+")
 
@@ -93,14 +93,14 @@ class _Html(HTMLParser):
         self.open: list[list] = []  # [kind, list depth, parts, line]
         self.depth = self.silent = 0
         self.text: list[str] = []
-        self.line = 1
+        self.line = self.last = 0  # the first and last line of the text
 
     def flush(self):
         text = tidy("".join(self.text))
         if text:
             take_formulas("".join(self.text), self.line, self.blocks, False)
-            self.blocks.append(("text", text, self.line))
-        self.text, self.line = [], self.getpos()[0]
+            self.blocks.append(("text", text, self.line, self.last))
+        self.text, self.line = [], 0
 
     def shut(self, kind, depth=-1):
         """Close what is open down to the last ``kind`` at ``depth`` or deeper."""
@@ -168,6 +168,10 @@ class _Html(HTMLParser):
     def handle_data(self, data):
         if not self.silent:
             (self.open[-1][2] if self.open else self.text).append(data)
+            if not self.open and data.strip():
+                at = self.getpos()[0]
+                self.line = self.line or at + data[: len(data) - len(data.lstrip())].count("\n")
+                self.last = at + data.rstrip().count("\n")
 
 
 def read_html(text: str) -> list[Block]:
@@ -240,7 +244,7 @@ def read_markdown(text: str, first: int = 1) -> list[Block]:
         if para:
             body = "\n".join(para)
             take_formulas(_without_spans(body), first + start, out, True)
-            out.append((kind, markdown_inline(body), first + start))
+            out.append((kind, markdown_inline(body), first + start, first + start + len(para) - 1))
         para, kind = [], "text"
 
     listing = False
@@ -363,11 +367,11 @@ def read_wiki(text: str) -> list[Block]:
         if name and tidy(m[2]):
             body = unescape(m[2]) if name == "pre" else m[2]
             out.append(("formula" if name == "math" else "code", tidy(body), line))
-        return " " + lines if name == "math" or not name else "\n" + lines[1:]
+        return " " + lines if name == "math" or not name else lines or "\n\ue001"  # a break that the text doesn't have
 
     body = _WIKI_TAG.sub(tag, text.replace("\ue000", "").replace("\ue001", ""))
     para: list[str] = []
-    start, table = 0, False
+    start, last, number, table = 0, 0, 0, False
 
     def see(s: str) -> str:
         return re.sub("\ue000(\\d+)\ue001", lambda m: kept[int(m[1])], wiki_inline(s))
@@ -375,10 +379,12 @@ def read_wiki(text: str) -> list[Block]:
     def end():
         nonlocal para
         if seen := see("\n".join(para)):
-            out.append(("text", seen, start))
+            out.append(("text", seen, start, last))
         para = []
 
-    for number, line in enumerate(body.split("\n"), 1):
+    for line in body.split("\n"):
+        number += not line.startswith("\ue001")
+        line = line.removeprefix("\ue001")
         table = (table or line.startswith("{|")) and not line.startswith("|}")
         heading, item = _WIKI_HEADING.match(line), _WIKI_ITEM.match(line)
         if not table and ((heading and heading[2].strip("= \t")) or item or not line.strip()):
@@ -393,6 +399,7 @@ def read_wiki(text: str) -> list[Block]:
             continue
         if not para:
             start = number
+        last = number
         para.append(re.sub(r"^[|!]", " ", line))
     end()
     return [b for b in sorted(out, key=lambda b: b[2]) if b[1]]
@@ -449,11 +456,12 @@ def latex_inline(text: str) -> str:
 def read_latex(text: str) -> list[Block]:
     text = text.replace("\r\n", "\n").replace("\r", "\n").replace("\ue000", "").replace("\ue001", "")
     codes: list[str] = []
-    lines, source = [], text.split("\n")
+    lines, numbers, source = [], [], text.split("\n")
     i = 0
     while i < len(source):
         line = re.sub(r"(?<!\\)((?:\\\\)*)%.*", r"\1", source[i])
         i += 1
+        here = i
         if m := _BEGIN_CODE.search(line):
             stop, body = f"\\end{{{m[1]}}}", source[i - 1][m.end() :]
             skipped = 0
@@ -466,17 +474,20 @@ def read_latex(text: str) -> list[Block]:
         elif line != source[i - 1] and not line.strip():
             continue  # a line that is a comment as a whole
         lines.append(line)
+        numbers += [min(here + k, i) for k in range(line.count("\n") + 1)]
     body = "\n".join(lines)
     out: list[Block] = []
-    kind, start, at, parts, depth = "text", 0, 0, [], 0
+    kind, start, p, at, parts, depth = "text", 0, 0, 0, [], 0
 
     def number(p: int) -> int:
-        return 1 + body.count("\n", 0, p)
+        """The line of the source, of which ``body`` lacks the comments."""
+        return numbers[body.count("\n", 0, p)] if numbers else 1
 
     def end():
         nonlocal parts, kind
         if seen := latex_inline("".join(parts)):
-            out.append((kind, seen, number(start)))
+            shown = body[start:p]
+            out.append((kind, seen, number(start + len(shown) - len(shown.lstrip())), number(start + len(shown.rstrip()))))
         parts, kind = [], "text"
 
     while m := _EVENT.search(body, at):
@@ -533,6 +544,7 @@ def read_latex(text: str) -> list[Block]:
             else:
                 parts.append(m[0])
     parts.append(body[at:])
+    p = len(body)
     end()
     return [b for b in out if b[1]]
 
@@ -542,7 +554,7 @@ READERS = {"html": read_html, "markdown": read_markdown, "wiki": read_wiki, "lat
 
 def read_blocks(text: str | None) -> list[Block]:
     """(kind, text, line) of the blocks of a text in the markup it uses, in order."""
-    return READERS[markup_of(text)](text) if text else []
+    return [b[:3] for b in READERS[markup_of(text)](text)] if text else []
 
 
 # --- content regions ---------------------------------------------------------------------------
@@ -554,10 +566,12 @@ def content_lines(text: str, width: float = 1.0) -> np.ndarray:
     """Whether each line belongs to the content, by its smoothed ratio of text to tags.
 
     The threshold is the point between the means of the lower and the upper cluster of the ratios;
-    lines whose ratio stays under a part of it are left out. A text of even lines stays whole.
+    lines with tags whose ratio stays under a part of it are left out. Lines without a tag stay,
+    however short they are beside others.
     """
     lines = text.split("\n")
-    ratio = np.array([len(_TAG.sub("", x).strip()) / max(1, len(_TAG.findall(x))) for x in lines], dtype=np.float64)
+    tags = np.array([len(_TAG.findall(x)) for x in lines])
+    ratio = np.array([len(_TAG.sub("", x).strip()) for x in lines], dtype=np.float64) / np.maximum(1, tags)
     reach = max(1, math.ceil(3 * width))
     kernel = np.exp(-0.5 * (np.arange(-reach, reach + 1) / width) ** 2)
     smooth = np.convolve(np.pad(ratio, reach, mode="edge"), kernel / kernel.sum(), mode="valid")
@@ -568,17 +582,21 @@ def content_lines(text: str, width: float = 1.0) -> np.ndarray:
         if abs(new - cut) < 1e-9:
             break
         cut = new
-    return smooth > 0.1 * cut
+    return (smooth > 0.1 * cut) | ((tags == 0) & (ratio > 0))
 
 
 def clean_text(text: str | None) -> str:
-    """The content as text: headings after #, items after -, code in fences, formulas in dollars."""
+    """The content as text: headings after #, items after -, code in fences, formulas in dollars.
+
+    Running text stays if any of its lines belongs to the content.
+    """
     if not text:
         return ""
-    keep, out = content_lines(text.replace("\r\n", "\n").replace("\r", "\n")), []
+    text = text.replace("\r\n", "\n").replace("\r", "\n")
+    keep, out = content_lines(text), []
     dress = {"heading": "# {}", "list_item": "- {}", "code": "```\n{}\n```", "formula": "$${}$$", "text": "{}"}
-    for kind, seen, line in read_blocks(text):
-        if kind != "text" or keep[min(line, len(keep)) - 1]:
+    for kind, seen, line, *last in READERS[markup_of(text)](text):
+        if kind != "text" or keep[line - 1 : max([line, *last])].any():
             out.append(dress[kind].format(seen))
     return "\n\n".join(out)
 

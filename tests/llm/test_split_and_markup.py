@@ -112,6 +112,27 @@ def test_sparse_lines_are_left_out():
     assert content_lines("one\ntwo").all()
 
 
+def test_plain_lines_stay_beside_a_very_long_one():
+    for long in (2000, 5000, 100_000):
+        paragraphs = [f"Paragraph {k} says one short thing and then it ends.".ljust(60, "x") for k in range(30)]
+        paragraphs[15] = ("A very long line. " * (long // 18 + 1))[:long].strip()
+        assert content_lines("\n\n".join(paragraphs))[::2].all()
+        assert clean_text("\n\n".join(paragraphs)) == "\n\n".join(paragraphs)
+
+
+@pytest.mark.parametrize("kind, head, block", [
+    ("markdown", "", "**a** [b](c) **d** ```e``` == || ** {{ [[\nA plain second line."),
+    ("html", "<h1>x</h1>\n", "<div><a></a><b></b><i></i><u></u><a></a><b></b>first\nA plain second line.\n<a></a><b></b><i></i><u></u></div>"),
+    ("wiki", "== x ==\n" + "== y ==\n<source>one()</source>\n" * 3, "[[b]] ** [[d]] {{x}} [[f]] ** [[g]] {{x}}\nA plain second line."),
+    ("latex", "\\section{x}\n" + "% no line of it\n" * 3 + "\n", "\\emph{a} \\emph{b} \\emph{c} \\emph{d}\nA plain second line."),
+])
+def test_a_block_is_judged_by_all_its_lines(kind, head, block):
+    text = head + block + "\n\n" + "\n".join(["A long line of running text about one thing. " * 60] * 20)
+    keep, at = content_lines(text), head.count("\n")
+    assert markup_of(text) == kind and not keep[at] and keep[at + 1]
+    assert "plain second line" in clean_text(text)
+
+
 def test_elements_of_current_contents(spark):
     df = states(spark, ("a", "# old", T[0], T[0]), ("a", "# new\n\n- x\n- x", T[1], T[0]), ("b", None, T[0], T[0]), ("c", "", T[0], None), (None, "# x", T[0], T[0]), ("d", "plain", T[0], T[0]))
     assert sorted(map(tuple, current_elements(df).collect())) == [("a", "heading", "new"), ("a", "list_item", "x")]
