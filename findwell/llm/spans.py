@@ -78,26 +78,36 @@ def sliding_minimum(x: np.ndarray, width: int) -> np.ndarray:
 def signatures(texts: list[str], hasher: Hasher, least: int = LEAST, gram: int = GRAM):
     """(text number, place, hash) of the signatures of all compact windows, for texts of the least length.
 
-    Of a run of windows with equal signatures, as in periodic text, the first and the last are kept.
+    Of a run of equal signatures at equal distances, which is periodic text, two are kept at either end:
+    a stretch shared by two such texts starts or ends where both parts do, or can be moved by periods
+    until it starts with one part and less than a period behind the start of the other. As a window has
+    several equal signatures there, the first ones are taken for the start and the last ones for the end.
     """
     lengths = np.array([len(t) for t in texts], dtype=np.int64)
     offsets = np.concatenate([[0], np.cumsum(lengths)])
     sums = hasher.sums("".join(texts))
     starts = np.arange(int(offsets[-1]) - gram + 1)
     hashes = hasher.of(sums, starts, starts + gram)
-    smallest = sliding_minimum((hashes & ~_PLACE) | starts.astype(np.uint64), least - gram + 1)
-    inside = np.zeros(len(smallest) + 1, dtype=np.int8)
+    inside = np.zeros(len(hashes) - least + gram + 1, dtype=np.int8)
     np.add.at(inside, offsets[:-1], 1)
-    np.add.at(inside, np.minimum(offsets[1:] - least + 1, len(smallest)), -1)
-    place = (smallest[np.cumsum(inside[:-1], dtype=np.int8) > 0] & _PLACE).astype(np.int64)
-    place = place[np.concatenate([[True], place[1:] != place[:-1]])] if len(place) else place
+    np.add.at(inside, np.minimum(offsets[1:] - least + 1, len(inside) - 1), -1)
+    whole = np.cumsum(inside[:-1], dtype=np.int8) > 0
+    kept = []
+    for last in (False, True):  # the first or the last of equal hashes in a window
+        order = (_PLACE - starts.astype(np.uint64)) if last else starts.astype(np.uint64)
+        place = sliding_minimum((hashes & ~_PLACE) | order, least - gram + 1)[whole] & _PLACE
+        place = ((_PLACE - place) if last else place).astype(np.int64)
+        place = place[np.concatenate([[True], place[1:] != place[:-1]])] if len(place) else place
+        text = np.searchsorted(offsets, place, side="right") - 1
+        gap = np.diff(place)
+        gap[(hashes[place[1:]] != hashes[place[:-1]]) | (text[1:] != text[:-1]) | (gap > gram)] = 0
+        again = (gap[1:] > 0) & (gap[1:] == gap[:-1])
+        keep = np.ones(len(place), dtype=bool)
+        keep[slice(-2) if last else slice(2, None)] = ~again if len(place) > 2 else True
+        kept.append(place[keep])
+    place = np.unique(np.concatenate(kept))
     text = np.searchsorted(offsets, place, side="right") - 1
-    found = hashes[place]
-    same = (found[1:] == found[:-1]) & (text[1:] == text[:-1])
-    middle = np.zeros(len(place), dtype=bool)
-    middle[1:-1] = same[:-1] & same[1:]
-    keep = ~middle
-    return text[keep], (place - offsets[text])[keep], found[keep].view(np.int64)
+    return text, place - offsets[text], hashes[place].view(np.int64)
 
 
 def _blocks(batches, chars: int, columns: int):

@@ -269,6 +269,26 @@ def test_spans_against_brute_force(spark, hot):
     assert sharing_pairs(df.limit(0), "doc_id", "text").count() == 0
 
 
+@pytest.mark.parametrize("hot", [64, 1])
+def test_pieces_of_periodic_texts_at_every_phase(spark, hot):
+    r = random.Random(8)
+    docs = []
+    for period in (2, 40, 80):
+        unit = "".join(r.choice("abcdefgh") for _ in range(period))
+        pieces = [(1000, 0), *[(n, r.randrange(period)) for n in (300, 303, 303, 303, 300 + period)]]
+        docs += [(unit * 700)[at : at + n] for n, at in pieces]
+        docs += ["[" + (unit * 700)[:400] + "] tail", "(" + (unit * 700)[:400 + 3 * period] + "] tail, longer"]
+    docs = [(k, t) for k, t in enumerate(docs)]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    got, want = [tuple(x) for x in sharing_pairs(df, "doc_id", "text", hot=hot).collect()], spans_by_hand(docs, 300)
+    assert set(got) == want and len(got) == len(want)
+    parts = {x["key"]: x["shared_chars"] for x in shared_parts(df, "doc_id", "text", hot=hot).collect()}
+    for k, t in docs:
+        others = {u[p : p + 300] for j, u in docs if j != k for p in range(len(u) - 299)}
+        covered = {p + i for p in range(len(t) - 299) if t[p : p + 300] in others for i in range(300)}
+        assert parts.get(k, 0) == len(covered)
+
+
 def test_stretches_between_two_texts():
     a, b = "xx" + "abcdefgh" * 5 + "yy", "q" + "abcdefgh" * 5 + "z"
     assert common_stretches(a, b, [(10, 9), (18, 17)], 20) == [(2, 1, 40)]
