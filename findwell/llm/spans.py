@@ -1,33 +1,40 @@
 """Problem 10: long spans that stand verbatim in more than one text.
 
-Every run of ``GRAM`` characters is a token, hashed by its place in a prefix sum of the text. All
-stretches of the least length that have the same smallest token hash form one compact window, a
-node of the Cartesian tree over the hashes; its smallest token is the window's signature. Two
-texts that share a stretch of the least length share the signature of the window around it, at
-the same place of the stretch, so one hash function finds every exact span, and texts send only
-about two signatures per hundred characters. Signatures held by several texts are joined, and each
-meeting is extended character by character to the longest common stretch around it.
-
-A signature that many texts hold is split: it is replaced by hashes of nearly the least length
-around it, cut at ten offsets of which a shared stretch covers at least one, so that passages that
-are common but too short don't bring all their texts together.
+Every run of ``GRAM`` characters is a token. Under each of several hash functions the tokens of a
+text form a Cartesian tree, and a node (l, c, r) of it is a compact window: all stretches between
+l and r that hold c have the same smallest token, c. Nodes too narrow for a stretch of the least
+length are left out, which leaves about two windows per hundred characters and function. A window
+stands for a range of stretches and sends only the hash of its smallest token.
+
+A stretch of the least length can be shared only if the windows around it are shared under every
+function. So each text joins the intervals of its shared windows: where those of all functions
+overlap, stretches are hashed whole. Of these, the ones that several texts hold are the result.
+Texts meet their collection, never each other, so a passage that a million texts hold costs as much
+per text as one that two hold. Stretches held by the same texts are one group; its members are
+verified by a cryptographic digest of the characters of one stretch, each member once. Pairs of
+texts are made only at the end, and only where pairs are asked for.
 
 Equal texts are one class until the end. Null texts and those under the least length share nothing.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from findwell.llm.arrow import list_array, slices
+from findwell.llm.arrow import slices
+from findwell.llm.pairs import pairs_within
+from findwell.plans.scratch import materialize
 
-LEAST, GRAM, STEP, HOT = 300, 200, 10, 64
+LEAST, GRAM, FUNCTIONS = 300, 100, 3
 BLOCK_CHARS, MOST = 1 << 20, 1 << 23
 _PLACE = np.uint64((1 << 24) - 1)
 _BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2**64
+_SEEN = 100_000  # classes that a task remembers to have read
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -75,218 +82,215 @@ def sliding_minimum(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(backward[:n], forward[width - 1 : width - 1 + n])
 
 
-def signatures(texts: list[str], hasher: Hasher, least: int = LEAST, gram: int = GRAM):
-    """(text number, place, hash) of the signatures of all compact windows, for texts of the least length.
+def compact_windows(order: np.ndarray, whole: np.ndarray, text: np.ndarray, first: np.ndarray, last: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(l, c, r) of the nodes of the texts' Cartesian trees that are at least ``width`` wide.
 
-    Of a run of equal signatures at equal distances, which is periodic text, two are kept at either end:
-    a stretch shared by two such texts starts or ends where both parts do, or can be moved by periods
-    until it starts with one part and less than a period behind the start of the other. As a window has
-    several equal signatures there, the first ones are taken for the start and the last ones for the end.
+    ``order`` has the tokens' hashes, made distinct by their places in the lowest bits; ``whole``
+    says at which places a stretch of ``width`` tokens of one text begins, ``text`` which text a place
+    is in, and ``first`` and ``last`` the first and last token of each text. A node is wide enough if
+    it is the least of some such stretch, and then so are all above it; so the tree is built from
+    these nodes alone, by the stack of the open nodes on its right edge.
+    """
+    smallest = sliding_minimum(order, width)[whole]
+    smallest = smallest[np.concatenate([[True], smallest[1:] != smallest[:-1]])] if len(smallest) else smallest
+    c = (smallest & _PLACE).astype(np.int64)
+    left, right = first[text[c]], last[text[c]]
+    keys, owners = smallest.tolist(), text[c].tolist()
+    below, above = np.full(len(c), -1), np.full(len(c), -1)
+    stack: list[int] = []
+    owner = -1
+    for i, (key, mine) in enumerate(zip(keys, owners)):
+        if mine != owner:
+            stack, owner = [], mine
+        while stack and keys[stack[-1]] > key:
+            above[stack.pop()] = i
+        if stack:
+            below[i] = stack[-1]
+        stack.append(i)
+    left = np.where(below >= 0, c[below] + 1, left)
+    right = np.where(above >= 0, c[above] - 1, right)
+    return left, c, right
+
+
+def window_ranges(texts: list[str], hasher: Hasher, least: int = LEAST, gram: int = GRAM, functions: int = FUNCTIONS):
+    """(text number, from, to, signature) of the compact windows of texts of the least length.
+
+    ``from`` to ``to`` are the starts of the stretches of the least length that a window stands for.
+    Of neighbouring windows with the same smallest token, as in periodic text, one range is made. The
+    lowest two bits of a signature are the number of the hash function.
     """
     lengths = np.array([len(t) for t in texts], dtype=np.int64)
     offsets = np.concatenate([[0], np.cumsum(lengths)])
     sums = hasher.sums("".join(texts))
     starts = np.arange(int(offsets[-1]) - gram + 1)
-    hashes = hasher.of(sums, starts, starts + gram)
-    inside = np.zeros(len(hashes) - least + gram + 1, dtype=np.int8)
+    tokens = hasher.of(sums, starts, starts + gram)
+    width = least - gram + 1
+    inside = np.zeros(len(tokens) - width + 2, dtype=np.int32)
     np.add.at(inside, offsets[:-1], 1)
     np.add.at(inside, np.minimum(offsets[1:] - least + 1, len(inside) - 1), -1)
-    whole = np.cumsum(inside[:-1], dtype=np.int8) > 0
-    kept = []
-    for last in (False, True):  # the first or the last of equal hashes in a window
-        order = (_PLACE - starts.astype(np.uint64)) if last else starts.astype(np.uint64)
-        place = sliding_minimum((hashes & ~_PLACE) | order, least - gram + 1)[whole] & _PLACE
-        place = ((_PLACE - place) if last else place).astype(np.int64)
-        place = place[np.concatenate([[True], place[1:] != place[:-1]])] if len(place) else place
-        text = np.searchsorted(offsets, place, side="right") - 1
-        gap = np.diff(place)
-        gap[(hashes[place[1:]] != hashes[place[:-1]]) | (text[1:] != text[:-1]) | (gap > gram)] = 0
-        again = (gap[1:] > 0) & (gap[1:] == gap[:-1])
-        keep = np.ones(len(place), dtype=bool)
-        keep[slice(-2) if last else slice(2, None)] = ~again if len(place) > 2 else True
-        kept.append(place[keep])
-    place = np.unique(np.concatenate(kept))
-    text = np.searchsorted(offsets, place, side="right") - 1
-    return text, place - offsets[text], hashes[place].view(np.int64)
-
-
-def _blocks(batches, chars: int, columns: int):
-    """Rows gathered up to so many characters of their last column; one longer text is a block."""
-    held: list[list] = [[] for _ in range(columns)]
+    whole = np.cumsum(inside[:-1]) > 0
+    text = np.repeat(np.arange(len(texts)), lengths)
+    out = []
+    for j in range(functions):
+        hashes = _mix(tokens + np.uint64(0x632BE59BD9B4E019 * (j + 1) & (1 << 64) - 1))
+        left, c, right = compact_windows((hashes & ~_PLACE) | starts.astype(np.uint64), whole, text, offsets[:-1], offsets[1:] - gram, width)
+        low, high = np.maximum(left, c - width + 1), np.minimum(c, right - width + 1)
+        sig = (hashes[c] & ~np.uint64(3)) | np.uint64(j)
+        new = np.ones(len(c), dtype=bool)
+        new[1:] = (sig[1:] != sig[:-1]) | (text[c[1:]] != text[c[:-1]]) | (low[1:] != high[:-1] + 1)
+        at = np.flatnonzero(new)
+        ends = np.append(at[1:], len(c)) - 1 if len(c) else at
+        owner = text[c[at]]
+        out.append((owner, low[at] - offsets[owner], high[ends] - offsets[owner], sig[at].view(np.int64)))
+    return tuple(np.concatenate(parts) for parts in zip(*out))
+
+
+def _blocks(batches, chars: int, text_at: int):
+    """Rows gathered up to so many characters of their text; one longer text is a block."""
+    held: list = []
     size = 0
     for batch in slices(batches, 256):
         for row in zip(*[c.to_pylist() for c in batch.columns]):
-            if size + len(row[-1]) > chars and size:
+            if held and size + len(row[text_at]) > chars:
                 yield held
-                held, size = [[] for _ in range(columns)], 0
-            for h, v in zip(held, row):
-                h.append(v)
-            size += len(row[-1])
-    if size:
+                held, size = [], 0
+            held.append(row)
+            size += len(row[text_at])
+    if held:
         yield held
 
 
-def _signature_udf(least, gram):
+def _windows_udf(least, gram, functions):
+    def unseen(batches):
+        seen: set[int] = set()
+        for batch in batches:
+            fresh = []
+            for i, c in enumerate(batch.column("cls").to_pylist()):
+                if c not in seen:
+                    seen.add(c)
+                    fresh.append(i)
+            if len(seen) > _SEEN:
+                seen.clear()
+            yield batch.take(pa.array(fresh, pa.int64()))
+
     def run(batches):
         hasher = Hasher()
-        for keys, texts in _blocks(batches, BLOCK_CHARS, 2):
+        for rows in _blocks(unseen(batches), BLOCK_CHARS, 1):
             # A very long text is read in parts that overlap by all but one character of a stretch.
-            parts = [(k, at, t[at : at + MOST + least - 1]) for k, t in zip(keys, texts) for at in range(0, max(1, len(t) - least + 1), MOST)]
-            for group in [parts] if len(parts) == len(keys) else [[p] for p in parts]:
-                text, place, sig = signatures([p[2] for p in group], hasher, least, gram)
-                keys_, shift = (np.array([p[i] for p in group], dtype=np.int64)[text] for i in (0, 1))
-                yield pa.RecordBatch.from_arrays([pa.array(sig), pa.array(keys_), pa.array((place + shift).astype(np.int32))], names=["sig", "cls", "place"])
+            parts = [(k, at, t[at : at + MOST + least - 1]) for k, t in rows for at in range(0, max(1, len(t) - least + 1), MOST)]
+            for group in [parts] if len(parts) == len(rows) else [[p] for p in parts]:
+                text, low, high, sig = window_ranges([p[2] for p in group], hasher, least, gram, functions)
+                cls, shift = (np.array([p[i] for p in group], dtype=np.int64)[text] for i in (0, 1))
+                yield pa.RecordBatch.from_arrays([pa.array(sig), pa.array(cls), pa.array((low + shift).astype(np.int32)), pa.array((high + shift).astype(np.int32))], names=["sig", "cls", "low", "high"])
 
     return run
 
 
-def _finer_udf(least, gram, step):
+def overlap(n: int, ranges, functions: int) -> np.ndarray:
+    """The starts, of ``n``, that lie in a range (function, low, high) of every function."""
+    inside = np.ones(n, dtype=bool)
+    for j in range(functions):
+        edge = np.zeros(n + 1, dtype=np.int32)
+        mine = [(r["low"], r["high"]) for r in ranges if r["sig"] & 3 == j]
+        if not mine:
+            return np.zeros(0, dtype=np.int64)
+        low, high = np.array(mine, dtype=np.int64).T
+        np.add.at(edge, low, 1)
+        np.add.at(edge, high + 1, -1)
+        inside &= np.cumsum(edge[:-1]) > 0
+    return np.flatnonzero(inside)
+
+
+def _stretches_udf(least, functions):
     def run(batches):
         hasher = Hasher()
-        for cls, places, texts in _blocks(batches, BLOCK_CHARS, 3):
-            for c, ps, text in zip(cls, places, texts):
-                sums = hasher.sums(text)
-                left = np.arange(0, least - gram, step)
-                right = np.maximum(0, least - gram - left - step)
-                p = np.repeat(np.array(ps, dtype=np.int64), len(left))
-                a, b = p - np.tile(left, len(ps)), p + gram + np.tile(right, len(ps))
-                ok = (a >= 0) & (b <= len(text))
-                sig = hasher.of(sums, a[ok], b[ok])
-                n = len(sig)
-                yield pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), pa.array(np.full(n, c)), pa.array(p[ok].astype(np.int32))], names=["sig", "cls", "place"])
+        for rows in _blocks(batches, BLOCK_CHARS, 1):
+            hashes, owners, places, again = [], [], [], []
+            for cls, text, ranges in rows:
+                starts = overlap(len(text) - least + 1, ranges, functions)
+                if not len(starts):
+                    continue
+                h = hasher.of(hasher.sums(text), starts, starts + least)
+                repeated = np.ones(len(h), dtype=bool)
+                repeated[np.unique(h, return_index=True)[1]] = False
+                hashes.append(h), owners.append(np.full(len(h), cls)), places.append(starts), again.append(repeated)
+            if hashes:
+                columns = [pa.array(np.concatenate(hashes).view(np.int64)), pa.array(np.concatenate(owners)), pa.array(np.concatenate(places).astype(np.int32)), pa.array(np.concatenate(again))]
+                yield pa.RecordBatch.from_arrays(columns, names=["hash", "cls", "start", "again"])
 
     return run
 
 
-def _common(a: str, i: int, b: str, j: int, back: bool) -> int:
-    """How many characters agree from a[i], b[j] on, forwards or backwards, by halving."""
-    most = min(i, j) if back else min(len(a) - i, len(b) - j)
-
-    def equal(n):
-        return a[i - n : i] == b[j - n : j] if back else a[i : i + n] == b[j : j + n]
-
-    low, high = 0, 1
-    while high <= most and equal(high):
-        low, high = high, high * 2
-    high = min(high, most + 1)
-    while high - low > 1:
-        mid = (low + high) // 2
-        low, high = (mid, high) if equal(mid) else (low, mid)
-    return low
-
-
-def common_stretches(a: str, b: str, meetings: list[tuple[int, int]], least: int = LEAST) -> list[tuple[int, int, int]]:
-    """(start in a, start in b, length) of the stretches of at least ``least`` around the meetings."""
-    found: list[tuple[int, int, int]] = []
-    reached: dict[int, int] = {}  # by diagonal, the end in a of what is found
-    for i, j in sorted(meetings):
-        if reached.get(i - j, -1) > i:
-            continue
-        before, after = _common(a, i, b, j, True), _common(a, i, b, j, False)
-        reached[i - j] = i + max(after, 1)
-        if before + after >= least:
-            found.append((i - before, j - before, before + after))
-    return found
-
-
-def reach(text: str, start: int, length: int, least: int) -> tuple[int, int]:
-    """What a shared stretch covers of a text: itself, and where the text goes on with its period, all
-    places that have an equal part of the least length."""
-    part = text[start : start + length]
-    period = part.find(part[: length - length // 2], 1)
-    if period < 0 or part[period:] != part[: length - period]:
-        return start, start + length
-    low, high = start, start + length
-    while low > 0 and text[low - 1] == text[low - 1 + period]:
-        low -= 1
-    while high < len(text) and text[high] == text[high - period]:
-        high += 1
-    starts = range(start, start + min(period, length - least + 1))
-    first = min(s - (s - low) // period * period for s in starts)
-    last = max(s + (high - least - s) // period * period for s in starts)
-    return min(first, start), max(last + least, start + length)
-
-
-_FIELDS = ["start_a", "start_b", "length", "from_a", "to_a", "from_b", "to_b"]
-_STRETCH = pa.struct([(f, pa.int32()) for f in _FIELDS])
-
-
-def _verify_udf(least):
+def _digests_udf(least):
     def run(batches):
         for batch in slices(batches, 256):
-            out_a, out_b, counts, flat = [], [], [], []
-            for r in batch.to_pylist():
-                if found := common_stretches(r["text_a"], r["text_b"], [(m["a"], m["b"]) for m in r["meetings"]], least):
-                    out_a.append(r["cls_a"]), out_b.append(r["cls_b"]), counts.append(len(found))
-                    flat += [dict(zip(_FIELDS, (x, y, n, *reach(r["text_a"], x, n, least), *reach(r["text_b"], y, n, least)))) for x, y, n in found]
-            yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64()), list_array(counts, pa.array(flat, _STRETCH), _STRETCH)], names=["cls_a", "cls_b", "stretches"])
+            cls, marks, digests = [], [], []
+            for c, text, groups in zip(*[x.to_pylist() for x in batch.columns]):
+                for g in groups:
+                    cls.append(c), marks.append(g["mark"])
+                    digests.append(hashlib.sha256(text[g["start"] : g["start"] + least].encode("utf-8", "surrogatepass")).digest())
+            yield pa.RecordBatch.from_arrays([pa.array(cls, pa.int64()), pa.array(marks, pa.int64()), pa.array(digests, pa.binary())], names=["cls", "mark", "digest"])
 
     return run
 
 
-def text_classes(df: DataFrame, key: str, text: str, least: int) -> tuple[DataFrame, DataFrame]:
-    """(key, cls) of all texts of the least length, and (cls, text) once per class of equal texts."""
-    long = df.where((F.length(text) >= least) & F.col(key).isNotNull()).select(F.col(key).alias("key"), F.xxhash64(text).alias("cls"), F.col(text).alias("text"))
-    return long.select("key", "cls").distinct(), long.groupBy("cls").agg(F.max("text").alias("text"))
+def shared_stretches(df: DataFrame, key: str, text: str, least: int = LEAST, gram: int = GRAM, functions: int = FUNCTIONS) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """((key, cls) members, (mark, digest, cls) groups, (mark, cls, start) stretches).
 
-
-def _meetings(signed: DataFrame) -> DataFrame:
-    """Places where two classes have the same signature."""
-    a = signed.select("sig", F.col("cls").alias("cls_a"), F.col("place").alias("a"))
-    b = signed.select("sig", F.col("cls").alias("cls_b"), F.col("place").alias("b"))
-    return a.join(b, "sig").where(F.col("cls_a") < F.col("cls_b")).select("cls_a", "cls_b", "a", "b")
-
-
-def shared_stretches(df: DataFrame, key: str, text: str, least: int = LEAST, gram: int = GRAM, hot: int = HOT) -> tuple[DataFrame, DataFrame]:
-    """((key, cls) members, (cls_a, cls_b, stretches) for each pair of different texts that share).
-
-    ``stretches`` holds (start_a, start_b, length) in characters from 0, all of at least ``least``,
-    and what each covers in either text (from, to): more than itself only in periodic parts.
+    A group is a set of classes of equal texts that share a stretch; ``stretches`` has the start, in
+    characters from 0, of every stretch of the least length that a class shares with another one, and
+    the mark of its group. Only marks that ``groups`` has are verified.
     """
     if not 0 < gram < least:
         raise ValueError("gram must be under the least length")
-    members, texts = text_classes(df, key, text, least)
-    signed = texts.mapInArrow(_signature_udf(least, gram), "sig bigint, cls bigint, place int")
-    held = signed.groupBy("sig").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi"), F.count("*").alias("n")).where("lo < hi")
-    known = signed.join(held.select("sig", "n"), "sig")
-    cold = known.where(F.col("n") <= hot).drop("n")
-    many = known.where(F.col("n") > hot).groupBy("cls").agg(F.collect_set("place").alias("places"))
-    finer = many.join(texts, "cls").select("cls", "places", "text").mapInArrow(_finer_udf(least, gram, STEP), "sig bigint, cls bigint, place int")
-    met = _meetings(cold).unionByName(_meetings(finer.distinct()))
-    pairs = met.groupBy("cls_a", "cls_b").agg(F.collect_set(F.struct("a", "b")).alias("meetings"))
-    both = pairs.join(texts.select(F.col("cls").alias("cls_a"), F.col("text").alias("text_a")), "cls_a")
-    both = both.join(texts.select(F.col("cls").alias("cls_b"), F.col("text").alias("text_b")), "cls_b")
-    found = both.select("cls_a", "cls_b", "meetings", "text_a", "text_b").mapInArrow(_verify_udf(least), f"cls_a bigint, cls_b bigint, stretches array<struct<{','.join(f + ':int' for f in _FIELDS)}>>")
-    return members, found
+    if not 0 < functions <= 4:
+        raise ValueError("one to four hash functions")
+    long = df.where((F.length(text) >= least) & F.col(key).isNotNull()).select(F.col(key).alias("key"), F.xxhash64(text).alias("cls"), F.col(text).alias("text"))
+    windows = materialize(long.select("cls", "text").mapInArrow(_windows_udf(least, gram, functions), "sig bigint, cls bigint, low int, high int"), "windows")
+    # Tables on both sides of these joins, so that Spark can split the partition of a hot key.
+    several = materialize(windows.groupBy("sig").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo < hi").select("sig"), "several")
+    ranges = windows.join(several, "sig", "left_semi").groupBy("cls").agg(F.collect_set(F.struct("sig", "low", "high")).alias("ranges"))
+    ranges = ranges.where(F.size(F.array_distinct(F.transform("ranges", lambda r: r["sig"].bitwiseAND(F.lit(3))))) == functions)
+    chosen = materialize(long.groupBy("cls").agg(F.max("text").alias("text")).join(ranges, "cls").select("cls", "text", "ranges"), "chosen")
+    hashes = materialize(chosen.mapInArrow(_stretches_udf(least, functions), "hash bigint, cls bigint, start int, again boolean"), "hashes")
+    # Stretches held by the same classes have the same mark.
+    mark = F.bit_xor(F.when(~F.col("again"), F.xxhash64(F.lit(3), F.col("cls")))).alias("mark")
+    held = materialize(hashes.groupBy("hash").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi"), mark).where("lo < hi").select("hash", "mark"), "held")
+    stretches = hashes.join(held, "hash").select("mark", "cls", "start", "hash")
+    one = stretches.groupBy("mark", "cls").agg(F.min(F.struct("hash", "start")).alias("one")).select("mark", "cls", "one.start")
+    listed = one.groupBy("cls").agg(F.collect_list(F.struct("mark", "start")).alias("groups"))
+    digests = chosen.select("cls", "text").join(listed, "cls").mapInArrow(_digests_udf(least), "cls bigint, mark bigint, digest binary")
+    return long.select("key", "cls").distinct(), materialize(digests, "groups"), stretches.select("mark", "cls", "start")
 
 
 def sharing_pairs(df: DataFrame, key: str, text: str, **sizes) -> DataFrame:
     """(key_a, key_b): pairs of records that share a stretch, copies of one text included."""
-    members, found = shared_stretches(df, key, text, **sizes)
-    a = members.select(F.col("cls").alias("cls_a"), F.col("key").alias("key_a"))
-    b = members.select(F.col("cls").alias("cls_b"), F.col("key").alias("key_b"))
-    other = found.select("cls_a", "cls_b").join(a, "cls_a").join(b, "cls_b").select("key_a", "key_b")
-    copies = a.join(b, F.col("cls_a") == F.col("cls_b")).select("key_a", "key_b")
+    members, groups, _ = shared_stretches(df, key, text, **sizes)
+    classes = pairs_within(groups, ["mark", "digest"], "cls").distinct()
+    a = members.select(F.col("cls").alias("a"), F.col("key").alias("key_a"))
+    b = members.select(F.col("cls").alias("b"), F.col("key").alias("key_b"))
+    other = classes.join(a, "a").join(b, "b").select("key_a", "key_b")
+    copies = pairs_within(members, ["cls"], "key").select(F.col("a").alias("key_a"), F.col("b").alias("key_b"))
     pairs = other.unionByName(copies).where(F.col("key_a") != F.col("key_b"))
     return pairs.select(F.least("key_a", "key_b").alias("key_a"), F.greatest("key_a", "key_b").alias("key_b")).distinct()
 
 
-def shared_parts(df: DataFrame, key: str, text: str, **sizes) -> DataFrame:
+def shared_parts(df: DataFrame, key: str, text: str, least: int = LEAST, **sizes) -> DataFrame:
     """(key, n_chars, shared_chars, share) of every record that shares a stretch with another one.
 
-    Overlapping stretches count once. A text that several records hold is shared as a whole.
+    Overlapping stretches count once. A text that several records hold is shared as a whole. No pairs
+    are made: each class counts the characters under its own shared stretches.
     """
-    members, found = shared_stretches(df, key, text, **sizes)
-    s = found.select("cls_a", "cls_b", F.explode("stretches").alias("s"))
-    spans = s.select(F.col("cls_a").alias("cls"), F.col("s.from_a").alias("start"), F.col("s.to_a").alias("end"))
-    spans = spans.unionByName(s.select(F.col("cls_b").alias("cls"), F.col("s.from_b").alias("start"), F.col("s.to_b").alias("end")))
-    w = Window.partitionBy("cls").orderBy("start", "end")
-    new = F.greatest("start", F.coalesce(F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    covered = spans.distinct().withColumn("from", new).groupBy("cls").agg(F.sum(F.greatest(F.col("end") - F.col("from"), F.lit(0))).alias("part"))
+    members, groups, stretches = shared_stretches(df, key, text, least, **sizes)
+    several = groups.groupBy("mark", "digest").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo < hi")
+    true = materialize(groups.join(several, ["mark", "digest"], "left_semi").select("mark", "cls").distinct(), "verified")
+    starts = stretches.join(true, ["mark", "cls"], "left_semi").select("cls", "start")
+    before = F.lag("start").over(Window.partitionBy("cls").orderBy("start"))  # at most the starts of one text
+    covered = starts.withColumn("new", F.least(F.lit(least), F.coalesce(F.col("start") - before, F.lit(least)))).groupBy("cls").agg(F.sum("new").alias("part"))
     copies = members.groupBy("cls").agg(F.count("*").alias("held")).where("held > 1")
-    lengths = df.where(F.col(key).isNotNull()).select(F.col(key).alias("key"), F.length(text).cast("bigint").alias("n_chars"))
-    rows = members.join(covered, "cls", "left").join(copies, "cls", "left").where("part is not null or held is not null")
-    rows = rows.join(lengths.distinct(), "key")
+    lengths = df.where(F.col(key).isNotNull()).select(F.col(key).alias("key"), F.xxhash64(text).alias("cls"), F.length(text).cast("bigint").alias("n_chars"))
+    parts = covered.join(copies, "cls", "full_outer")
+    rows = lengths.join(parts, "cls").where(F.col("n_chars") >= least)
     shared = F.when(F.col("held").isNotNull(), F.col("n_chars")).otherwise(F.col("part"))
     return rows.groupBy("key", "n_chars").agg(F.max(shared).alias("shared_chars")).withColumn("share", F.col("shared_chars") / F.col("n_chars"))
 

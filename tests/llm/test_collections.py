@@ -11,7 +11,8 @@ from findwell.llm import blocks, near_copies, terms
 from findwell.llm.fuse_scores import fused_ranking, rank_within
 from findwell.llm.leaks import find_leaks, remove_leaks, search_shard, Items, words_of
 from findwell.llm.neighbours import similar_vectors
-from findwell.llm.spans import common_stretches, shared_parts, sharing_pairs
+from findwell.llm.pairs import pairs_within
+from findwell.llm.spans import Hasher, shared_parts, shared_stretches, sharing_pairs, window_ranges
 from findwell.llm.encode import MergeTable, encode_texts, replay, tokenizer_path
 
 WORDS = [f"{a}{b}" for a in "ba be bi bo bu da de di".split() for b in "ka ke ki ko ku ma me mi mo".split()]
@@ -241,8 +242,8 @@ def spans_by_hand(docs, least):
     return set(out)
 
 
-@pytest.mark.parametrize("hot", [64, 1])
-def test_spans_against_brute_force(spark, hot):
+@pytest.mark.parametrize("functions, gram", [(3, 60), (1, 60), (2, 10), (4, 99)])
+def test_spans_against_brute_force(spark, functions, gram):
     r = random.Random(6)
     shared = [prose(r, 40)[:n] for n in (95, 99, 100, 101, 150, 180)]
     docs = []
@@ -252,7 +253,7 @@ def test_spans_against_brute_force(spark, hot):
         docs.append((k, "😀|".join(parts)))
     docs += [(70, None), (71, ""), (72, "-" * 400), (73, "-" * 150 + "x" * 20), (74, "=-" * 120), (75, "y" + "=-" * 70), (76, docs[0][1]), (77, docs[0][1]), (77, docs[0][1]), (None, docs[0][1]), (78, "z" * 99), (79, "z" * 99)]
     df = spark.createDataFrame([(a, b, 1, 2) for a, b in docs], "doc_id bigint, text string, cls int, sig int")
-    sizes = {"least": 100, "gram": 60, "hot": hot}
+    sizes = {"least": 100, "gram": gram, "functions": functions}
     got = sharing_pairs(df, "doc_id", "text", **sizes).collect()
     want = spans_by_hand(docs, 100)
     assert {tuple(x) for x in got} == want and len(got) == len(want)
@@ -269,8 +270,7 @@ def test_spans_against_brute_force(spark, hot):
     assert sharing_pairs(df.limit(0), "doc_id", "text").count() == 0
 
 
-@pytest.mark.parametrize("hot", [64, 1])
-def test_pieces_of_periodic_texts_at_every_phase(spark, hot):
+def test_pieces_of_periodic_texts_at_every_phase(spark):
     r = random.Random(8)
     docs = []
     for period in (2, 40, 80):
@@ -280,19 +280,56 @@ def test_pieces_of_periodic_texts_at_every_phase(spark, hot):
         docs += ["[" + (unit * 700)[:400] + "] tail", "(" + (unit * 700)[:400 + 3 * period] + "] tail, longer"]
     docs = [(k, t) for k, t in enumerate(docs)]
     df = spark.createDataFrame(docs, "doc_id bigint, text string")
-    got, want = [tuple(x) for x in sharing_pairs(df, "doc_id", "text", hot=hot).collect()], spans_by_hand(docs, 300)
+    got, want = [tuple(x) for x in sharing_pairs(df, "doc_id", "text").collect()], spans_by_hand(docs, 300)
     assert set(got) == want and len(got) == len(want)
-    parts = {x["key"]: x["shared_chars"] for x in shared_parts(df, "doc_id", "text", hot=hot).collect()}
+    parts = {x["key"]: x["shared_chars"] for x in shared_parts(df, "doc_id", "text").collect()}
     for k, t in docs:
         others = {u[p : p + 300] for j, u in docs if j != k for p in range(len(u) - 299)}
         covered = {p + i for p in range(len(t) - 299) if t[p : p + 300] in others for i in range(300)}
         assert parts.get(k, 0) == len(covered)
 
 
-def test_stretches_between_two_texts():
-    a, b = "xx" + "abcdefgh" * 5 + "yy", "q" + "abcdefgh" * 5 + "z"
-    assert common_stretches(a, b, [(10, 9), (18, 17)], 20) == [(2, 1, 40)]
-    assert common_stretches(a, b, [(10, 9)], 41) == []
+def test_windows_are_those_of_the_cartesian_tree():
+    r = random.Random(9)
+    texts = ["".join(r.choice("ab") for _ in range(n)) for n in (40, 12, 77)] + ["a" * 30]
+    least, gram = 12, 5
+    text, low, high, sig = window_ranges(texts, Hasher(), least, gram, 2)
+    for j in range(2):
+        for k, t in enumerate(texts):
+            mine = sorted((a, b, s) for o, a, b, s in zip(text.tolist(), low.tolist(), high.tolist(), sig.tolist()) if o == k and s & 3 == j)
+            assert [x for a, b, _ in mine for x in range(a, b + 1)] == list(range(len(t) - least + 1))  # each stretch once
+            tokens = {t[i : i + gram] for i in range(len(t) - gram + 1)}
+            least_of = {}
+            for a, b, s in mine:
+                for x in range(a, b + 1):
+                    least_of[x] = s
+            known = {}  # equal stretches have equal signatures, within and between texts
+            for x, s in least_of.items():
+                assert known.setdefault(t[x : x + least], s) == s
+            assert len({s for *_, s in mine}) <= len(tokens)
+
+
+def test_a_passage_in_very_many_texts_costs_each_of_them_the_same(spark):
+    r = random.Random(10)
+    footer = prose(r, 120)
+    docs = [(k, f"{prose(r, 70)} {footer}") for k in range(400)] + [(900, footer)]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    members, groups, stretches = shared_stretches(df, "doc_id", "text")
+    each = {x["cls"]: x["n"] for x in stretches.groupBy("cls").agg(F.count("*").alias("n")).collect()}
+    assert len(each) == 401 and max(each.values()) <= len(footer) - 299 + 40  # some agree in the letters before it
+    assert groups.count() <= 20 * 401
+    parts = {x["key"]: x["shared_chars"] for x in shared_parts(df, "doc_id", "text").collect()}
+    assert len(parts) == 401 and all(len(footer) <= n <= len(footer) + 40 for n in parts.values())
+    assert sharing_pairs(df, "doc_id", "text").count() == 401 * 400 // 2
+
+
+def test_pairs_within_groups_in_blocks(spark):
+    rows = [("hot", k) for k in range(57)] + [("two", 3), ("two", 100), ("one", 5), (None, 1), (None, 2)]
+    df = spark.createDataFrame(rows, "g string, x int")
+    want = {(a, b) for a in range(57) for b in range(a + 1, 57)} | {(3, 100)}
+    for block in (1, 7, 57, 4096):
+        got = [tuple(p) for p in pairs_within(df, ["g"], "x", block).collect()]
+        assert set(got) == want and len(got) == len(want)
 
 
 def test_many_equal_vectors_are_one_in_the_search(spark):
