@@ -69,17 +69,18 @@ def _send_udf(tokens_of, bits, short):
     def run(batches):
         for batch in batches:
             for i in range(batch.num_rows):
-                block, tokens, counts = tokens_of(batch, i)
+                block, tokens, counts, *marks = tokens_of(batch, i)
                 edges = np.searchsorted(tokens, np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits)) if bits else []
                 edges = [0, *edges, len(tokens)]
                 full = [k for k in range(1 << bits) if edges[k] < edges[k + 1]]
                 parts = [[pack(tokens[edges[k] : edges[k + 1]]) for k in full], [pack_counts(counts[edges[k] : edges[k + 1]]) for k in full]]
-                yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([block] * len(full), pa.int64()), *[pa.array(p, pa.binary()) for p in parts]], names=["range", "block", "tokens", "counts"])
+                parts += [[shorten(m[edges[k] : edges[k + 1]]) for k in full] for m in marks]
+                yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([block] * len(full), pa.int64()), *[pa.array(p, pa.binary()) for p in parts]], names=["range", "block", "tokens", "counts", *["marks"] * len(marks)])
 
     return run
 
 
-def _add_udf(short):
+def _add_udf(short, marked):
     unpack = lengthen if short else lambda b: np.frombuffer(b, dtype=np.uint64)
 
     def add_up(table):
@@ -90,24 +91,36 @@ def _add_udf(short):
         edges = np.cumsum([0, *[len(t) for t in tokens]])
         blobs = [pack_counts(total[a:b]) for a, b in zip(edges, edges[1:])]
         sizes = pa.array(np.diff(edges).astype(np.int32))
-        return pa.table({"block": table.column("block"), "range": table.column("range"), "n": sizes, "totals": pa.array(blobs, pa.binary())})
+        columns = {"block": table.column("block"), "range": table.column("range"), "n": sizes, "totals": pa.array(blobs, pa.binary())}
+        if marked:
+            sums = np.zeros(int(inverse.max(initial=-1)) + 1, dtype=np.uint64)
+            np.add.at(sums, inverse, np.concatenate([lengthen(b) for b in table.column("marks").to_pylist()]))
+            sums = sums[inverse]
+            shown = [shorten(sums[a:b][total[a:b] > 1]) for a, b in zip(edges, edges[1:])]
+            columns["marks"] = pa.array(shown, pa.binary())
+        return pa.table(columns)
 
     return add_up
 
 
-def with_totals(blocks: DataFrame, tokens_of, size: str, short: bool = False) -> DataFrame:
+def with_totals(blocks: DataFrame, tokens_of, size: str, short: bool = False, marked: bool = False) -> DataFrame:
     """``blocks`` with totals: for each token of the block, how many texts of all blocks hold it.
 
     ``tokens_of(batch, i)`` gives the number of block ``i`` of a batch, its distinct token hashes in
     ascending order and the number of its texts that hold each; column ``size`` is about how
-    many tokens it has. Hashes whose lowest 16 bits are 0 may be sent ``short``. ``blocks`` must give the same rows each time it is read.
+    many tokens it has. Hashes whose lowest 16 bits are 0 may be sent ``short``. With ``marked`` a
+    fourth array has for each token the sum of hashes (lowest 16 bits 0) of the block's texts that hold
+    it, and the totals have the sums over all blocks: tokens held by the same texts have the same
+    mark. ``blocks`` must give the same rows each time it is read.
     """
     amount = blocks.agg(F.sum(size)).collect()[0][0] or 0
     bits = max(4, int(np.ceil(np.log2(max(1, amount / RANGE_TOKENS)))))
-    sent = blocks.mapInArrow(_send_udf(tokens_of, bits, short), "range int, block bigint, tokens binary, counts binary")
-    added = sent.groupBy("range").applyInArrow(_add_udf(short), "block bigint, range int, n int, totals binary")
-    reply = added.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("range", "n", "totals"))).alias("__t"))
-    return blocks.join(reply, "block").withColumn("totals", F.transform("__t", lambda t: F.struct(t["n"].alias("n"), t["totals"].alias("counts")))).drop("__t")
+    more, kind = (["marks"], ", marks binary") if marked else ([], "")
+    sent = blocks.mapInArrow(_send_udf(tokens_of, bits, short), "range int, block bigint, tokens binary, counts binary" + kind)
+    added = sent.groupBy("range").applyInArrow(_add_udf(short, marked), "block bigint, range int, n int, totals binary" + kind)
+    reply = added.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("range", "n", "totals", *more))).alias("__t"))
+    field = lambda t: F.struct(t["n"].alias("n"), t["totals"].alias("counts"), *[t[m].alias(m) for m in more])
+    return blocks.join(reply, "block").withColumn("totals", F.transform("__t", field)).drop("__t")
 
 
 def totals_of(batch, i) -> np.ndarray:
@@ -115,6 +128,13 @@ def totals_of(batch, i) -> np.ndarray:
     return np.concatenate([unpack_counts(t["counts"], t["n"]) for t in batch.column("totals")[i].as_py()] or [np.zeros(0, dtype=np.int64)])
 
 
+def marks_of(batch, i, totals: np.ndarray) -> np.ndarray:
+    """The marks of the tokens of block ``i``; 0 for those that one text alone holds."""
+    marks = np.zeros(len(totals), dtype=np.uint64)
+    marks[totals > 1] = np.concatenate([lengthen(t["marks"]) for t in batch.column("totals")[i].as_py()] or [marks[:0]])
+    return marks
+
+
 def numbers(batch, name: str, i: int, kind) -> np.ndarray:
     """A list column of block ``i`` as numbers."""
     return np.asarray(batch.column(name)[i].values).astype(kind, copy=False)

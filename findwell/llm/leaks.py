@@ -14,6 +14,7 @@ are null or without words match nothing.
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from findwell.llm.arrow import share, shared, slices
+from findwell.plans.scratch import materialize
 
 LEAST = 12
 SHARD_WORDS = 1 << 18
@@ -50,7 +52,7 @@ class Items:
         self.item = np.array(ids, dtype=np.int64)
         self.at = np.array([a for a, _ in heads], dtype=np.int64)
         self.need = np.array([n for _, n in heads], dtype=np.int64)
-        self.words = np.array(runs, dtype=np.int64).reshape(len(runs), least)
+        self.words = np.array(runs, dtype=np.int32).reshape(len(runs), least)
         self.shortest = int(self.need.min()) if len(runs) else least
 
 
@@ -171,13 +173,17 @@ def find_leaks(documents: DataFrame, benchmark: DataFrame, doc_id="doc_id", text
         raise ValueError("least must be positive")
     spark = documents.sparkSession
     rows = documents.select(F.col(doc_id).cast("bigint").alias("k"), F.col(text).alias("t"))
-    hits = None
+    schema = "doc_id bigint, item_id bigint, longest bigint"
+    found, last = [], None
     for block in _blocks(benchmark, item_id, item_text, block_chars):
-        ref = share(spark, Items(block, least))
-        part = rows.mapInArrow(_search_udf(ref), "doc_id bigint, item_id bigint, longest bigint")
-        hits = part if hits is None else hits.unionAll(part)
-    if hits is None:
-        return spark.createDataFrame([], "doc_id bigint, item_id bigint, longest bigint")
+        if last is not None:  # several blocks: each is searched and its broadcast dropped before the next
+            found[-1] = materialize(found[-1], "leaks")
+            last.unpersist()
+        last = share(spark, Items(block, least))
+        found.append(rows.mapInArrow(_search_udf(last), schema))
+    if not found:
+        return spark.createDataFrame([], schema)
+    hits = reduce(DataFrame.unionAll, found)
     return hits.groupBy("doc_id", "item_id").agg(F.max("longest").alias("longest"))
 
 

@@ -1,46 +1,50 @@
 """Problem 2: records that share most of their content, by prefixes of token combinations.
 
-A record is the set of its sequences of ``shingle`` words. Sequences are ordered by how many
-records hold them, rarest first. Two sets with ``threshold`` of their union in common have at
-least k sequences in common among the first n - ceil(threshold * n) + k of each (extended
-prefix). Which of them are looked up depends on their class: a rare sequence alone; common ones in
-pairs, of which at least one isn't very common; very common ones in triples. Whatever the classes
-of k common sequences, they make a certain least number of common keys, so pairs that meet under
-fewer keys are dropped at once. All others are verified on their whole sets.
-
-Records of equal sets are one class until the end, so exact copies never meet as pairs before. The
-counts that order the sequences are exact and cover all current records.
+A record is the set of its sequences of ``shingle`` words. Exact counts over all current records say
+how many hold each sequence, and a mark (a sum of the holders' hashes) which: sequences with the
+same mark are held by the same records and are one token, whose weight is their number. So a
+passage that a million records share is one heavy token, and what a record alone holds is none.
+
+Tokens are ordered by how many records hold them, rarest first. Two sets with ``threshold`` of their
+union in common share a first token in this order, and all they share stands behind it: so in
+either set the weight from that token on is at least what the two must have in common. A record is
+looked up under its prefix, the tokens for which that can be: of the smaller of two records it is
+enough to take those that leave 2t / (1 + t) of its sequences, of the larger those that leave t. A
+rare token is a key alone. A common one is a key in combination with each token that can be the
+second of a pair, and alone only if its weight may be all that is shared. A record whose
+combinations would pass ``BUDGET`` per sequence is looked up under its common tokens alone, and so
+are the others where they look for such records; so a record has at most (2 + BUDGET) n + SPARE
+keys, and no pair is lost. Keys that very many records hold are joined block against block.
+
+Pairs that meet are dropped at once if what is left of either set under the key is too little;
+the others are verified on all their tokens and weights. Records of equal sets are one class until
+the end, so exact copies never meet as pairs before.
 
 A null title or content is an empty one; records of fewer than ``least_words`` words take no part.
 """
 
 from __future__ import annotations
 
-from itertools import combinations
-
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from findwell.llm.arrow import list_array, slices
-from findwell.llm.blocks import WORD, WordHashes, lengthen, mix, numbers, shorten, totals_of, with_totals
+from findwell.llm.blocks import WORD, WordHashes, lengthen, marks_of, mix, numbers, shorten, totals_of, with_totals
+from findwell.llm.pairs import BLOCK, block_count, pairs_within
 from findwell.operators.state import current_rows
 from findwell.plans.scratch import materialize
 
 SHINGLE, THRESHOLD, LEAST_WORDS = 5, 0.8, 20
-RARE, COMMON = 16, 1024
+RARE = 16  # holders up to which a token is a key alone
+BUDGET, SPARE = 4, 64  # combinations per sequence of a record, and to begin with
 BLOCK_WORDS = 400_000
-K = 6
 _KEPT = ~np.uint64(0xFFFF)  # hashes of 48 bits: two of a record's sequences are confused once in 10**10 records
 _BLOCK = "block bigint, ids array<string>, classes array<bigint>, sizes array<int>, lengths array<int>, words binary, wide boolean, vocabulary array<bigint>, size bigint"
-
-
-def least_keys(k: int) -> int:
-    """The least number of common keys of two sets that have ``k`` sequences of any classes in common."""
-    splits = [(r, m, k - r - m) for r in range(k + 1) for m in range(k + 1 - r)]
-    return min(r + m * (m - 1) // 2 + m * v + v * (v - 1) * (v - 2) // 6 for r, m, v in splits)
+_KEYS = "kind tinyint, key bigint, cls bigint, n int, bound int, wide boolean, often boolean, tokens binary"
+SET, ALONE, PAIR, COMMON = range(4)  # kinds of rows: a class with its tokens, and its keys
 
 
 def shingle_hashes(words: np.ndarray, lengths: np.ndarray, shingle: int) -> tuple[np.ndarray, np.ndarray]:
@@ -117,115 +121,176 @@ def _block_tokens(batch, i, shingle):
     return shingle_hashes(vocabulary[words], numbers(batch, "lengths", i, np.int64), shingle)
 
 
+def _class_hashes(classes: np.ndarray) -> np.ndarray:
+    return mix(classes.view(np.uint64) + np.uint64(0x51ED)) & _KEPT
+
+
 def _tokens_of(shingle):
     def tokens_of(batch, i):
-        tokens, counts = np.unique(_block_tokens(batch, i, shingle)[1], return_counts=True)
-        return batch.column("block")[i].as_py(), tokens, counts
+        text, tokens = _block_tokens(batch, i, shingle)
+        tokens, inverse, counts = np.unique(tokens, return_inverse=True, return_counts=True)
+        marks = np.zeros(len(tokens), dtype=np.uint64)
+        np.add.at(marks, inverse, _class_hashes(numbers(batch, "classes", i, np.int64))[text])
+        return batch.column("block")[i].as_py(), tokens, counts, marks
 
     return tokens_of
 
 
-def _combined(hashes: np.ndarray) -> np.ndarray:
-    """One key per row of a matrix of token hashes, whatever their order."""
-    return mix(mix(hashes).sum(axis=1, dtype=np.uint64) + np.uint64(hashes.shape[1]))
+def _key(*marks: np.ndarray) -> np.ndarray:
+    """One key per row of marks, whatever their order."""
+    total = np.full(len(marks[0]), len(marks), dtype=np.uint64)
+    for m in marks:
+        total += mix(m)
+    return mix(total).view(np.int64)
 
 
-def prefix_keys(tokens: np.ndarray, df: np.ndarray, small: bool, rare: int, common: int) -> np.ndarray:
-    """The keys under which a set is looked up; ``tokens`` is its prefix, with their df."""
-    here = df > 1  # what one record alone holds meets nothing
-    tokens, df = tokens[here], df[here]
-    alone = (df <= rare) | small  # two small sets may share fewer than k tokens
-    keys = [_combined(tokens[alone][:, None])]
-    some, many = tokens[(df > rare) & (df <= common)], tokens[df > common]
-    if len(some) > 1:
-        keys.append(_combined(np.array(list(combinations(some, 2)), dtype=np.uint64)))
-    if len(some) and len(many):
-        keys.append(_combined(np.stack([np.repeat(some, len(many)), np.tile(many, len(some))], axis=1)))
-    if len(many) > 2:
-        keys.append(_combined(np.array(list(combinations(many, 3)), dtype=np.uint64)))
-    return np.concatenate(keys)
+def least_shared(n: int, threshold: float, larger: bool) -> int:
+    """How much a set of ``n`` must share at least with one that isn't larger, or isn't smaller."""
+    return int(np.ceil((threshold if larger else 2 * threshold / (1 + threshold)) * n - 1e-9))
 
 
-def _keys_udf(shingle, threshold, rare, common):
-    def run(batches):
-        for batch in batches:
-            for i in range(batch.num_rows):
-                text, tokens = _block_tokens(batch, i, shingle)
-                df = totals_of(batch, i)[np.unique(tokens, return_inverse=True)[1]]
-                order = np.lexsort((tokens, df, text))
-                tokens, df = tokens[order], df[order]
-                classes, sizes = numbers(batch, "classes", i, np.int64), numbers(batch, "sizes", i, np.int64)
-                starts = np.cumsum(sizes) - sizes
-                chosen = np.sort(numbers(batch, "chosen", i, np.int64))
-                keys, cls, size = [], [], []
-                for c, n, at in zip(classes[chosen].tolist(), sizes[chosen].tolist(), starts[chosen].tolist()):
-                    p = min(n, n - int(np.ceil(threshold * n - 1e-9)) + K)
-                    found = prefix_keys(tokens[at : at + p], df[at : at + p], n * threshold <= 2 * K, rare, common)
-                    keys.append(found), cls.append(np.full(len(found), c)), size.append(np.full(len(found), n, dtype=np.int32))
-                if keys:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(cls)), pa.array(np.concatenate(size))], names=["key", "cls", "n"])
+def combinations(weight: np.ndarray, left: np.ndarray, first: int, need: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places (f, g) of the first and second token of all that may be shared with a prefix's common tokens.
 
-    return run
+    ``left`` has the weight from each token on, ``first`` is the first common one.
+    """
+    f = np.arange(first, int(np.searchsorted(-left, -need, side="right")))
+    stop = np.searchsorted(-left, weight[f] - need, side="right")  # left[g] >= need - weight[f]
+    size = np.maximum(0, stop - f - 1)
+    ends = np.cumsum(size)
+    return np.repeat(f, size), np.arange(int(ends[-1]) if len(ends) else 0) - np.repeat(ends - size, size) + np.repeat(f, size) + 1
 
 
-def _sets_udf(shingle):
+def _keys_udf(shingle, threshold, rare, budget, spare, block):
     def run(batches):
         for batch in batches:
             for i in range(batch.num_rows):
                 text, tokens = _block_tokens(batch, i, shingle)
-                sizes = numbers(batch, "sizes", i, np.int64)
-                ends = np.cumsum(sizes)
-                for cut in range(0, len(batch.column("needed")[i]), 1000):
-                    needed = np.sort(numbers(batch, "needed", i, np.int64))[cut : cut + 1000]
-                    blobs = [shorten(tokens[ends[k] - sizes[k] : ends[k]]) for k in needed]
-                    yield pa.RecordBatch.from_arrays([pa.array(numbers(batch, "classes", i, np.int64)[needed]), pa.array(blobs, pa.binary())], names=["cls", "tokens"])
+                at = np.unique(tokens, return_inverse=True)[1]
+                df = totals_of(batch, i)
+                marks, df = marks_of(batch, i, df)[at], df[at]
+                classes, sizes = numbers(batch, "classes", i, np.int64), numbers(batch, "sizes", i, np.int64)
+                own = df.astype(np.uint64) * _class_hashes(classes)[text]
+                chosen = np.zeros(len(classes), dtype=bool)
+                chosen[numbers(batch, "chosen", i, np.int64)] = True
+                met = (df > 1) & (marks != own) & chosen[text]  # held by another class too
+                text, marks, df = text[met], marks[met], df[met]
+                order = np.lexsort((marks, df, text))
+                text, marks, df = text[order], marks[order], df[order]
+                new = np.ones(len(text), dtype=bool)
+                new[1:] = (text[1:] != text[:-1]) | (marks[1:] != marks[:-1]) | (df[1:] != df[:-1])
+                starts = np.flatnonzero(new)
+                weight = np.diff(np.append(starts, len(text)))
+                text, marks, df = text[starts], marks[starts], df[starts]
+                edges = np.searchsorted(text, np.arange(len(classes) + 1))
+                rows: dict[str, list] = {c.split()[0]: [] for c in _KEYS.split(", ")}
+
+                def add(kind, key, c, n, bound, wide=False, often=False, tokens=None):
+                    k = len(key)
+                    for name, x, dtype in (("kind", kind, np.int8), ("cls", c, np.int64), ("n", n, np.int32), ("wide", wide, bool)):
+                        rows[name].append(np.full(k, x, dtype=dtype))
+                    rows["key"].append(key), rows["bound"].append(np.asarray(bound, dtype=np.int32)), rows["often"].append(np.broadcast_to(often, k))
+                    rows["tokens"] += [tokens] * k
+
+                for k in np.flatnonzero(chosen & (edges[1:] > edges[:-1])).tolist():
+                    a, b, c, n = edges[k], edges[k + 1], classes[k], int(sizes[k])
+                    w, m, held = weight[a:b], marks[a:b], df[a:b]
+                    left = np.cumsum(w[::-1])[::-1]
+                    need = least_shared(n, threshold, True)
+                    if left[0] < need:
+                        continue
+                    end = int(np.searchsorted(-left, -need, side="right"))
+                    first = min(end, int(np.searchsorted(held, rare, side="right")))
+                    add(SET, np.zeros(1, dtype=np.int64), c, n, [0], tokens=shorten(m) + w.astype("<u4").tobytes())
+                    alone = np.concatenate([np.arange(first), first + np.flatnonzero(w[first:end] >= need)])
+                    add(ALONE, _key(m[alone]), c, n, left[alone], often=held[alone] > block)
+                    if first < end:
+                        f, g = combinations(w, left, first, need)
+                        wide = len(f) > budget * n + spare
+                        if not wide:
+                            add(PAIR, _key(m[f], m[g]), c, n, w[f] + left[g], often=held[f] > block)
+                        add(COMMON, _key(m[first:end]), c, n, left[first:end], wide, held[first:end] > block)
+                if rows["key"]:
+                    columns = [pa.array(np.concatenate(rows[name])) for name in list(rows)[:-1]]
+                    yield pa.RecordBatch.from_arrays([*columns, pa.array(rows["tokens"], pa.binary())], names=list(rows))
 
     return run
 
 
 def _similar_udf(threshold):
+    def tokens(blob):
+        k = len(blob) // 10
+        return lengthen(blob[: 6 * k]), np.frombuffer(blob, dtype="<u4", offset=6 * k).astype(np.int64)
+
     def run(batches):
         for batch in slices(batches, 2048):
             kept, share = [], []
-            for k, (a, b) in enumerate(zip(batch.column("set_a").to_pylist(), batch.column("set_b").to_pylist())):
-                x, y = lengthen(a), lengthen(b)
-                both = np.concatenate([x, y])
-                both.sort()
-                common = int((both[1:] == both[:-1]).sum())
-                if common >= threshold * (len(both) - common) - 1e-9:
-                    kept.append(k), share.append(common / (len(both) - common))
+            rows = zip(*[batch.column(c).to_pylist() for c in ("tokens_a", "tokens_b", "n_a", "n_b")])
+            for k, (a, b, n, m) in enumerate(rows):
+                (x, v), (y, w) = tokens(a), tokens(b)
+                _, i, j = np.intersect1d(x, y, assume_unique=True, return_indices=True)
+                common = int(np.minimum(v[i], w[j]).sum())
+                if common >= threshold * (n + m - common) - 1e-9:
+                    kept.append(k), share.append(common / (n + m - common))
             rows = batch.take(pa.array(kept, pa.int64()))
             yield pa.RecordBatch.from_arrays([rows.column("a"), rows.column("b"), pa.array(share, pa.float64())], names=["a", "b", "similarity"])
 
     return run
 
 
-def near_copies(records: DataFrame, shingle: int = SHINGLE, threshold: float = THRESHOLD, least_words: int = LEAST_WORDS, rare: int = RARE, common: int = COMMON) -> tuple[DataFrame, DataFrame]:
+def _meetings(left: DataFrame, right: DataFrame, hot: DataFrame, threshold: float, block: int) -> DataFrame:
+    """(a, b): classes of ``left`` and not larger ones of ``right`` that meet under a key and may share enough.
+
+    ``hot`` (key, held) lists the keys of more than ``block`` rows. Their rows are spread over blocks
+    by the hash of the class, and each block of one side meets each of the other under a key of its
+    own, so that no task holds a hot key whole.
+    """
+    a = left.select("key", F.col("cls").alias("a"), F.col("n").alias("n_a"), F.col("bound").alias("bound_a"))
+    smaller = F.col("bound") >= F.ceil(2 * threshold / (1 + threshold) * F.col("n") - 1e-9)
+    b = right.where(smaller).select("key", F.col("cls").alias("b"), F.col("n").alias("n_b"), F.col("bound").alias("bound_b"))
+    need = threshold / (1 + threshold) * (F.col("n_a") + F.col("n_b")) - 1e-9
+    order = (F.col("n_a") > F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("a") < F.col("b")))
+    enough = order & (F.least("bound_a", "bound_b") >= need) & (F.col("n_b") >= threshold * F.col("n_a") - 1e-9)
+
+    def spread(rows: DataFrame, cls: str, mine: str, others: str) -> DataFrame:
+        of: Column = block_count(F.col("held"), block)
+        placed = rows.join(hot, "key").withColumn(mine, F.pmod(F.xxhash64(F.lit(11), F.col(cls)), of).cast("int"))
+        return placed.withColumn(others, F.explode(F.sequence(F.lit(0), of - 1))).drop("held")
+
+    cold = a.join(hot, "key", "left_anti").join(b.join(hot, "key", "left_anti"), "key")
+    many = spread(a, "a", "__i", "__j").join(spread(b, "b", "__j", "__i"), ["key", "__i", "__j"]).drop("__i", "__j")
+    return cold.unionByName(many).where(enough).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
+def near_copies(records: DataFrame, shingle: int = SHINGLE, threshold: float = THRESHOLD, least_words: int = LEAST_WORDS, rare: int = RARE, budget: int = BUDGET, spare: int = SPARE, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
     """((id, cls) members, (a, b, similarity) pairs of classes that are at least that similar).
 
     ``records`` has a unique id STRING, title and content. A class is a set of sequences that one
     or more records have; two classes of a pair are different sets. Empty tables give no rows.
+    ``rare``, ``budget``, ``spare`` and ``block`` change the keys, never the result.
     """
     if not 0 < threshold <= 1:
         raise ValueError("threshold must be over 0 and at most 1")
     rows = records.where(F.col("id").isNotNull()).select("id", "title", "content")
     blocks = materialize(rows.mapInArrow(_pack_udf(shingle, least_words), _BLOCK), "blocks")
     each = blocks.select("block", F.posexplode(F.arrays_zip("ids", "classes")).alias("at", "m")).select("block", "at", F.col("m.ids").alias("id"), F.col("m.classes").alias("cls"))
-    first = materialize(each.groupBy("cls").agg(F.min(F.struct("block", "at")).alias("w")).select("cls", "w.block", "w.at"), "classes")
+    first = each.groupBy("cls").agg(F.min(F.struct("block", "at")).alias("w")).select("w.block", "w.at")
     chosen = first.groupBy("block").agg(F.collect_list("at").alias("chosen"))
-    counted = with_totals(blocks.select("block", "classes", "sizes", "lengths", "words", "wide", "vocabulary", "size"), _tokens_of(shingle), "size", short=True)
-    keys = counted.join(chosen, "block").mapInArrow(_keys_udf(shingle, threshold, rare, common), "key bigint, cls bigint, n int")
-    a = keys.select("key", F.col("cls").alias("a"), F.col("n").alias("n_a"))
-    b = keys.select("key", F.col("cls").alias("b"), F.col("n").alias("n_b"))
-    small = F.least("n_a", "n_b")
-    met = a.join(b, "key").where((F.col("a") < F.col("b")) & (small >= threshold * F.greatest("n_a", "n_b") - 1e-9))
-    enough = F.count("*") >= F.min(F.least(F.lit(least_keys(K)), F.ceil(threshold * small - 1e-9)))
-    pairs = materialize(met.groupBy("a", "b").agg(enough.alias("enough")).where("enough").select("a", "b"), "pairs")
-    asked = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct()
-    needed = first.join(asked, "cls", "left_semi").groupBy("block").agg(F.collect_list("at").alias("needed"))
-    sets = blocks.select("block", "classes", "sizes", "lengths", "words", "wide", "vocabulary").join(needed, "block").mapInArrow(_sets_udf(shingle), "cls bigint, tokens binary")
-    both = pairs.join(sets.select(F.col("cls").alias("a"), F.col("tokens").alias("set_a")), "a").join(sets.select(F.col("cls").alias("b"), F.col("tokens").alias("set_b")), "b")
-    return each.select("id", "cls"), both.select("a", "b", "set_a", "set_b").mapInArrow(_similar_udf(threshold), "a bigint, b bigint, similarity double")
+    counted = with_totals(blocks.drop("ids"), _tokens_of(shingle), "size", short=True, marked=True)
+    keys = materialize(counted.join(chosen, "block").mapInArrow(_keys_udf(shingle, threshold, rare, budget, spare, block), _KEYS), "keys")
+    hot = materialize(keys.where("often").groupBy("kind", "key").agg(F.count(F.lit(1)).alias("held")).where(F.col("held") > block), "hot")
+    met = []
+    for kind in (ALONE, PAIR, COMMON):
+        mine, there = keys.where(F.col("kind") == kind).select("key", "cls", "n", "bound", "wide"), hot.where(F.col("kind") == kind).select("key", "held")
+        sides = [(mine.where("wide"), mine), (mine.where("not wide"), mine.where("wide"))] if kind == COMMON else [(mine, mine)]
+        met += [_meetings(left, right, there, threshold, block) for left, right in sides]
+    pairs = met[0]
+    for m in met[1:]:
+        pairs = pairs.unionByName(m)
+    sets = keys.where(F.col("kind") == SET).select("cls", "n", "tokens")
+    a, b = (sets.select(F.col("cls").alias(x), F.col("n").alias(f"n_{x}"), F.col("tokens").alias(f"tokens_{x}")) for x in "ab")
+    both = pairs.distinct().join(a, "a").join(b, "b")
+    return each.select("id", "cls"), both.select("a", "b", "tokens_a", "tokens_b", "n_a", "n_b").mapInArrow(_similar_udf(threshold), "a bigint, b bigint, similarity double")
 
 
 def near_copy_pairs(records: DataFrame, **settings) -> DataFrame:
@@ -233,7 +298,7 @@ def near_copy_pairs(records: DataFrame, **settings) -> DataFrame:
     members, similar = near_copies(records, **settings)
     a, b = members.select(F.col("cls").alias("a"), F.col("id").alias("x")), members.select(F.col("cls").alias("b"), F.col("id").alias("y"))
     other = similar.join(a, "a").join(b, "b").select("x", "y", "similarity")
-    same = a.join(b, F.col("a") == F.col("b")).where(F.col("x") < F.col("y")).select("x", "y", F.lit(1.0).alias("similarity"))
+    same = pairs_within(members, ["cls"], "id").select(F.col("a").alias("x"), F.col("b").alias("y"), F.lit(1.0).alias("similarity"))
     return other.unionByName(same).select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"), "similarity")
 
 

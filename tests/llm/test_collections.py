@@ -43,9 +43,9 @@ def shingles(text, k):
     return {tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))}, len(w)
 
 
-@pytest.mark.parametrize("rare, common", [(16, 1024), (1, 2), (2, 3), (1, 10**6)])
+@pytest.mark.parametrize("rare, budget, spare, block", [(16, 4, 64, 4096), (1, 4, 64, 3), (0, 0, 0, 4096), (0, 0, 0, 2), (1, 1, 0, 4096), (1, 10**6, 0, 5)])
 @pytest.mark.parametrize("shingle, threshold", [(3, 0.6), (5, 0.8)])
-def test_near_copies_equal_all_pairs(spark, rare, common, shingle, threshold):
+def test_near_copies_equal_all_pairs(spark, rare, budget, spare, block, shingle, threshold):
     r = random.Random(rare * 31 + shingle)
     rows = []
     for g in range(25):
@@ -60,7 +60,7 @@ def test_near_copies_equal_all_pairs(spark, rare, common, shingle, threshold):
     rows += [(f"b{k}", None, boiler + r.choice(WORDS)) for k in range(12)] + [(f"x{k}", "X", boiler) for k in range(5)]
     rows += [("null", None, None), ("tiny", None, "a b c"), ("same", None, "word " * 25), ("same2", None, "Word, " * 30), ("punct", "", "!!! " * 40)]
     df = stored(spark, rows)
-    got = {(p["id_a"], p["id_b"]) for p in near_copies.near_copy_pairs(df, shingle=shingle, threshold=threshold, rare=rare, common=common).collect()}
+    got = {(p["id_a"], p["id_b"]) for p in near_copies.near_copy_pairs(df, shingle=shingle, threshold=threshold, rare=rare, budget=budget, spare=spare, block=block).collect()}
     sets = {i: s for i, t, c in rows for s, n in [shingles(f"{t or ''} {c or ''}", shingle)] if n >= 20}
     want = {(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= threshold * len(sets[a] | sets[b]) - 1e-9}
     assert got == want
@@ -69,7 +69,54 @@ def test_near_copies_equal_all_pairs(spark, rare, common, shingle, threshold):
 def test_near_copies_of_nothing(spark):
     members, pairs = near_copies.near_copies(stored(spark, []))
     assert members.count() == 0 and pairs.count() == 0
-    assert near_copies.least_keys(6) == 4
+
+
+def near_copies_by_hand(rows, shingle, threshold):
+    sets = {i: shingles(f"{t or ''} {c or ''}", shingle)[0] for i, t, c in rows}
+    return {(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= threshold * len(sets[a] | sets[b]) - 1e-9}
+
+
+def test_a_long_passage_in_many_records_makes_few_keys(spark, monkeypatch):
+    """Records that share a passage, more than half of them, but aren't similar; and a few that are."""
+    r = random.Random(12)
+    passage = prose(r, 400)
+    rows = [(f"{k:04d}", None, f"{passage} {prose(r, 120 + k % 40)}") for k in range(300)]
+    rows += [(f"n{k}", None, rows[k][2] + " with two more") for k in range(5)]
+    written = {}
+
+    def keep(df, name):
+        written[name] = materialize(df, name)
+        return written[name]
+
+    materialize = near_copies.materialize
+    monkeypatch.setattr(near_copies, "materialize", keep)
+    got = {(p["id_a"], p["id_b"]) for p in near_copies.near_copy_pairs(stored(spark, rows)).collect()}
+    assert got == near_copies_by_hand(rows, 5, 0.8) and len(got) >= 5
+    assert written["keys"].where("kind > 0").count() <= 4 * len(rows)
+
+
+def test_records_of_common_sequences_alone_stay_within_the_budget(spark, monkeypatch):
+    """Long records drawn from the same phrases: every sequence is common and no two have the same holders."""
+    r = random.Random(13)
+    phrases = [prose(r, 12) for _ in range(80)]
+    rows = []
+    for k in range(60):
+        mine = [p for p in phrases if r.random() < 0.6]
+        rows.append((f"{k:03d}", None, " ".join(mine)))
+        if k % 10 == 0:
+            rows.append((f"{k:03d}x", None, " ".join(mine[:-1])))
+    written = {}
+
+    def keep(df, name):
+        written[name] = materialize(df, name)
+        return written[name]
+
+    materialize = near_copies.materialize
+    monkeypatch.setattr(near_copies, "materialize", keep)
+    got = {(p["id_a"], p["id_b"]) for p in near_copies.near_copy_pairs(stored(spark, rows), rare=2, budget=1, spare=0).collect()}
+    assert got == near_copies_by_hand(rows, 5, 0.8) and len(got) >= 6
+    each = written["keys"].where("kind > 0").groupBy("cls").agg(F.count("*").alias("k"), F.max("n").alias("n")).collect()
+    assert all(x["k"] <= 3 * x["n"] for x in each)
 
 
 # --- terms
@@ -293,7 +340,7 @@ def test_windows_are_those_of_the_cartesian_tree():
     r = random.Random(9)
     texts = ["".join(r.choice("ab") for _ in range(n)) for n in (40, 12, 77)] + ["a" * 30]
     least, gram = 12, 5
-    text, low, high, sig = window_ranges(texts, Hasher(), least, gram, 2)
+    text, low, high, sig = window_ranges(texts, Hasher(), least, gram, range(2))
     for j in range(2):
         for k, t in enumerate(texts):
             mine = sorted((a, b, s) for o, a, b, s in zip(text.tolist(), low.tolist(), high.tolist(), sig.tolist()) if o == k and s & 3 == j)
