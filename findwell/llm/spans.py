@@ -7,8 +7,8 @@ length are left out, which leaves about two windows per hundred characters and f
 stands for a range of stretches and sends only the hash of its smallest token.
 
 A stretch of the least length can be shared only if the windows around it are shared under every
-function. So each text joins the intervals of its shared windows: where those of all functions
-overlap, stretches are hashed whole. Of these, the ones that several texts hold are the result.
+function. So each text joins the intervals of its shared windows, those of the further functions
+only where the first one found something: where those of all overlap, stretches are hashed whole. Of these, the ones that several texts hold are the result.
 Texts meet their collection, never each other, so a passage that a million texts hold costs as much
 per text as one that two hold. Stretches held by the same texts are one group; its members are
 verified by a cryptographic digest of the characters of one stretch, each member once. Pairs of
@@ -112,7 +112,7 @@ def compact_windows(order: np.ndarray, whole: np.ndarray, text: np.ndarray, firs
     return left, c, right
 
 
-def window_ranges(texts: list[str], hasher: Hasher, least: int = LEAST, gram: int = GRAM, functions: int = FUNCTIONS):
+def window_ranges(texts: list[str], hasher: Hasher, least: int = LEAST, gram: int = GRAM, functions=range(FUNCTIONS)):
     """(text number, from, to, signature) of the compact windows of texts of the least length.
 
     ``from`` to ``to`` are the starts of the stretches of the least length that a window stands for.
@@ -131,7 +131,7 @@ def window_ranges(texts: list[str], hasher: Hasher, least: int = LEAST, gram: in
     whole = np.cumsum(inside[:-1]) > 0
     text = np.repeat(np.arange(len(texts)), lengths)
     out = []
-    for j in range(functions):
+    for j in functions:
         hashes = _mix(tokens + np.uint64(0x632BE59BD9B4E019 * (j + 1) & (1 << 64) - 1))
         left, c, right = compact_windows((hashes & ~_PLACE) | starts.astype(np.uint64), whole, text, offsets[:-1], offsets[1:] - gram, width)
         low, high = np.maximum(left, c - width + 1), np.minimum(c, right - width + 1)
@@ -160,45 +160,57 @@ def _blocks(batches, chars: int, text_at: int):
         yield held
 
 
+def _unseen(batches):
+    """The rows of a task whose class it hasn't met lately."""
+    seen: set[int] = set()
+    for batch in batches:
+        fresh = []
+        for i, c in enumerate(batch.column("cls").to_pylist()):
+            if c not in seen:
+                seen.add(c)
+                fresh.append(i)
+        if len(seen) > _SEEN:
+            seen.clear()
+        yield batch.take(pa.array(fresh, pa.int64()))
+
+
 def _windows_udf(least, gram, functions):
-    def unseen(batches):
-        seen: set[int] = set()
-        for batch in batches:
-            fresh = []
-            for i, c in enumerate(batch.column("cls").to_pylist()):
-                if c not in seen:
-                    seen.add(c)
-                    fresh.append(i)
-            if len(seen) > _SEEN:
-                seen.clear()
-            yield batch.take(pa.array(fresh, pa.int64()))
+    """The windows of texts (cls, text), or, with ranges, those that overlap the ranges found before."""
 
     def run(batches):
         hasher = Hasher()
-        for rows in _blocks(unseen(batches), BLOCK_CHARS, 1):
+        for rows in _blocks(_unseen(batches), BLOCK_CHARS, 1):
             # A very long text is read in parts that overlap by all but one character of a stretch.
-            parts = [(k, at, t[at : at + MOST + least - 1]) for k, t in rows for at in range(0, max(1, len(t) - least + 1), MOST)]
+            parts = [(r[0], at, r[1][at : at + MOST + least - 1]) for r in rows for at in range(0, max(1, len(r[1]) - least + 1), MOST)]
+            before = {r[0]: np.cumsum(np.concatenate([[0], inside(len(r[1]) - least + 1, r[2])])) for r in rows if len(r) > 2}
             for group in [parts] if len(parts) == len(rows) else [[p] for p in parts]:
                 text, low, high, sig = window_ranges([p[2] for p in group], hasher, least, gram, functions)
                 cls, shift = (np.array([p[i] for p in group], dtype=np.int64)[text] for i in (0, 1))
-                yield pa.RecordBatch.from_arrays([pa.array(sig), pa.array(cls), pa.array((low + shift).astype(np.int32)), pa.array((high + shift).astype(np.int32))], names=["sig", "cls", "low", "high"])
+                low, high = low + shift, high + shift
+                if before:
+                    keep = np.zeros(len(low), dtype=bool)
+                    for k, p in enumerate(group):
+                        mine = np.flatnonzero(text == k)
+                        keep[mine] = before[p[0]][high[mine] + 1] > before[p[0]][low[mine]]
+                    cls, low, high, sig = cls[keep], low[keep], high[keep], sig[keep]
+                yield pa.RecordBatch.from_arrays([pa.array(sig), pa.array(cls), pa.array(low.astype(np.int32)), pa.array(high.astype(np.int32))], names=["sig", "cls", "low", "high"])
 
     return run
 
 
+def inside(n: int, ranges) -> np.ndarray:
+    """Which of ``n`` starts lie in any of the ranges (low, high)."""
+    edge = np.zeros(n + 1, dtype=np.int32)
+    for r in ranges:
+        edge[r["low"]] += 1
+        edge[r["high"] + 1] -= 1
+    return np.cumsum(edge[:-1]) > 0
+
+
 def overlap(n: int, ranges, functions: int) -> np.ndarray:
-    """The starts, of ``n``, that lie in a range (function, low, high) of every function."""
-    inside = np.ones(n, dtype=bool)
-    for j in range(functions):
-        edge = np.zeros(n + 1, dtype=np.int32)
-        mine = [(r["low"], r["high"]) for r in ranges if r["sig"] & 3 == j]
-        if not mine:
-            return np.zeros(0, dtype=np.int64)
-        low, high = np.array(mine, dtype=np.int64).T
-        np.add.at(edge, low, 1)
-        np.add.at(edge, high + 1, -1)
-        inside &= np.cumsum(edge[:-1]) > 0
-    return np.flatnonzero(inside)
+    """The starts, of ``n``, that lie in a range (sig, low, high) of every function."""
+    by = [[r for r in ranges if r["sig"] & 3 == j] for j in range(functions)]
+    return np.flatnonzero(np.logical_and.reduce([inside(n, r) for r in by]))
 
 
 def _stretches_udf(least, functions):
@@ -234,6 +246,15 @@ def _digests_udf(least):
     return run
 
 
+def _shared_ranges(texts: DataFrame, least: int, gram: int, functions: list[int]) -> DataFrame:
+    """(cls, ranges): where a class has windows, under each of the functions, whose signature another class has too."""
+    windows = materialize(texts.mapInArrow(_windows_udf(least, gram, functions), "sig bigint, cls bigint, low int, high int"), "windows")
+    # Tables on both sides of this join, so that Spark can split the partition of a hot signature.
+    several = materialize(windows.groupBy("sig").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo < hi").select("sig"), "several")
+    ranges = windows.join(several, "sig", "left_semi").groupBy("cls").agg(F.collect_set(F.struct("sig", "low", "high")).alias("ranges"))
+    return ranges.where(F.size(F.array_distinct(F.transform("ranges", lambda r: r["sig"].bitwiseAND(F.lit(3))))) == len(functions))
+
+
 def shared_stretches(df: DataFrame, key: str, text: str, least: int = LEAST, gram: int = GRAM, functions: int = FUNCTIONS) -> tuple[DataFrame, DataFrame, DataFrame]:
     """((key, cls) members, (mark, digest, cls) groups, (mark, cls, start) stretches).
 
@@ -246,13 +267,13 @@ def shared_stretches(df: DataFrame, key: str, text: str, least: int = LEAST, gra
     if not 0 < functions <= 4:
         raise ValueError("one to four hash functions")
     long = df.where((F.length(text) >= least) & F.col(key).isNotNull()).select(F.col(key).alias("key"), F.xxhash64(text).alias("cls"), F.col(text).alias("text"))
-    windows = materialize(long.select("cls", "text").mapInArrow(_windows_udf(least, gram, functions), "sig bigint, cls bigint, low int, high int"), "windows")
-    # Tables on both sides of these joins, so that Spark can split the partition of a hot key.
-    several = materialize(windows.groupBy("sig").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo < hi").select("sig"), "several")
-    ranges = windows.join(several, "sig", "left_semi").groupBy("cls").agg(F.collect_set(F.struct("sig", "low", "high")).alias("ranges"))
-    ranges = ranges.where(F.size(F.array_distinct(F.transform("ranges", lambda r: r["sig"].bitwiseAND(F.lit(3))))) == functions)
-    chosen = materialize(long.groupBy("cls").agg(F.max("text").alias("text")).join(ranges, "cls").select("cls", "text", "ranges"), "chosen")
-    hashes = materialize(chosen.mapInArrow(_stretches_udf(least, functions), "hash bigint, cls bigint, start int, again boolean"), "hashes")
+    texts = long.groupBy("cls").agg(F.max("text").alias("text"))
+    chosen = materialize(texts.join(_shared_ranges(long.select("cls", "text"), least, gram, [0]), "cls").select("cls", "text", "ranges"), "chosen")
+    located = chosen
+    if functions > 1:  # the other functions look only where the first one found something
+        more = _shared_ranges(chosen, least, gram, list(range(1, functions))).withColumnRenamed("ranges", "more")
+        located = chosen.join(more, "cls").select("cls", "text", F.concat("ranges", "more").alias("ranges"))
+    hashes = materialize(located.mapInArrow(_stretches_udf(least, functions), "hash bigint, cls bigint, start int, again boolean"), "hashes")
     # Stretches held by the same classes have the same mark.
     mark = F.bit_xor(F.when(~F.col("again"), F.xxhash64(F.lit(3), F.col("cls")))).alias("mark")
     held = materialize(hashes.groupBy("hash").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi"), mark).where("lo < hi").select("hash", "mark"), "held")
