@@ -32,15 +32,59 @@ _SENTENCE_END = re.compile(r"""[.!?]["')\]]?\Z""")
 _LETTERS = re.compile(r"[^\W\d_]{3,}")
 
 
-def _bag(words: list[str]) -> Counter:
-    return Counter(w for word in words for w in _LETTERS.findall(word.lower()))
+class Cohesion:
+    """Cosine of the counts of terms of the blocks of words that meet after a word.
 
+    The two blocks are slid from end to end: a step moves one word into each and one out, so a
+    text costs as much as it has words, whatever the size of the blocks.
+    """
 
-def _cohesion(words: list[str], end: int, block: int) -> float:
-    """Cosine of the word counts of the blocks that meet after word ``end``."""
-    a, b = _bag(words[max(0, end + 1 - block) : end + 1]), _bag(words[end + 1 : end + 1 + block])
-    dot = sum(n * b[w] for w, n in a.items() if w in b)
-    return dot / sqrt(sum(n * n for n in a.values()) * sum(n * n for n in b.values())) if dot else 0.0
+    def __init__(self, words: list[str], block: int):
+        self.terms = [_LETTERS.findall(w.lower()) for w in words]
+        self.block, self.end = block, -1
+        self.before: Counter = Counter()
+        self.after: Counter = Counter()
+        self.dot = self.square_before = self.square_after = 0
+        for i in range(min(block, len(words))):
+            self._add(i, 1, False)
+
+    def _add(self, i: int, sign: int, before: bool) -> None:
+        """Put a word into one of the blocks, or take it out."""
+        mine, other = (self.before, self.after) if before else (self.after, self.before)
+        for t in self.terms[i]:
+            n = mine[t]
+            square = (2 * n + sign) * sign
+            if before:
+                self.square_before += square
+            else:
+                self.square_after += square
+            mine[t] = n + sign
+            self.dot += sign * other[t] if t in other else 0
+
+    def at(self, end: int) -> float:
+        """The cosine of the blocks before and after the end of word ``end``."""
+        if end < self.end:  # the next piece begins behind the end of the last one
+            self._rewind(end)
+        while self.end < end:
+            self.end += 1
+            here = self.end
+            self._add(here, -1, False)
+            self._add(here, 1, True)
+            if here + self.block < len(self.terms):
+                self._add(here + self.block, 1, False)
+            if here - self.block >= 0:
+                self._add(here - self.block, -1, True)
+        return self.dot / sqrt(self.square_before * self.square_after) if self.dot else 0.0
+
+    def _rewind(self, end: int) -> None:
+        """The blocks around an earlier end, from nothing."""
+        self.before, self.after = Counter(), Counter()
+        self.dot = self.square_before = self.square_after = 0
+        self.end = end
+        for i in range(max(0, end + 1 - self.block), end + 1):
+            self._add(i, 1, True)
+        for i in range(end + 1, min(len(self.terms), end + 1 + self.block)):
+            self._add(i, 1, False)
 
 
 def deepest_valley(similar: list[float]) -> int:
@@ -69,15 +113,15 @@ def split_words(text: str, limit: int = LIMIT, floor: int = FLOOR, overlap: int
     if not 0 <= overlap <= floor < limit:
         raise ValueError("0 <= overlap <= floor < limit is needed")
     spans = [m.span() for m in _WORD.finditer(text)]
-    pieces, start, n, words = [], 0, len(spans), None
+    pieces, start, n, cohesion = [], 0, len(spans), None
     while n - start > limit:
         ends = range(start + floor, start + limit)
         paragraphs = [e for e in ends if text.count("\n", spans[e][1], spans[e + 1][0]) >= 2]
         choice = paragraphs or [e for e in ends if _SENTENCE_END.search(text, max(spans[e][0], spans[e][1] - 2), spans[e][1])]
         if policy == "deepest":
-            words = words or [text[a:b] for a, b in spans]
+            cohesion = cohesion or Cohesion([text[a:b] for a, b in spans], block)
             choice = choice or list(ends)
-            end = choice[deepest_valley([_cohesion(words, e, block) for e in choice])]
+            end = choice[deepest_valley([cohesion.at(e) for e in choice])]
         else:
             end = choice[-1] if choice else ends[-1]
         pieces.append((start, end))
@@ -157,4 +201,23 @@ SQL = {
     UNION ALL SELECT id, n, pe, se, chunk_index + 1, t - 19,
       CASE WHEN n - (t - 19) <= 200 THEN n - 1 ELSE coalesce(list_max(list_filter(pe, lambda x: x BETWEEN t + 81 AND t + 180)), list_max(list_filter(se, lambda x: x BETWEEN t + 81 AND t + 180)), t + 180) END FROM p WHERE t < n - 1)
 SELECT id, chunk_index::INT AS chunk_index, s::INT AS first_word, t::INT AS last_word FROM p""",
+    "p1_topics": r"""WITH RECURSIVE cur AS (SELECT id, content FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY coalesce(updated_at, created_at) DESC NULLS LAST) AS r FROM stored_documents WHERE id IS NOT NULL) WHERE r = 1),
+  w AS (SELECT id, regexp_extract_all(content, '[^ \t\r\n]+[ \t\r\n]*', 0) AS w FROM cur), l AS (SELECT id, len(w) AS n, w FROM w WHERE len(w) > 200),
+  x AS (SELECT id, n, unnest(range(n)) AS i, unnest(w) AS word FROM l),
+  tok AS (SELECT id, n, i, unnest(regexp_extract_all(lower(regexp_extract(word, '^[^ \t\r\n]+')), '[\p{L}\p{Nl}\p{No}]{3,}')) AS t FROM x),
+  a AS (SELECT id, e, t, count(*) AS m FROM (SELECT id, n, t, i + unnest(range(20)) AS e FROM tok) WHERE e < n - 1 GROUP BY ALL),
+  b AS (SELECT id, e, t, count(*) AS m FROM (SELECT id, t, i - unnest(range(1, 21)) AS e FROM tok) WHERE e >= 0 GROUP BY ALL),
+  na AS (SELECT id, e, sum(m * m)::BIGINT AS q FROM a GROUP BY ALL), nb AS (SELECT id, e, sum(m * m)::BIGINT AS q FROM b GROUP BY ALL),
+  dot AS (SELECT a.id, a.e, sum(a.m * b.m)::BIGINT AS d FROM a JOIN b ON a.id = b.id AND a.e = b.e AND a.t = b.t GROUP BY ALL),
+  c AS (SELECT x.id, x.i AS e, CASE WHEN length(word) - length(replace(word, chr(10), '')) >= 2 THEN 2 WHEN regexp_matches(word, '[.!?]["'')\]]?[ \t\r\n]*$') THEN 1 ELSE 0 END AS kind,
+    coalesce(d / sqrt((na.q * nb.q)::DOUBLE), 0.0) AS v FROM x LEFT JOIN dot ON dot.id = x.id AND dot.e = x.i LEFT JOIN na ON na.id = x.id AND na.e = x.i LEFT JOIN nb ON nb.id = x.id AND nb.e = x.i),
+  g AS (SELECT id, list(kind ORDER BY e) AS kind, list(v ORDER BY e) AS v FROM c GROUP BY id), z AS (SELECT g.*, l.n, l.w FROM g JOIN l USING (id)),
+  p AS (SELECT id, -1 AS chunk_index, 0::BIGINT AS s, 19::BIGINT AS t FROM z
+    UNION ALL SELECT id, chunk_index + 1, s, CASE WHEN n - s <= 200 THEN n - 1 ELSE list_reverse(es)[list_position(list_reverse(depth), list_max(depth))] END FROM (
+      SELECT *, list_transform(range(1, len(vs) + 1), lambda i: vs[coalesce(list_max(list_filter(range(1, i), lambda k: vs[k] < vs[k + 1])), 0) + 1] + vs[coalesce(list_min(list_filter(range(i, len(vs)), lambda k: vs[k + 1] < vs[k])), len(vs))] - 2 * vs[i]) AS depth FROM (
+      SELECT *, list_transform(es, lambda e: v[e + 1]) AS vs FROM (
+      SELECT *, CASE WHEN len(p2) > 0 THEN p2 WHEN len(p1) > 0 THEN p1 ELSE range(s + 100, s + 200) END AS es FROM (
+      SELECT *, list_filter(range(s + 100, s + 200), lambda e: kind[e + 1] = 1) AS p1, list_filter(range(s + 100, s + 200), lambda e: kind[e + 1] = 2) AS p2 FROM (
+      SELECT p.id, chunk_index, t - 19 AS s, n, kind, v FROM p JOIN z USING (id) WHERE t < n - 1))))))
+SELECT p.id, chunk_index::INT AS chunk_index, s::INT AS first_word, t::INT AS last_word, rtrim(array_to_string(w[s + 1 : t + 1], ''), chr(32) || chr(9) || chr(10) || chr(13)) AS content FROM p JOIN z USING (id) WHERE chunk_index >= 0""",
 }
