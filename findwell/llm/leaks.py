@@ -223,5 +223,12 @@ _HITS = r"""d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+'
 
 SQL = {
     "p9_found": f"WITH {_HITS} SELECT doc_id, item_id FROM hit",
+    "p9_report": r"""WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents WHERE doc_id IS NOT NULL),
+  b AS (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM benchmark WHERE item_id IS NOT NULL),
+  k AS (SELECT item_id, w, least(12, len(w)) AS k, unnest(range(len(w) - least(12, len(w)) + 1)) AS q FROM b WHERE len(w) > 0), g AS (SELECT item_id, k, q, array_to_string(w[q + 1 : q + k], ' ') AS g FROM k),
+  s AS (SELECT doc_id, w, k, unnest(range(len(w) - k + 1)) AS p FROM d, (SELECT DISTINCT k FROM k) WHERE len(w) >= k), h AS (SELECT doc_id, k, p, array_to_string(w[p + 1 : p + k], ' ') AS g FROM s),
+  m AS (SELECT DISTINCT doc_id, item_id, k, p - q AS diagonal, q FROM h JOIN g USING (k, g)),
+  r AS (SELECT doc_id, item_id, k, count(*) AS run FROM (SELECT *, q - row_number() OVER (PARTITION BY doc_id, item_id, k, diagonal ORDER BY q) AS island FROM m) GROUP BY doc_id, item_id, k, diagonal, island)
+SELECT item_id, count(DISTINCT doc_id) AS documents, max(k + run - 1)::BIGINT AS longest FROM r GROUP BY item_id""",
     "p9_clean": f"WITH {_HITS} SELECT doc_id FROM documents WHERE doc_id IS NULL OR doc_id NOT IN (SELECT doc_id FROM hit)",
 }
