@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from findwell.llm import blocks, near_copies, terms
 from findwell.llm.fuse_scores import fused_ranking, rank_within
 from findwell.llm.leaks import find_leaks, remove_leaks, search_shard, Items, words_of
-from findwell.llm.neighbours import similar_vectors
+from findwell.llm.neighbours import Forest, similar_vectors
 from findwell.llm.pairs import pairs_within
 from findwell.llm.spans import Hasher, shared_parts, shared_stretches, sharing_pairs, window_ranges
 from findwell.llm.encode import MergeTable, encode_texts, replay, tokenizer_path
@@ -200,11 +200,46 @@ def test_neighbours_against_brute_force(spark):
     top = similar_vectors(df, "id", "e", top=3, asking=F.col("id").isin(ids[:20]), probes=40).collect()
     hit = sum(r["id_b"] in {ids[j] for j in np.argsort(-s[ids.index(r["id_a"])])[:4]} for r in top)
     assert len(top) == 60 and hit >= 54
+    exact = {(r["id_a"], r["id_b"]) for r in similar_vectors(df, "id", "e", threshold=0.9, probes=None).collect()}
+    assert exact == want
+    order = {i: sorted((-s[ids.index(i), j], ids[j]) for j in range(len(x)) if ids[j] != i)[:3] for i in ids[60:80]}
+    top = similar_vectors(df, "id", "e", top=3, asking=F.col("id").isin(ids[60:80]), probes=None).collect()
+    assert {(r["id_a"], r["id_b"]) for r in top} == {(i, b) for i, best in order.items() for _, b in best}
     assert similar_vectors(df.limit(0), "id", "e", threshold=0.9).count() == 0
     with pytest.raises(ValueError):
         similar_vectors(df, "id", "e")
 
 
+def test_leaves_stay_small_at_any_size_and_the_queue_takes_the_best_first():
+    g = np.random.default_rng(2)
+    x = g.standard_normal((20_000, 64)).astype(np.float32)
+    x[:6000] = x[0] + 0.2 * x[:6000]  # a dense third
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    forest = Forest(x[g.permutation(len(x))[:1024]], len(x), leaf=32, target=64)
+    assert forest.fitted == 5 and forest.depth > 5
+    own = np.concatenate([forest.search(x[k : k + 2000], forest.trees) for k in range(0, len(x), 2000)])
+    for t in range(forest.trees):
+        sizes = np.unique(own[:, t], return_counts=True)[1]
+        assert (own[:, t] >> 52 == t).all() and sizes.max() <= 64 * 32
+    some, probes = x[:50], 12
+    found = forest.search(some, probes)
+    assert (found[:, : forest.trees] == own[:50]).all()
+    for q, leaves in zip(some, found):  # against every leaf of every tree, by the margins of its path
+
+        def priority(leaf):
+            tree, node, best = leaf >> 52, leaf & (1 << 52) - 1, np.inf
+            for level in range(int(node).bit_length() - 1):
+                at = node >> (int(node).bit_length() - 1 - level)
+                margin, _ = forest._margins(q[None], np.array([tree]), np.array([at]), np.array([level]))
+                up = node >> (int(node).bit_length() - 2 - level) & 1
+                best = min(best, margin[0] if up else -margin[0])
+            return best
+
+        every = sorted((priority(leaf) for leaf in set(own.ravel().tolist()) | set(leaves.tolist())), reverse=True)
+        got = sorted((priority(leaf) for leaf in leaves.tolist()), reverse=True)
+        assert len(set(leaves.tolist())) == probes and np.allclose(got, every[:probes], atol=1e-5)
+
+
 # --- tokenizer
 
 
