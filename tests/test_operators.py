@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from findwell.config import RankingConfig, SearchConfig, SearchQuery, load_config, save_config, Config
 from findwell.operators import fusion, keyword, spelling, store, vector_search
 from findwell.operators.chunks import chunk_documents
-from findwell.operators.incremental import Ledger, oldest_open, pending_states
+from findwell.operators.incremental import Ledger, changed_since, oldest_open, pending_from_mark, pending_states
 from findwell.operators.keyword import KeywordIndex
 from findwell.operators.ranking import ranked
 from findwell.operators.state import current_rows
@@ -142,19 +142,41 @@ def changes(spark, states, log, runs):
     return (
         spark.createDataFrame(states, "id string, updated_at timestamp, created_at timestamp, arrived_at timestamp, version string"),
         spark.createDataFrame(log, "run_id int, id string, updated_at timestamp, outcome string"),
-        spark.createDataFrame(runs, "run_id int, status string, started_at timestamp"),
+        spark.createDataFrame(runs, "run_id int, status string, started_at timestamp, finished_at timestamp, high_mark timestamp"),
     )
 
 
 def test_pending_states(spark):
     states = [("a", T[1], T[0], T[2], ""), ("a", T[3], T[0], T[1], ""), ("b", None, T[1], T[1], ""), ("b", None, T[1], T[5], ""), ("c", T[1], T[1], T[1], ""), ("d", T[2], T[2], T[2], ""), ("e", None, None, None, ""), (None, T[1], T[1], T[1], "")]
     log = [(1, "a", T[1], "indexed"), (1, "b", T[1], " Indexed"), (2, "c", T[1], "indexed"), (1, "d", T[2], "error"), (9, "d", T[2], "indexed"), (1, "gone", T[1], "indexed"), (1, None, None, None)]
-    runs = [(1, "Succeeded\n", T[0]), (2, "failed", T[1]), (3, None, T[2])]
+    runs = [(1, "Succeeded\n", T[0], T[1], T[2]), (2, "failed", T[3], None, T[2]), (3, None, T[4], None, None)]
     tables = changes(spark, states, log, runs)
     assert {r["id"] for r in pending_states(*tables).collect()} == {"a", "c", "d", "e"}
-    assert oldest_open(tables[2]).first()[0] == T[1]
+    assert oldest_open(tables[2]).first()[0] == T[2]
     assert {r["id"] for r in pending_states(*tables, reread_from=T[2]).collect()} == {"a", "d", "e"}
-    assert pending_states(*changes(spark, [], [], [])).count() == 0
+    assert sorted(r["id"] for r in pending_from_mark(*tables).collect()) == ["a", "c", "d", "e"]
+    assert pending_states(*changes(spark, [], [], [])).count() == 0 and pending_from_mark(*changes(spark, [], [], [])).count() == 0
+
+
+@pytest.mark.parametrize("runs, mark", [
+    ([], None), ([(1, "failed", 0, 1, 0)], None), ([(1, "succeeded", 1, 2, 1)], 1),
+    ([(1, "failed", 1, 2, 1), (2, "succeeded", 3, 4, 3)], 3),  # a later success covered it
+    ([(1, "failed", 1, 2, 4), (2, "succeeded", 3, 4, 3)], 1),  # it meant to cover more
+    ([(1, "aborted", 1, None, None), (2, "SUCCEEDED ", 3, 4, 3)], 1),  # nothing says that it is over
+    ([(1, "failed", 1, 2, None), (2, "succeeded", 3, 4, 3)], 3), ([(1, "succeeded", 1, 2, 1), (2, "running", 3, None, None)], 1),
+    ([(1, "failed", 0, 1, 0), (2, "succeeded", 2, 3, 2), (3, "failed", 4, 5, 4)], 2), ([(1, "succeeded", 1, 2, None)], 1),
+])
+def test_oldest_open_run(spark, runs, mark):
+    at = lambda k: None if k is None else T[k]
+    table = changes(spark, [], [], [(i, s, *map(at, times)) for i, s, *times in runs])[2]
+    assert oldest_open(table).first()[0] == at(mark)
+
+
+def test_the_mark_is_a_filter_of_the_scan(spark, tmp_path):
+    path = str(tmp_path / "states")
+    changes(spark, [("a", T[1], T[0], T[2], "")], [], [])[0].write.parquet(path)
+    plan = changed_since(spark.read.parquet(path), T[2])._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(arrived_at" in plan
 
 
 def test_a_run_that_dies_before_its_commit_is_repeated(spark, tmp_path):
@@ -162,11 +184,26 @@ def test_a_run_that_dies_before_its_commit_is_repeated(spark, tmp_path):
     ledger = Ledger(spark, str(tmp_path / "ledger"))
     batch = ledger.pending(states)
     assert batch.count() == 2
-    ledger.commit(batch.where("id = 'a'"), "r1")
-    ledger.commit(batch.where("id = 'a'"), "r1")
+    assert ledger.commit(batch.where("id = 'a'"), "r1")
+    assert not ledger.commit(batch, "r1")  # what was committed first holds
     assert [r["id"] for r in ledger.pending(states).collect()] == ["b"]
     newer = states.withColumn("updated_at", F.lit(T[4]))
     assert {r["id"] for r in ledger.pending(newer).collect()} == {"a", "b"}
+    (tmp_path / "ledger" / "_new-dead" / "taken").mkdir(parents=True)  # a commit that died
+    assert [r["id"] for r in ledger.pending(states).collect()] == ["b"]
+
+
+def test_runs_begin_at_the_mark_and_carry_over_what_was_left(spark, tmp_path):
+    ledger = Ledger(spark, str(tmp_path / "ledger"))
+    first = changes(spark, [("a", T[1], T[0], T[1], ""), ("b", T[1], T[0], T[1], ""), ("c", T[0], T[0], T[0], "")], [], [])[0]
+    given = ledger.pending(first)
+    ledger.commit(given.where("id <> 'b'"), "r1", given, T[2])
+    assert ledger.mark() == T[2] and [r["id"] for r in ledger.left_over().collect()] == ["b"]
+    late = first.unionByName(changes(spark, [("a", T[0], T[0], T[3], ""), ("d", T[1], T[0], T[3], ""), ("b", T[3], T[0], T[4], "")], [], [])[0])
+    given = ledger.pending(late)
+    assert {(r["id"], r["version"]) for r in given.collect()} == {("d", T[1]), ("b", T[3])}
+    ledger.commit(given, "r2", given, T[5])
+    assert ledger.pending(late).count() == 0 and ledger.left_over().count() == 0
 
 
 def test_store_versions(spark, tmp_path):
