@@ -25,6 +25,7 @@ class SearchConfig:
     dimensions: int = 384
     max_tokens: int = 256
     debounce_ms: int = 400
+    vector_search: str = "memory"
     extensions: tuple[str, ...] = (".txt", ".md", ".rst", ".pdf", ".docx", ".xlsx", ".pptx", ".odp", ".ods")
 
 
@@ -74,6 +75,13 @@ class RankingConfig:
     size_enabled: bool = False
 
 
+# Metadata fields whose matches count as an author's or a tag's.
+AUTHOR_FIELDS = ("author", "creator", "by", "created_by")
+TAG_FIELDS = ("tags", "tag", "keywords", "categories", "category")
+# Fixed value: the least scores of the command line if there is no configuration.
+PLAIN_MIN_SCORE = 0.49
+
+
 @dataclass(frozen=True)
 class Config:
     search: SearchConfig = field(default_factory=SearchConfig)

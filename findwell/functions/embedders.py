@@ -33,33 +33,33 @@ class OnnxEmbedder:
     def __init__(self, path: str, dimensions: int = 384, max_tokens: int = 256, tokenize=token_ids, batch: int = 64):
         self.path, self.dimensions, self.max_tokens, self.tokenize, self.batch = path, dimensions, max_tokens, tokenize, batch
 
+    def pooled(self, session, ids: np.ndarray) -> np.ndarray:
+        """Unit vectors of texts given as token ids."""
+        mask = (ids != 0).astype(np.int64)
+        given = {"input_ids": ids, "attention_mask": mask, "token_type_ids": np.zeros_like(ids)}
+        out = session.run(None, {i.name: given[i.name] for i in session.get_inputs()})[0]
+        if out.ndim == 3:
+            out = (out * mask[:, :, None]).sum(axis=1) / np.maximum(1, mask.sum(axis=1, keepdims=True))
+        if out.shape[1] != self.dimensions:
+            raise ValueError(f"the model gives {out.shape[1]} dimensions, not {self.dimensions}")
+        norm = np.linalg.norm(out, axis=1, keepdims=True)
+        return (out / np.where(norm > 0, norm, 1)).astype(np.float32)
+
     def embed(self, text) -> Column:
-        path, dimensions, most, tokenize, size = self.path, self.dimensions, self.max_tokens, self.tokenize, self.batch
-
-        def vectors(session, texts: list[str]) -> np.ndarray:
-            ids = np.array([tokenize(t, most) for t in texts], dtype=np.int64)
-            mask = (ids != 0).astype(np.int64)
-            given = {"input_ids": ids, "attention_mask": mask, "token_type_ids": np.zeros_like(ids)}
-            out = session.run(None, {i.name: given[i.name] for i in session.get_inputs()})[0]
-            if out.ndim == 3:
-                out = (out * mask[:, :, None]).sum(axis=1) / np.maximum(1, mask.sum(axis=1, keepdims=True))
-            if out.shape[1] != dimensions:
-                raise ValueError(f"the model gives {out.shape[1]} dimensions, not {dimensions}")
-            norm = np.linalg.norm(out, axis=1, keepdims=True)
-            return (out / np.where(norm > 0, norm, 1)).astype(np.float32)
+        me = self
 
         @arrow_udf("array<float>")
         def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
             import onnxruntime
 
-            session = onnxruntime.InferenceSession(path, providers=["CPUExecutionProvider"])
+            session = onnxruntime.InferenceSession(me.path, providers=["CPUExecutionProvider"])
             for column in batches:
                 texts = column.to_pylist()
                 known = [i for i, t in enumerate(texts) if t is not None]
                 found: list = [None] * len(texts)
-                for at in range(0, len(known), size):
-                    part = known[at : at + size]
-                    for i, v in zip(part, vectors(session, [texts[k] for k in part])):
+                for at in range(0, len(known), me.batch):
+                    part = known[at : at + me.batch]
+                    for i, v in zip(part, me.pooled(session, np.array([me.tokenize(texts[k], me.max_tokens) for k in part], dtype=np.int64))):
                         found[i] = v
                 yield pa.array(found, pa.list_(pa.float32()))
 

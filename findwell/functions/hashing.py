@@ -15,19 +15,28 @@ from findwell.functions.text import col
 START, STOP, VOCABULARY, FACTOR = 101, 102, 30_000, 31
 
 
+def hash_strings(texts: list[str]) -> np.ndarray:
+    """Polynomials of the code points in wrapping 64-bit arithmetic, as absolute values (the least number stays)."""
+    codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
+    lengths = np.array([len(t) for t in texts], dtype=np.int64)
+    ends = np.cumsum(lengths)
+    back = np.repeat(ends, lengths) - np.arange(len(codes)) - 1  # places from the end of its text
+    powers = np.full(int(lengths.max(initial=0)) + 1, FACTOR, dtype=np.uint64)
+    powers[0] = 1
+    parts = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(codes * np.cumprod(powers, dtype=np.uint64)[back], dtype=np.uint64)])
+    h = (parts[ends] - parts[ends - lengths]).view(np.int64)
+    return np.where(h == np.iinfo(np.int64).min, h, np.abs(h))
+
+
 def hash_string(text: str) -> int:
-    """Polynomial of the code points in wrapping 64-bit arithmetic, as an absolute value."""
-    h = 0
-    for c in text:
-        h = (FACTOR * h + ord(c)) & (1 << 64) - 1
-    h -= (h >> 63) << 64
-    return h if h == -(1 << 63) else abs(h)
+    return int(hash_strings([text])[0])
 
 
 def token_ids(text: str, most: int) -> list[int]:
     """Ids of the words between a start and a stop id, padded with zeros to ``most``."""
     parts = [w for w in text.replace("\n", " ").replace("\t", " ").split(" ") if w]
-    ids = [START, *[hash_string(w) % VOCABULARY for w in parts[: max(0, most - 2)]], STOP][:most]
+    words = hash_strings(parts[: max(0, most - 2)])
+    ids = [START, *np.fmod(words, VOCABULARY).tolist(), STOP][:most]
     return ids + [0] * (most - len(ids))
 
 
@@ -42,7 +51,9 @@ def mock_vector(text: str, dimensions: int) -> np.ndarray:
 
 @arrow_udf(LongType())
 def _hash(text: pa.Array) -> pa.Array:
-    return pa.array([None if t is None else hash_string(t) for t in text.to_pylist()], pa.int64())
+    known = text.drop_null()
+    found = iter(hash_strings(known.to_pylist()).tolist())
+    return pa.array([next(found) if valid else None for valid in text.is_valid().to_pylist()], pa.int64())
 
 
 def string_hash(text) -> Column:
@@ -66,6 +77,10 @@ class MockEmbedder:
     def __init__(self, dimensions: int = 384):
         self.dimensions = dimensions
 
+    def vectors(self, texts: list[str]) -> list[np.ndarray]:
+        """The vectors of a few texts, here."""
+        return [mock_vector(t, self.dimensions) for t in texts]
+
     def embed(self, text) -> Column:
         dimensions = self.dimensions
 

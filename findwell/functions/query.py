@@ -49,6 +49,11 @@ def match_tokens(query) -> Column:
     return F.array_distinct(F.concat(terms(query), F.filter(F.transform(parts, normalized), lambda t: t != "")))
 
 
+def contains_term(query, term) -> Column:
+    """Whether a term, in lower case, is one of the query's terms."""
+    return F.array_contains(terms(query), F.lower(col(term)))
+
+
 def query_type(query) -> Column:
     """wildcard, boolean, phrase, single or multi; the first that holds."""
     return (

@@ -11,17 +11,16 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from findwell.config import RankingConfig
+from findwell.config import AUTHOR_FIELDS, TAG_FIELDS, RankingConfig
 from findwell.functions import metadata as M
 from findwell.functions import paths as P
 from findwell.functions import query as Q
 from findwell.functions import text as T
 
 
-
 @dataclass(frozen=True)
 class Context:
     """What a scorer sees of a row. Null parts count as absent."""
@@ -136,6 +135,19 @@ def filename_score(ctx: Context, c: RankingConfig) -> Column:
     return F.when(nothing, 0.0).otherwise(F.greatest(*p.values()) + bonus)
 
 
+def score_filename(query: Column, name: Column, c: RankingConfig | None = None) -> Column:
+    """The filename score of a name by itself; a null name counts as an empty one."""
+    title = F.coalesce(name, F.lit(""))
+    nothing = {n: F.lit(None) for n in DOCUMENT_PARTS + QUERY_PARTS}
+    return filename_score(Context(**nothing | {"query": query, "tokens": Q.match_tokens(query), "phrases": Q.phrases(query), "title": title, "name": T.filename_words(title)}), c or RankingConfig())
+
+
+def score_filename_or_path(query: Column, title: Column, path: Column, c: RankingConfig | None = None) -> Column:
+    """The same of the title, or of the last part of the path where there is no title."""
+    base = F.regexp_extract(F.regexp_replace(F.coalesce(path, F.lit("")), "/+$", ""), "([^/]*)$", 1)
+    return score_filename(query, F.when(F.coalesce(title, F.lit("")) == "", base).otherwise(title), c)
+
+
 def filename_details(ctx: Context, c: RankingConfig) -> Column:
     name = ctx.name
     found = T.count_terms_in(ctx.tokens, name, True)
@@ -244,7 +256,7 @@ def path_details(ctx: Context, c: RankingConfig) -> Column:
 
 def _base(key: Column, c: RankingConfig) -> Column:
     k = F.lower(key)
-    return F.when(k.isin("author", "creator", "by", "created_by"), c.author).when(k.isin("tags", "tag", "keywords", "categories", "category"), c.tag).otherwise(c.other_metadata)
+    return F.when(k.isin(*AUTHOR_FIELDS), c.author).when(k.isin(*TAG_FIELDS), c.tag).otherwise(c.other_metadata)
 
 
 def metadata_score(ctx: Context, c: RankingConfig) -> Column:
@@ -343,6 +355,22 @@ def ranked(df: DataFrame, query: Column, config: RankingConfig | None = None, mu
     return out.where("rank_score > 0") if positive else out
 
 
+def at_least(rows: DataFrame, score: float) -> DataFrame:
+    """Ranked rows of at least that score."""
+    return rows.where(F.col("rank_score") >= score)
+
+
+def top(rows: DataFrame, n: int, by: str | None = None, key: str = "id") -> DataFrame:
+    """The ``n`` best ranked rows, of all or of each value of ``by``; ties by ``key``. 0 or less gives none."""
+    order = [F.desc("rank_score"), F.col(key)]
+    if by is None:
+        return rows.orderBy(*order).limit(max(0, n))
+    return rows.withColumn("__p", F.row_number().over(Window.partitionBy(by).orderBy(*order))).where(F.col("__p") <= n).drop("__p")
+
+
+query_tokens = Q.match_tokens
+
+
 def corpus_stats(documents: DataFrame, title: str = "title", content: str = "content") -> DataFrame:
     """(term, df): in how many documents each token of the *query* analysis of content and title stands."""
     text = F.concat(F.coalesce(F.col(content), F.lit("")), F.lit(" "), F.coalesce(F.col(title), F.lit("")))

@@ -101,6 +101,14 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int, key: str = "id", vec
     return hits.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
+def nearest_of(vectors: DataFrame, ids: list, matrix: np.ndarray, k: int, key: str = "id", vector: str = "embedding") -> DataFrame:
+    """The same for a few query vectors that are known here: one scan and one sort, without a job before."""
+    rows = vectors.where(F.col(key).isNotNull() & F.col(vector).isNotNull()).select(F.col(key).cast("string").alias("id"), F.col(vector).alias("v"))
+    hits = rows.mapInArrow(_scan_udf(ids, np.asarray(matrix, dtype=np.float32), k, pa.int32()), "query_id int, id string, score double")
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
+    return hits.withColumn("rank", rank).where(F.col("rank") <= k)
+
+
 def remove(vectors: DataFrame, ids: DataFrame, key: str = "id") -> DataFrame:
     """The vectors less those whose id is listed."""
     return vectors.join(ids.select(F.col(key)), key, "left_anti")

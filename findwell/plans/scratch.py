@@ -45,7 +45,7 @@ def shared_dir(spark: SparkSession) -> str:
         return named.rstrip("/")
     master = spark.sparkContext.master
     if not (master == "local" or master.startswith("local[")):
-        return spark.conf.get("spark.sql.warehouse.dir").rstrip("/")  # the other folder that a cluster shares
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     if not _LOCAL:
         _LOCAL.append(tempfile.mkdtemp(prefix="findwell-"))
         atexit.register(_drop_local)

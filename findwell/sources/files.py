@@ -46,8 +46,14 @@ def gone(files: DataFrame, documents: DataFrame, folder: str) -> DataFrame:
     return stored.join(files.select("path"), "path", "left_anti").select("id")
 
 
-def read_documents(files: DataFrame, extractors: dict | None = None) -> tuple[DataFrame, DataFrame]:
-    """(documents (id, title, content, metadata), failures (path, error)) of a listing.
+def one(spark: SparkSession, path: str) -> DataFrame:
+    """The listing of a single file."""
+    rows = spark.read.format("binaryFile").load(path)
+    return rows.select(local_path("path").alias("path"), F.col("modificationTime").alias("mtime"), F.col("length").alias("size"), "content")
+
+
+def read(files: DataFrame, extractors: dict | None = None) -> DataFrame:
+    """(path, mtime, size, text, error) of a listing: either a text or an error.
 
     Plain files never go through Python. A file that can't be read is a failure, not an error.
     """
@@ -55,9 +61,18 @@ def read_documents(files: DataFrame, extractors: dict | None = None) -> tuple[Da
     is_plain = ext.isin(PLAIN) & (F.lit(True) if not extractors else ~ext.isin(list(extractors)))
     simple = files.where(is_plain).withColumn("got", F.struct(plain_text(F.col("content")).alias("text"), F.lit(None).cast("string").alias("error")))
     other = files.where(~is_plain).withColumn("got", extracted(F.col("content"), ext, extractors))
-    rows = simple.unionByName(other).withColumns({"text": F.col("got.text"), "error": F.col("got.error")}).drop("got", "content")
+    return simple.unionByName(other).select("path", "mtime", "size", F.col("got.text").alias("text"), F.col("got.error").alias("error"))
+
+
+def as_documents(rows: DataFrame) -> DataFrame:
+    """(id, title, content, metadata) of files that were read."""
     metadata = F.create_map(
         F.lit("source_path"), F.col("path"), F.lit("source_mtime"), (F.unix_micros(F.col("mtime").cast("timestamp")) * 1000).cast("string"), F.lit("source_size"), F.col("size").cast("string"),
     )
-    documents = rows.where("error is null").select(file_id("path").alias("id"), F.regexp_extract("path", r"([^/]*)$", 1).alias("title"), F.coalesce("text", F.lit("")).alias("content"), metadata.alias("metadata"))
-    return documents, rows.where("error is not null").select("path", "error")
+    return rows.select(file_id("path").alias("id"), F.regexp_extract("path", r"([^/]*)$", 1).alias("title"), F.coalesce("text", F.lit("")).alias("content"), metadata.alias("metadata"))
+
+
+def read_documents(files: DataFrame, extractors: dict | None = None) -> tuple[DataFrame, DataFrame]:
+    """(documents (id, title, content, metadata), failures (path, error)) of a listing."""
+    rows = read(files, extractors)
+    return as_documents(rows.where("error is null")), rows.where("error is not null").select("path", "error")

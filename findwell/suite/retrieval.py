@@ -36,7 +36,7 @@ def q_corpus_stats(spark, d):
 
 
 def q_stop_words(spark, d):
-    return _index(spark, d, ["the", "of", "and", "a", "in"]).term_frequencies().where("df > 50")
+    return _index(spark, d, ["the", "of", "and", "a", "in"]).term_frequencies()
 
 
 def _round(df):
@@ -249,7 +249,7 @@ SQL = {
     "q_vocabulary": f"{_BASE} SELECT DISTINCT term FROM postings",
     "q_field_lengths": f"{_BASE} SELECT field, count(*) AS documents, sum(len)::BIGINT AS words, max(len) AS longest FROM lengths GROUP BY field",
     "q_corpus_stats": f"{_BASE}, {_WANTED}, {_DF} SELECT (SELECT count(*) FROM doc) AS documents, w.term, coalesce(df, 0) AS df FROM (SELECT DISTINCT term FROM wanted) w LEFT JOIN df USING (term)",
-    "q_stop_words": f"{_BASE}, {_DF} SELECT term, df FROM df WHERE df > 50 AND term NOT IN ('the', 'of', 'and', 'a', 'in')",
+    "q_stop_words": f"{_BASE}, {_DF} SELECT term, df FROM df WHERE term NOT IN ('the', 'of', 'and', 'a', 'in')",
     "q_match_any": f"{_BASE}, {_WANTED}, {_scored(_BM25)} SELECT query_id, id, round(sum(s * times), 6) AS score FROM scored JOIN wanted USING (term) GROUP BY ALL",
     "q_match_tfidf": f"{_BASE}, {_WANTED}, {_scored(_TFIDF)} SELECT query_id, id, round(sum(s * times), 6) AS score FROM scored JOIN wanted USING (term) GROUP BY ALL",
     "q_boosted": f"{_ALL} SELECT query_id, id, score FROM boosted",

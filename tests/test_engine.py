@@ -1,15 +1,24 @@
 import io
 import json
 import os
+import sys
+import threading
 import time
+import types
+import urllib.request
 import zipfile
 
+import numpy
 import pytest
 from pyspark.sql import functions as F
 
-from findwell.config import Config, SearchConfig, SearchQuery
+from findwell.config import Config, SearchConfig, SearchQuery, load_config
+from findwell.operators import ranking
+from findwell.operators.keyword import KeywordIndex
 from findwell.plans import cli
 from findwell.plans.engine import SearchEngine
+from findwell.plans.scratch import materialize
+from findwell.plans.server import Service, serve
 from findwell.sources import extract, vector_file
 from findwell.sources.writers import as_lines, as_text
 from findwell.streaming import watch as W
@@ -102,8 +111,194 @@ def test_replace_delete_status(spark, engine):
     assert engine.status()["documents"] == len(TOPICS)
     with pytest.raises(KeyError):
         engine.get("extra")
-    engine.compact()
+    engine.compact(0)
     assert engine.status()["documents"] == len(TOPICS)
+    assert engine.search(SearchQuery("saffron", semantic=False))["total_keyword"] == 1
+
+
+def test_stored_counts_are_those_of_the_documents(spark, tmp_path):
+    e = SearchEngine(spark, str(tmp_path / "store"), Config(SearchConfig(dimensions=4)))
+    docs = lambda *rows: spark.createDataFrame(rows, "id string, title string, content string")
+    e.index(docs(("a", "red", "red green blue"), ("b", "x_y", "green")), as_of="2025-01-01 00:00:00")
+    e.index(docs(("a", "red", "yellow yellow"), ("c", None, None)), as_of="2025-02-01 00:00:00")
+    e.delete(docs(("b", "", ""), ("unknown", "", "")))
+
+    def counted():
+        index = e.keyword_index()
+        plain = KeywordIndex(index.postings, index.lengths)
+        for name in ("dictionary", "sizes"):
+            assert {tuple(r) for r in getattr(index, name)().select(sorted(getattr(index, name)().columns)).collect()} == {tuple(r) for r in getattr(plain, name)().select(sorted(getattr(plain, name)().columns)).where(F.lit(True)).collect() if 0 not in r[1:2]}
+        assert {tuple(r) for r in e._summed("rank_terms").collect()} == {tuple(r) for r in ranking.corpus_stats(e.documents()).collect()}
+        assert {r["term"]: r["df"] for r in index.term_frequencies().collect()} == {"red": 1, "yellow": 1}
+
+    counted()
+    assert [(r["id"], str(r["created_at"])[:10], str(r["updated_at"])[:10]) for r in e.documents().orderBy("id").collect()] == [("a", "2025-01-01", "2025-02-01"), ("c", "2025-02-01", "2025-02-01")]
+    e.compact(0)
+    counted()
+    assert e.chunk("a_0")["content"] == "yellow yellow"
+    with pytest.raises(KeyError):
+        e.chunk("b_0")
+
+
+def test_one_search_gives_what_many_give(spark, engine):
+    asked = ["saffron mill", "the old mill", "violin violin", "number 3", "note", "qqq", "beside the"]
+    pages = engine.search_many(spark.createDataFrame(list(enumerate(asked)), "query_id int, query string"), SearchQuery("-", 5)).collect()
+    for k, text in enumerate(asked):
+        one = engine.search(SearchQuery(text, 5))
+        for source in ("keyword", "semantic"):
+            many = sorted((r for r in pages if r["query_id"] == k and r["source"] == source), key=lambda r: r["rank"])
+            assert [r["id"] for r in many] == [r["document"]["id"] for r in one[source]]
+            assert all(abs(a["score"] - b["score"]) < 1e-9 and abs(a["semantic_score"] - b["semantic_score"]) < 1e-6 for a, b in zip(many, one[source]))
+
+
+def test_two_writers_of_one_store(spark, tmp_path):
+    a, b = (SearchEngine(spark, str(tmp_path / "store"), Config(SearchConfig(dimensions=4))) for _ in range(2))
+    docs = lambda *rows: spark.createDataFrame(rows, "id string, title string, content string")
+    a.index(docs(("x", "", "one")))
+    publish, once = b.store.publish, []
+
+    def late(*args, **more):
+        if not once:  # the other writer is faster
+            once.append(1)
+            a.index(docs(("x", "", "two"), ("y", "", "two")))
+        return publish(*args, **more)
+
+    b.store.publish = late
+    b.index(docs(("x", "", "three")))
+    assert {(r["id"], r["content"]) for r in a.documents().collect()} == {("x", "three"), ("y", "two")}
+    assert {r["term"]: r["df"] for r in a.keyword_index().term_frequencies().collect()} == {"three": 1, "two": 1}
+
+
+def test_a_common_term_is_spread_over_files(spark, tmp_path):
+    rows = spark.range(3000).select(F.col("id").cast("string"), F.lit("t").alias("title"), F.concat(F.lit("the "), F.col("id").cast("string")).alias("content"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        index = KeywordIndex.build(rows).write(str(tmp_path / "index"))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    sizes = [r["n"] for r in index.postings.groupBy(F.col("_metadata.file_path")).agg(F.count("*").alias("n")).collect()]
+    common = [r["n"] for r in index.postings.where("term = 'the'").groupBy(F.col("_metadata.file_path")).agg(F.count("*").alias("n")).collect()]
+    assert len(sizes) == 4 and max(sizes) < 2 * min(sizes) and len(common) > 1
+
+
+def test_a_removal_alone_is_seen(spark, tmp_path):
+    e = SearchEngine(spark, str(tmp_path / "store"), Config(SearchConfig(dimensions=4, debounce_ms=200)), config_path=str(tmp_path / "c.yaml"))
+    folder = tmp_path / "files"
+    folder.mkdir()
+    for name in "abc":
+        (folder / f"{name}.txt").write_text(f"file {name}")
+    e.watch(str(folder))
+
+    def until(n):
+        end = time.time() + 90
+        while time.time() < end and e.status()["documents"] != n:
+            time.sleep(0.5)
+        return e.status()["documents"] == n
+
+    try:
+        assert until(3)
+        (folder / "b.txt").unlink()
+        assert until(2)
+        assert load_config(str(tmp_path / "c.yaml")).directories == (str(folder),)
+    finally:
+        e.unwatch(str(folder))
+    assert load_config(str(tmp_path / "c.yaml")).directories == () and e.status()["documents"] == 2
+
+
+def test_only_what_has_settled_is_taken(spark, tmp_path):
+    e = SearchEngine(spark, str(tmp_path / "store"), Config(SearchConfig(dimensions=4)))
+    folder, w = tmp_path / "files", e.watcher
+    folder.mkdir()
+    (folder / "old.txt").write_text("was here before")
+    w._last[str(folder)] = {"before": None, "done": None, "ignored": materialize(w._listing(str(folder)), "ignored")}
+    (folder / "a.txt").write_text("first")
+    assert not w.tick(str(folder))  # nothing to compare with
+    (folder / "a.txt").write_text("longer than before")
+    w.tick(str(folder))
+    assert e.status()["documents"] == 0  # still being written
+    w.tick(str(folder))
+    assert [r["content"] for r in e.documents().collect()] == ["longer than before"]
+    assert not w.tick(str(folder))
+    (folder / "a.txt").unlink()
+    w.tick(str(folder))
+    assert e.status()["documents"] == 1  # may come back
+    w.tick(str(folder))
+    assert e.status()["documents"] == 0
+    w._last.clear()
+    assert not w.tick(str(folder))
+
+
+def test_one_file(spark, tmp_path):
+    e = SearchEngine(spark, str(tmp_path / "store"), Config(SearchConfig(dimensions=4)))
+    (tmp_path / "a b.txt").write_text("a file")
+    (tmp_path / "x.bin").write_text("no")
+    (tmp_path / "bad.docx").write_bytes(b"no zip")
+    assert e.index_file(str(tmp_path / "a b.txt")) and not e.index_file(str(tmp_path / "a b.txt"))
+    for bad in ("x.bin", "bad.docx"):
+        with pytest.raises(ValueError):
+            e.index_file(str(tmp_path / bad))
+    e.delete_files(spark.createDataFrame([(str(tmp_path / "a b.txt"),)], "path string"))
+    assert e.status()["documents"] == 0
+    with pytest.raises(ValueError):
+        SearchEngine(spark, str(tmp_path / "s"), Config(SearchConfig(vector_search="faster")))
+
+
+def test_service(spark, tmp_path):
+    e = SearchEngine(spark, str(tmp_path / "store"), Config(SearchConfig(dimensions=4)))
+    s = Service(e)
+    ask = lambda method, path, thing=None: s.answer(method, path, b"" if thing is None else json.dumps(thing).encode())
+    assert ask("GET", "/health") == (200, {"status": "ok"})
+    assert ask("POST", "/api/v1/documents", {"id": "a/b", "title": "Opal", "content": "an opal text", "metadata": {"n": 1, "tags": "x"}}) == (201, {"id": "a/b", "status": "indexed"})
+    status, made = ask("POST", "/api/v1/documents", {"content": "no id"})
+    assert status == 201 and ask("GET", f"/api/v1/documents/{made['id']}")[1]["content"] == "no id"
+    assert ask("GET", "/api/v1/documents/a%2Fb")[1]["metadata"] == {"n": "1", "tags": "x"}
+    status, found = ask("POST", "/api/v1/search", {"query": "opal", "limit": 3, "semantic_enabled": False})
+    assert status == 200 and [x["document"]["id"] for x in found["keyword"]] == ["a/b"]
+    assert ask("DELETE", "/api/v1/documents/a%2Fb") == (200, {"status": "deleted"})
+    assert ask("GET", "/api/v1/documents/a%2Fb")[0] == 404 and ask("GET", "/api/v1/status")[1]["documents"] == 1
+    for method, path, body, code in [
+        ("POST", "/api/v1/search", {"query": ""}, 400), ("POST", "/api/v1/search", {"query": "x", "limit": "3"}, 400), ("POST", "/api/v1/search", None, 400), ("GET", "/nothing", None, 404),
+        ("POST", "/api/v1/watch/directories", {"path": str(tmp_path / "none")}, 404), ("POST", "/api/v1/watch/directories", {}, 400), ("DELETE", "/api/v1/watch/directories?path=/none", None, 404),
+    ]:
+        assert ask(method, path, body)[0] == code, (method, path, body)
+    assert ask("GET", "/api/v1/watch/directories") == (200, {"directories": []})
+    server = serve(e, port=0)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    try:
+        with urllib.request.urlopen(f"http://127.0.0.1:{server.server_address[1]}/health", timeout=10) as got:
+            assert json.load(got) == {"status": "ok"}
+    finally:
+        server.shutdown()
+
+
+def test_pages_of_a_pdf_and_a_model(spark, tmp_path, monkeypatch):
+    """With stand-ins for the two libraries that aren't here: the reader of PDF files and the model's runtime."""
+    pdf = types.ModuleType("pypdf")
+    pdf.PdfReader = lambda stream, *a, **k: types.SimpleNamespace(pages=[types.SimpleNamespace(extract_text=lambda t=t: t) for t in (stream.read().decode(), None, "last page")], is_encrypted=False)
+    monkeypatch.setitem(sys.modules, "pypdf", pdf)
+    text = extract.extract_bytes(b"first page", "pdf")
+    assert "first page" in text and "last page" in text and text.index("first") < text.index("last")
+
+    class Session:
+        def __init__(self, *_, **__):
+            pass
+
+        def get_inputs(self):
+            return [types.SimpleNamespace(name=n) for n in ("input_ids", "attention_mask")]
+
+        def run(self, _, given):
+            ids = given["input_ids"].astype("float32")
+            return [numpy.stack([ids, given["attention_mask"] * 2.0], axis=2)]
+
+    from findwell.functions.embedders import OnnxEmbedder
+
+    model = OnnxEmbedder("x.onnx", dimensions=2, max_tokens=4)
+    ids = numpy.array([[101, 7, 102, 0]])
+    got = model.pooled(Session(), ids)
+    want = numpy.array([[70.0, 2.0]]) / numpy.hypot(70, 2)
+    assert numpy.allclose(got, want)
+    with pytest.raises(ValueError):
+        OnnxEmbedder("x.onnx", dimensions=3).pooled(Session(), ids)
 
 
 def test_folder_is_followed(spark, tmp_path):
@@ -153,6 +348,19 @@ def test_command_line(spark, tmp_path, capsys):
     folder.mkdir()
     (folder / "x.md").write_text("a topaz text")
     out = io.StringIO()
-    for args in (["index", str(folder)], ["search", "topaz", "--output", "compact"], ["search", "topaz", "--output", "json"], ["status"], ["version"]):
+    for args in (["index", str(folder)], ["search", "topaz", "--min-score", "0", "--output", "compact"], ["search", "topaz", "--min-score", "0", "--output", "json"], ["status"], ["version"]):
         assert cli.main(["--store", str(tmp_path / "s"), *args], spark, out) == 0
     assert "x.md" in out.getvalue() and "'indexed': 1" in out.getvalue()
+    config, folders = str(tmp_path / "c.yaml"), []
+    for args, code in ((["add", str(folder)], 0), (["remove", "/none"], 1), (["list"], 0), (["remove", str(folder)], 0), (["list"], 0)):
+        shown = io.StringIO()
+        assert cli.main(["--config", config, "watch", *args], spark, shown) == code
+        folders.append(shown.getvalue().strip())
+    assert folders[2] == str(folder) and folders[4] == ""
+    parsed = cli.parser().parse_args(["search", "x"])
+    assert cli.least_scores(parsed, None) == (0.0, 0.49, 0.49) and cli.least_scores(parsed, Config()) == (0.0, 0.0, 0.05)
+    assert cli.least_scores(cli.parser().parse_args(["search", "x", "--min-score", "0.2", "--min-semantic-score", "0.3"]), None) == (0.2, 0.0, 0.3)
+    assert cli.main(["--store", str(tmp_path / "s"), "delete", "--path", str(folder / "x.md")], spark, out) == 0
+    out = io.StringIO()
+    cli.main(["--store", str(tmp_path / "s"), "status"], spark, out)
+    assert "'documents': 0" in out.getvalue()

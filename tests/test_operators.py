@@ -214,14 +214,36 @@ def test_store_versions(spark, tmp_path):
     s.write({"t": store.update(s.read("t"), spark.createDataFrame([(2, "z")], "id int, v string"))})
     s.write({"t": store.delete(s.read("t"), spark.createDataFrame([(1,), (99,)], "id int"))})
     assert rows(s.read("t")) == [(2, "z")]
-    s.vacuum()
+    s.vacuum(0)
     assert rows(s.read("t")) == [(2, "z")] and s.disk_bytes() > 0
     s.append({"t": spark.createDataFrame([(3, "w")], "id int, v string"), "u": a})
     assert rows(s.read("t")) == [(2, "z"), (3, "w")] and s.read("u").count() == 2
-    s.vacuum()
+    s.vacuum(0)
     assert rows(s.read("t")) == [(2, "z"), (3, "w")]
 
 
+def test_deletions_hide_older_rows_alone(spark, tmp_path):
+    s = store.Store(spark, str(tmp_path / "s"), {"t": "id", "u": "owner"})
+    made = lambda names, *data: spark.createDataFrame(data, names)
+    s.append({"t": made("id int, v string", (1, "x"), (2, "y")), "u": made("n int, owner int", (7, 1), (8, 2)), "free": made("id int", (1,))})
+    base = s.version()
+    s.remove(made("id int", (1,), (99,)))
+    s.append({"t": made("id int, v string", (1, "again"))})
+    assert rows(s.read("t")) == [(1, "again"), (2, "y")] and rows(s.read("u")) == [(8, 2)] and rows(s.read("free")) == [(1,)]
+    assert rows(s.read("t", base)) == [(1, "x"), (2, "y")]  # an older version stays as it was
+    with pytest.raises(store.Conflict):
+        s.write({"t": s.read("t")}, base)
+    assert not s.publish(base, add={"t": [s.stage("t", made("id int, v string", (5, "lost")))]})
+    assert rows(s.read("t")) == [(1, "again"), (2, "y")]
+    s.compact()
+    assert rows(s.read("t")) == [(1, "again"), (2, "y")] and rows(s.read("u")) == [(8, 2)] and s.manifest()["deleted"] == []
+    staged = s.stage("t", made("id int, v string", (6, "w")))
+    s.vacuum(3600)  # what isn't published yet is kept
+    assert s.publish(s.version(), add={"t": [staged]}) and s.read("t").count() == 3
+    (tmp_path / "s" / "_manifests" / ".dead").write_text("{")  # a writer that died
+    assert s.read("t").count() == 3
+
+
 def test_query_settings():
     assert SearchQuery("x", 0).validated().limit == 10 and SearchQuery("x", 500).validated().limit == 100
     assert SearchQuery("x", keyword=False, semantic=False).validated().semantic
