@@ -53,3 +53,10 @@ POSTINGS = f"""fields AS (SELECT id, 'title' AS field, {sql_tokens("replace(titl
   flat AS (SELECT id, field, unnest(t) AS term, unnest(range(len(t))) AS position FROM fields),
   postings AS (SELECT field, term, id, count(*)::INT AS tf FROM flat GROUP BY ALL),
   lengths AS (SELECT field, id, len(t)::INT AS len FROM fields)"""
+
+
+def sql_edits(a: str, b: str) -> str:
+    """Edits between two texts in characters. DuckDB counts bytes, so the characters of both are renamed to ASCII first."""
+    both = f"array_to_string(list_distinct(regexp_extract_all({a} || {b}, '(?s).')), '')"
+    named = lambda x: f"translate({x}, {both}, 'abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789.,:;!?#$%&()*+-/<=>@[]^_{{}}|~')"
+    return f"CASE WHEN strlen({a}) = length({a}) AND strlen({b}) = length({b}) THEN levenshtein({a}, {b}) ELSE levenshtein({named(a)}, {named(b)}) END"

@@ -7,7 +7,7 @@ from findwell.operators import fusion, keyword, spelling, vector_search
 from findwell.operators.chunks import chunk_documents
 from findwell.operators.keyword import KeywordIndex
 from findwell.plans.scratch import materialize
-from findwell.suite.common import ASKED, CLEAN, POSTINGS, asked, clean, sql_tokens, table
+from findwell.suite.common import ASKED, CLEAN, POSTINGS, asked, clean, sql_edits, sql_tokens, table
 
 _DOT = "list_sum(list_transform(list_zip({a}, {b}), lambda z: (z[1] * z[2])::DOUBLE))"
 
@@ -68,13 +68,6 @@ def q_phrases(spark, d):
 
 
 def q_fuzzy_terms(spark, d):
-    """Index terms within two edits of the ASCII query terms."""
-    wanted = keyword.query_terms(asked(spark, d)).where(F.col("term").rlike("^[a-z]+$")).select("term").distinct()
-    near = keyword.fuzzy_terms(_index(spark, d), wanted)
-    return near.where(F.col("term").rlike("^[a-z]+$")).select("asked", "term")
-
-
-def q_fuzzy_terms_all(spark, d):
     """Index terms within two edits of the query terms, of any letters, digits and marks."""
     wanted = keyword.query_terms(asked(spark, d)).select("term").distinct()
     return keyword.fuzzy_terms(_index(spark, d), wanted).select("asked", "term")
@@ -84,32 +77,18 @@ def q_fuzzy_search(spark, d):
     return _round(keyword.boosted(_index(spark, d), asked(spark, d), fuzzy=True))
 
 
-def _ascii_dictionary(spark, d):
-    return _index(spark, d).term_frequencies().where(F.col("term").rlike("^[a-z]+$"))
-
-
 def q_misspelled(spark, d):
     words = asked(spark, d).select(F.explode(T.query_words("query")).alias("term")).distinct()
     return spelling.misspelled(words, _index(spark, d).term_frequencies())
 
 
 def q_suggest(spark, d):
-    words = asked(spark, d).select(F.explode(T.query_words("query")).alias("term")).distinct().where(F.col("term").rlike("^[a-z]+$"))
-    return spelling.suggest(spelling.misspelled(words, _index(spark, d).term_frequencies()), _ascii_dictionary(spark, d))
-
-
-def q_spell_check(spark, d):
-    plain = asked(spark, d).where(F.col("query").rlike("^[A-Za-z ]+$"))
-    return spelling.check(plain, _ascii_dictionary(spark, d))
-
-
-def q_suggest_all(spark, d):
     """Suggestions from the whole vocabulary for all unknown words."""
     words, known = asked(spark, d).select(F.explode(T.query_words("query")).alias("term")).distinct(), _index(spark, d).term_frequencies()
     return spelling.suggest(spelling.misspelled(words, known), known)
 
 
-def q_spell_check_all(spark, d):
+def q_spell_check(spark, d):
     """All queries against the whole vocabulary."""
     return spelling.check(asked(spark, d), _index(spark, d).term_frequencies())
 
@@ -202,8 +181,8 @@ def q_hybrid(spark, d):
 
 
 QUERIES = {f.__name__: f for f in (
-    q_term_df, q_vocabulary, q_field_lengths, q_corpus_stats, q_stop_words, q_match_any, q_match_tfidf, q_boosted, q_top_keyword, q_phrases, q_fuzzy_terms, q_fuzzy_terms_all, q_fuzzy_search,
-    q_misspelled, q_suggest, q_suggest_all, q_spell_check, q_spell_check_all, q_chunk, q_vec_topk, q_vec_topk_expr, q_vec_remove, q_sem_by_doc, q_split_fusion, q_min_score, q_totals, q_page, q_hydrate, q_hybrid,
+    q_term_df, q_vocabulary, q_field_lengths, q_corpus_stats, q_stop_words, q_match_any, q_match_tfidf, q_boosted, q_top_keyword, q_phrases, q_fuzzy_terms, q_fuzzy_search,
+    q_misspelled, q_suggest, q_spell_check, q_chunk, q_vec_topk, q_vec_topk_expr, q_vec_remove, q_sem_by_doc, q_split_fusion, q_min_score, q_totals, q_page, q_hydrate, q_hybrid,
 )}
 
 _SP = r"[\s\p{Z}\x{85}\x{0B}]+"
@@ -233,11 +212,9 @@ def _boosted(wanted: str) -> str:
 
 
 _ALL = f"{_BASE}, {_WANTED}, {_scored(_BM25)}, exact AS (SELECT *, term AS asked FROM wanted), {_boosted('exact')}"
-_NEAR = """near AS (SELECT w.term AS asked, v.term FROM (SELECT DISTINCT term FROM wanted) w, (SELECT DISTINCT term FROM postings) v
-  WHERE abs(length(w.term) - length(v.term)) <= 2 AND regexp_full_match(w.term, '[a-z]+') AND regexp_full_match(v.term, '[a-z]+') AND levenshtein(w.term, v.term) <= 2)"""
-_ASCII = "dict AS (SELECT term, df FROM df WHERE regexp_full_match(term, '[a-z]+'))"
-_SUGGEST = """sug AS (SELECT m.term, d.term AS suggestion, levenshtein(m.term, d.term)::INT AS distance, d.df, d.df / (levenshtein(m.term, d.term) + 1.0) AS score FROM bad m, dict d
-  WHERE abs(length(m.term) - length(d.term)) <= 2 AND m.term <> d.term AND levenshtein(m.term, d.term) <= 2)"""
+_NEAR = f"""near AS (SELECT w.term AS asked, v.term FROM (SELECT DISTINCT term FROM wanted) w, (SELECT DISTINCT term FROM postings) v WHERE abs(length(w.term) - length(v.term)) <= 2 AND {sql_edits('w.term', 'v.term')} <= 2)"""
+_SUGGEST = f"""sug AS (SELECT *, df / (distance + 1.0) AS score FROM (SELECT m.term, d.term AS suggestion, ({sql_edits('m.term', 'd.term')})::INT AS distance, d.df FROM bad m, df d
+  WHERE abs(length(m.term) - length(d.term)) <= 2 AND m.term <> d.term) WHERE distance <= 2)"""
 _VEC = f"""q AS (SELECT vec_id AS query_id, embedding AS q FROM embeddings WHERE vec_id % 50 = 0),
   top AS (SELECT query_id, vec_id::VARCHAR AS id, {_DOT.format(a='embedding', b='q')} AS s, row_number() OVER (PARTITION BY query_id ORDER BY {_DOT.format(a='embedding', b='q')} DESC, vec_id::VARCHAR)::INT AS rank FROM embeddings, q),
   hits AS (SELECT query_id, id, round(s, 6) AS score, rank FROM top WHERE rank <= 10)"""
@@ -256,11 +233,12 @@ SQL = {
     "q_top_keyword": f"{_ALL} SELECT query_id, id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id)::INT AS rank FROM boosted) WHERE rank <= 10",
     "q_phrases": f"{_BASE}, {_WANTED}, {_PHRASES} SELECT query_id, id FROM together",
     "q_fuzzy_terms": f"{_BASE}, {_WANTED}, {_NEAR} SELECT asked, term FROM near",
+    "q_fuzzy_search": f"{_BASE}, {_WANTED}, {_scored(_BM25)}, {_NEAR}, fuzzy AS (SELECT w.query_id, n.asked, n.term, w.times FROM wanted w JOIN near n ON n.asked = w.term), {_boosted('fuzzy')} SELECT query_id, id, score FROM boosted",
     "q_misspelled": f"{_BASE}, {ASKED}, w AS (SELECT DISTINCT unnest({_QWORDS}) AS term FROM asked) SELECT term FROM w WHERE term NOT IN (SELECT term FROM postings)",
-    "q_suggest": f"""{_BASE}, {ASKED}, {_DF}, {_ASCII}, bad AS (SELECT DISTINCT term FROM (SELECT unnest({_QWORDS}) AS term FROM asked) WHERE regexp_full_match(term, '[a-z]+') AND term NOT IN (SELECT term FROM df)), {_SUGGEST}
+    "q_suggest": f"""{_BASE}, {ASKED}, {_DF}, bad AS (SELECT DISTINCT term FROM (SELECT unnest({_QWORDS}) AS term FROM asked) WHERE term NOT IN (SELECT term FROM df)), {_SUGGEST}
 SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY term ORDER BY score DESC, suggestion)::INT AS rank FROM sug) WHERE rank <= 3""",
-    "q_spell_check": f"""{_BASE}, {ASKED}, {_DF}, {_ASCII}, pq AS (SELECT * FROM asked WHERE regexp_full_match(query, '[A-Za-z ]+')), w AS (SELECT query_id, unnest({_QWORDS}) AS term, unnest(range(len({_QWORDS}))) AS place FROM pq),
-  bad AS (SELECT DISTINCT term FROM w WHERE term NOT IN (SELECT term FROM dict)), {_SUGGEST}, best AS (SELECT term, suggestion FROM (SELECT *, row_number() OVER (PARTITION BY term ORDER BY score DESC, suggestion) AS r FROM sug) WHERE r = 1)
+    "q_spell_check": f"""{_BASE}, {ASKED}, {_DF}, pq AS (SELECT * FROM asked), w AS (SELECT query_id, unnest({_QWORDS}) AS term, unnest(range(len({_QWORDS}))) AS place FROM pq),
+  bad AS (SELECT DISTINCT term FROM w WHERE term NOT IN (SELECT term FROM df)), {_SUGGEST}, best AS (SELECT term, suggestion FROM (SELECT *, row_number() OVER (PARTITION BY term ORDER BY score DESC, suggestion) AS r FROM sug) WHERE r = 1)
 SELECT pq.query_id, coalesce(string_agg(coalesce(best.suggestion, w.term), ' ' ORDER BY place), '') AS corrected, coalesce(string_agg(bad.term, ' ' ORDER BY place), '') AS misspelled
 FROM pq LEFT JOIN w USING (query_id) LEFT JOIN bad ON bad.term = w.term LEFT JOIN best ON best.term = w.term GROUP BY pq.query_id""",
     "q_chunk": f"""WITH {CLEAN}, w AS (SELECT id, list_filter(regexp_split_to_array(content, ' '), lambda x: x <> '') AS w FROM doc),

@@ -9,7 +9,8 @@ from findwell.functions import text as T
 from findwell.functions import vectors as V
 from findwell.functions.distance import damerau
 from findwell.functions.hashing import MockEmbedder, string_hash, tokenized
-from findwell.suite.common import ASKED, CLEAN, CUR, asked, clean, current, sql_clean, table
+from findwell.operators.keyword import deletions
+from findwell.suite.common import ASKED, CLEAN, CUR, asked, clean, current, sql_clean, sql_edits, table
 
 
 def _three():
@@ -22,7 +23,7 @@ def q_preprocess(spark, d):
 
 def q_text_shortening(spark, d):
     x = table(spark, d, "documents")
-    return x.select("doc_id", T.truncate("text", 40).alias("cut"), T.one_line(F.substring("text", 1, 60)).alias("line"), T.first_words(T.preprocess("text"), 5).alias("words"))
+    return x.select("doc_id", T.truncate("text", 40).alias("cut"), F.md5(T.one_line("text")).alias("line"), T.first_words(T.preprocess("text"), 5).alias("words"))
 
 
 def q_title_norm(spark, d):
@@ -84,11 +85,14 @@ def q_metadata(spark, d):
 
 
 def q_edit_distance(spark, d):
-    """Distances between neighbours among the ASCII words of the queries."""
-    w = asked(spark, d).select(F.explode(T.query_words("query")).alias("w")).where(F.col("w").rlike("^[a-z]+$")).distinct()
-    stem = w.withColumn("k", F.substring("w", 1, 2))
-    pairs = stem.alias("a").join(stem.alias("b"), "k").where("a.w < b.w")
-    return pairs.select(F.col("a.w").alias("a"), F.col("b.w").alias("b"), F.levenshtein("a.w", "b.w").alias("d"))
+    """Distances between the words of the queries that begin with the same two letters or are within two edits."""
+    w = asked(spark, d).select(F.explode(T.query_words("query")).alias("term")).distinct()
+    begins, stubs = w.withColumn("k", F.substring("term", 1, 2)), deletions(w, 2).withColumnRenamed("stub", "k")
+
+    def met(x):
+        return x.select(F.col("term").alias("a"), "k").join(x.select(F.col("term").alias("b"), "k"), "k").where("a < b").select("a", "b", F.levenshtein("a", "b").alias("d"))
+
+    return met(begins).unionAll(met(stubs).where("d <= 2")).distinct()
 
 
 def q_osa(spark, d):
@@ -110,17 +114,21 @@ def q_normalize(spark, d):
 
 
 def q_hash(spark, d):
-    return current(spark, d).where("title is not null").select("id", string_hash("title").alias("hash"))
+    return table(spark, d, "documents").where("text is not null").select("doc_id", string_hash("text").alias("hash"))
 
 
 def q_token_ids(spark, d):
-    t = tokenized(F.col("title"), 16)
-    return current(spark, d).select("id", t.alias("t")).select("id", "t.ids", "t.mask")
+    """Ids and mask of whole texts, 256 at most, as digests."""
+    t = tokenized(F.col("text"), 256)
+    x = table(spark, d, "documents").select("doc_id", t.alias("t"))
+    return x.select("doc_id", F.md5(F.array_join(F.col("t.ids").cast("array<string>"), ",")).alias("ids_md5"), F.aggregate("t.mask", F.lit(0), lambda n, m: n + m).alias("used"), F.size("t.mask").alias("n"))
 
 
 def q_mock_embed(spark, d):
-    x = current(spark, d).where("title is not null").select("title").distinct()
-    return x.select("title", MockEmbedder(16).embed(F.col("title")).alias("embedding"))
+    """Embeddings of 384 numbers of whole texts: the first, the last and the length."""
+    v = MockEmbedder(384).embed(F.col("text"))
+    x = table(spark, d, "documents").where("text is not null").select("doc_id", v.alias("v"))
+    return x.select("doc_id", F.size("v").alias("n"), F.round(F.element_at("v", 1).cast("double"), 3).alias("first"), F.round(F.element_at("v", -1).cast("double"), 3).alias("last"), F.round(V.l2_norm("v"), 3).alias("norm"))
 
 
 QUERIES = {f.__name__: f for f in (
@@ -158,9 +166,26 @@ _IN_ORDER = "list_reduce(list_concat([0], [1, 2, 3]), lambda p, i: CASE WHEN p <
 _META = "CASE WHEN json_valid(metadata) THEN metadata ELSE NULL END"
 _VALUE = "CASE WHEN json_type(m, '$.{k}') = 'ARRAY' THEN array_to_string(CAST(json_extract(m, '$.{k}') AS VARCHAR[]), '{s}') ELSE coalesce(json_extract_string(m, '$.{k}'), '') END"
 
+_PAIRS = f"""{ASKED}, w AS (SELECT DISTINCT w FROM (SELECT unnest({_words('lower(query)')}) AS w FROM asked)),
+  pairs AS (SELECT * FROM (SELECT a.w AS a, b.w AS b, ({sql_edits('a.w', 'b.w')})::INT AS d FROM w a JOIN w b ON a.w < b.w AND (substr(a.w, 1, 2) = substr(b.w, 1, 2) OR abs(length(a.w) - length(b.w)) <= 2)) WHERE substr(a, 1, 2) = substr(b, 1, 2) OR d <= 2)"""
+
+
+def _poly(x: str) -> str:
+    """The polynomial of the code points modulo 2**64."""
+    return f"list_reduce(list_concat([0::HUGEINT], list_transform(regexp_extract_all({x}, '(?s).'), lambda c: unicode(c)::HUGEINT)), lambda h, c: (h * 31 + c) % 18446744073709551616::HUGEINT)"
+
+
+def _signed(h: str) -> str:
+    return f"(({h} + 9223372036854775808::HUGEINT) % 18446744073709551616::HUGEINT - 9223372036854775808::HUGEINT)"
+
+
+def _abs(h: str) -> str:
+    return f"(CASE WHEN {h} = -9223372036854775808::HUGEINT THEN {h} ELSE abs({h}) END)"
+
+
 SQL = {
     "q_preprocess": f"SELECT doc_id, md5({sql_clean('text')}) AS clean_md5, length({sql_clean('text')})::INT AS n FROM documents",
-    "q_text_shortening": f"""SELECT doc_id, CASE WHEN length(text) > 40 THEN left(text, 40) || '...' ELSE text END AS cut, trim(translate(substr(text, 1, 60), chr(10) || chr(9), '  ')) AS line,
+    "q_text_shortening": f"""SELECT doc_id, CASE WHEN length(text) > 40 THEN left(text, 40) || '...' ELSE text END AS cut, md5(trim(translate(text, chr(10) || chr(9), '  '))) AS line,
   CASE WHEN text IS NULL THEN NULL WHEN len({_words(sql_clean('text'))}) > 5 THEN array_to_string({_words(sql_clean('text'))}[1:5], ' ') || '...' ELSE {sql_clean('text')} END AS words FROM documents""",
     "q_title_norm": rf"WITH {CUR} SELECT id, replace(title, '_', ' ') AS search_title, {_FILE} AS name, lower(regexp_extract(title, '(?s)^.+\.([^.]*)$', 1)) AS extension FROM cur",
     "q_tokenize": "WITH f AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{M}\\p{N}_]+(?:[''’.][\\p{L}\\p{M}\\p{N}_]+)*')) AS term FROM documents) SELECT doc_id, term, count(*) AS tf FROM f GROUP BY ALL",
@@ -186,8 +211,22 @@ SELECT id, array_to_string(list_filter([author, tag_text], lambda v: v <> ''), '
   CASE WHEN regexp_full_match(json_extract_string(m, '$.source_size'), '[0-9]{{1,18}}') THEN json_extract_string(m, '$.source_size')::BIGINT WHEN json_extract_string(m, '$.source_size') IS NULL THEN 0 ELSE 0 END AS size,
   make_timestamp(CASE WHEN regexp_full_match(json_extract_string(m, '$.source_mtime'), '[0-9]{{1,20}}') THEN json_extract_string(m, '$.source_mtime')::HUGEINT // 1000 ELSE 0 END::BIGINT) AS modified,
   tag_text <> '' AND (contains(lower(tag_text), 'ticket') OR contains(lower(tag_text), 'user-149')) AS hit FROM y""",
-    "q_edit_distance": f"""WITH {ASKED}, w AS (SELECT DISTINCT w FROM (SELECT unnest({_words('lower(query)')}) AS w FROM asked) WHERE regexp_full_match(w, '[a-z]+'))
-SELECT a.w AS a, b.w AS b, levenshtein(a.w, b.w)::INT AS d FROM w a JOIN w b ON substr(a.w, 1, 2) = substr(b.w, 1, 2) AND a.w < b.w""",
+    "q_edit_distance": f"WITH {_PAIRS} SELECT a, b, d FROM pairs",
+    "q_osa": f"""WITH RECURSIVE {_PAIRS}, c AS (SELECT a, b, d, regexp_extract_all(a, '(?s).') AS x, regexp_extract_all(b, '(?s).') AS y FROM pairs),
+  s AS (SELECT a, b, 0 AS i, range(0, len(y) + 1) AS r, NULL::BIGINT[] AS p FROM c
+    UNION ALL SELECT a, b, i + 1, list_transform(range(1, len(k) + 1), lambda j: list_min(list_transform(range(1, j + 1), lambda q: k[q] - q)) + j), r FROM (
+      SELECT a, b, i, r, list_concat([i + 1], list_transform(range(1, len(y) + 1), lambda j: least(r[j + 1] + 1, r[j] + (x[i + 1] <> y[j])::INT, CASE WHEN i > 0 AND j > 1 AND x[i + 1] = y[j - 1] AND x[i] = y[j] THEN p[j - 1] + 1 ELSE 1000000 END))) AS k
+      FROM s JOIN c USING (a, b) WHERE i < len(x)))
+SELECT c.a, c.b, d, r[len(r)]::INT AS aligned FROM s JOIN c ON s.a = c.a AND s.b = c.b AND s.i = len(c.x)""",
+    "q_hash": f"SELECT doc_id, ({_abs(_signed(_poly('text')))})::BIGINT AS hash FROM documents WHERE text IS NOT NULL",
+    "q_token_ids": f"""WITH w AS (SELECT doc_id, list_filter(string_split(translate(coalesce(text, ''), chr(10) || chr(9), '  '), ' '), lambda w: w <> '')[1:254] AS w FROM documents),
+  e AS (SELECT doc_id, unnest(w) AS w, unnest(range(len(w))) AS i FROM w), h AS (SELECT doc_id, i, {_signed(_poly('w'))} AS h FROM e), ids AS (SELECT doc_id, list((CASE WHEN h = -9223372036854775808 THEN -({_abs('h')} % 30000) ELSE {_abs('h')} % 30000 END) ORDER BY i) AS ids FROM h GROUP BY doc_id),
+  f AS (SELECT doc_id, list_concat([101::HUGEINT], coalesce(ids, []), [102::HUGEINT]) AS ids FROM w LEFT JOIN ids USING (doc_id)), g AS (SELECT doc_id, list_concat(ids, list_transform(range(256 - len(ids)), lambda i: 0::HUGEINT)) AS ids FROM f)
+SELECT doc_id, md5(array_to_string(list_transform(ids, lambda i: i::VARCHAR), ',')) AS ids_md5, len(list_filter(ids, lambda i: i <> 0))::INT AS used, len(ids)::INT AS n FROM g""",
+    "q_mock_embed": f"""WITH h AS (SELECT doc_id, {_abs(_signed(_poly('text')))} AS h FROM documents WHERE text IS NOT NULL),
+  v AS (SELECT doc_id, list_transform(range(1, 385), lambda k: (sin(({_signed('((h * k) % 18446744073709551616::HUGEINT + 18446744073709551616::HUGEINT) % 18446744073709551616::HUGEINT')})::BIGINT::DOUBLE) * 0.1 + 0.01)::FLOAT::DOUBLE) AS v FROM h),
+  n AS (SELECT doc_id, v, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS n FROM v)
+SELECT doc_id, len(v)::INT AS n, round(v[1] / n, 3) AS first, round(v[384] / n, 3) AS last, 1.0::DOUBLE AS norm FROM n""",
     "q_vectors": f"""WITH x AS (SELECT e.vec_id, e.embedding AS v, o.embedding AS w FROM embeddings e JOIN embeddings o ON e.vec_id = o.vec_id + 1)
 SELECT vec_id, round({_DOT.format(a='v', b='w')}, 6) AS dot, round(least(1.0, greatest(0.0, {_DOT.format(a='v', b='w')})), 6) AS cos, round(sqrt(list_sum(list_transform(v, lambda x: x::DOUBLE * x::DOUBLE))), 6) AS norm FROM x""",
     "q_normalize": """WITH x AS (SELECT vec_id, list_transform(embedding, lambda v: (v * 3::FLOAT)::DOUBLE) AS v FROM embeddings), n AS (SELECT *, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS n FROM x)

@@ -35,7 +35,7 @@ def run(spark, tables, name):
 def test_fuzzy_terms_of_the_whole_vocabulary(spark, tables):
     vocabulary, asked = ({r["term"] for r in suite.queries()[name](spark, tables).collect()} for name in ("q_vocabulary", "q_corpus_stats"))
     assert {"été", "x87", "検索", "v1.2", "naïve"} <= vocabulary and {"étè", "x88", "known", "v1.3"} <= asked
-    got = run(spark, tables, "q_fuzzy_terms_all")
+    got = run(spark, tables, "q_fuzzy_terms")
     want = {(a, t) for a in asked for t in vocabulary if edits(a, t) <= 2}
     assert set(got) == want and len(got) == len(want)
     assert {("étè", "été"), ("x88", "x86"), ("приветт", "привёт"), ("検案", "検索"), ("naive", "naïve")} <= want
@@ -49,7 +49,7 @@ def best(word, known):
 def test_suggestions_from_the_whole_vocabulary(spark, tables):
     known, words = dict(run(spark, tables, "q_term_df")), {w for q in ASKED for w in q.split()}
     want = {(w, t, e, n, n / (e + 1.0), k) for w in words - set(known) for k, (t, e, n) in enumerate(best(w, known)[:3], 1)}
-    got = run(spark, tables, "q_suggest_all")
+    got = run(spark, tables, "q_suggest")
     assert set(got) == want and len(got) == len(want)
     assert {"fúr", "étè", "donneés", "приветт", "検案", "v1.3,"} <= {x[0] for x in want}
 
@@ -59,4 +59,4 @@ def test_all_queries_are_checked(spark, tables):
     for k, q in enumerate(ASKED):
         near = {w: best(w, known) for w in q.split() if w not in known}
         want.add((k, " ".join(near[w][0][0] if near.get(w) else w for w in q.split()), " ".join(w for w in q.split() if w in near)))
-    assert set(run(spark, tables, "q_spell_check_all")) == want
+    assert set(run(spark, tables, "q_spell_check")) == want
