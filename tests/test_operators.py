@@ -9,7 +9,7 @@ from findwell.operators.chunks import chunk_documents
 from findwell.operators.incremental import Ledger, changed_since, oldest_open, pending_from_mark, pending_states
 from findwell.operators.keyword import KeywordIndex
 from findwell.operators.ranking import ranked
-from findwell.operators.state import current_rows
+from findwell.operators.state import current_contents, current_rows
 
 T = [dt.datetime(2025, 1, d) for d in range(1, 10)]
 
@@ -138,6 +138,22 @@ def test_current_rows_ties_nulls_and_empty_tables(spark):
     assert current_rows(spark.createDataFrame([], schema), {"v": F.col("v")}).count() == 0
 
 
+def test_current_contents_are_the_current_rows(spark):
+    schema = "id string, v string, w int, updated_at timestamp, created_at timestamp, __key int, __rows int"
+    data = [("a", "old", 1, T[1], T[0]), ("a", "new", 2, None, T[3]), ("a", "new", 2, None, T[3]), ("b", None, None, None, None), ("b", "x", 1, None, None), (None, "x", 1, T[1], T[1]), ("c", "é" * 9, None, T[2], None), ("c", "z", 1, T[1], None)]
+    df = spark.createDataFrame([(*d, 0, 1) for d in data], schema)
+    want = current_rows(df, {"v": F.col("v"), "w": F.col("w")}).drop("effective_at")
+    for size in ("10m", "-1"):
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", size)
+        spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", size)
+        try:
+            assert sorted(map(str, current_contents(df, ["v", "w"]).collect())) == sorted(map(str, want.collect()))
+        finally:
+            spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+            spark.conf.unset("spark.sql.adaptive.autoBroadcastJoinThreshold")
+    assert current_contents(df.limit(0), ["v"]).count() == 0
+
+
 def changes(spark, states, log, runs):
     return (
         spark.createDataFrame(states, "id string, updated_at timestamp, created_at timestamp, arrived_at timestamp, version string"),
