@@ -18,6 +18,7 @@ from __future__ import annotations
 import html
 import math
 import re
+from bisect import bisect_left
 from html.parser import HTMLParser
 
 import numpy as np
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from findwell.llm.arrow import list_array, slices
-from findwell.operators.state import current_rows
+from findwell.operators.state import current_contents
 
 KINDS = ("heading", "list_item", "code", "formula")
 Block = tuple[str, str, int] | tuple[str, str, int, int]  # kind, text, line, and of running text the last line
@@ -57,11 +58,29 @@ _SIGNS = {
 }
 
 
+_ELEMENT_TAG = re.compile(r"<(/?)(?:html|body|head|div|p|h[1-6]|ul|ol|li|table|tr|td|th|thead|tbody|section|article|header|footer|nav|main|blockquote|pre|dl|dt|dd|form|figure|script|style)\b[^<>]*>", re.I)
+_MARKDOWN_BLOCK = re.compile(r"^(?:#{1,6} +\S|[-*+] +\S|\d+\. +\S|`{3,}|~{3,})", re.M)
+
+
+def _between_elements(text: str) -> str:
+    """What stands outside of all HTML block elements."""
+    parts, depth, at = [], 0, 0
+    for m in _ELEMENT_TAG.finditer(text):
+        if not depth:
+            parts.append(text[at : m.start()])
+        depth = max(0, depth + (-1 if m[1] else 1))
+        at = m.end()
+    return "\n".join(parts) + ("" if depth else text[at:])
+
+
 def markup_of(text: str) -> str:
-    """html, latex, wiki or markdown, by the number of each one's signs; markdown if there are none."""
+    """html, latex, wiki or markdown, by the number of each one's signs; markdown if there are none.
+
+    HTML with Markdown between its elements is Markdown, which may hold HTML elements and whose reader reads them as such.
+    """
     counts = {kind: sum(1 for _ in sign.finditer(text)) for kind, sign in _SIGNS.items()}
     if counts["html"] >= 2 * counts["wiki"] and counts["html"] > counts["latex"] and counts["html"] >= counts["markdown"] / 2 and counts["html"]:
-        return "html"
+        return "markdown" if counts["markdown"] and _MARKDOWN_BLOCK.search(_between_elements(text)) else "html"
     if counts["latex"] > max(counts["wiki"], counts["html"]) and counts["latex"] * 2 >= counts["markdown"]:
         return "latex"
     return "wiki" if counts["wiki"] and counts["wiki"] * 2 > counts["markdown"] else "markdown"
@@ -75,8 +94,10 @@ _DOLLARS = re.compile(r"\\\((.+?)\\\)|\\\[(.+?)\\\]|(?<!\\)\$\$(.+?)(?<!\\)\$\$|
 
 def take_formulas(text: str, line: int, out: list[Block], dollars: bool) -> None:
     """Add the formulas of a stretch of running text; single dollars count only where they delimit."""
+    at = 0
     for m in (_DOLLARS if dollars else _FORMULA).finditer(text):
-        out.append(("formula", tidy(next(g for g in m.groups() if g is not None)), line + text.count("\n", 0, m.start())))
+        line, at = line + text.count("\n", at, m.start()), m.start()
+        out.append(("formula", tidy(next(g for g in m.groups() if g is not None)), line))
 
 
 # --- HTML --------------------------------------------------------------------------------------
@@ -233,6 +254,46 @@ def _without_spans(text: str) -> str:
     return _SPAN.sub(lambda m: " " * len(m[0]), text)
 
 
+def _drop_comments(lines: list[str], at: int) -> None:
+    """Blank out all comments that begin in a line, to their ends or the end of the text."""
+    kept, begin, here = [], 0, at
+    while (a := lines[here].find("<!--", begin)) >= 0:
+        kept.append(lines[here][begin:a])
+        stop, begin = here, lines[here].find("-->", a)
+        while begin < 0 and stop + 1 < len(lines):
+            stop += 1
+            begin = lines[stop].find("-->")
+        if stop > here:
+            lines[here] = "".join(kept)
+            lines[here + 1 : stop] = [""] * (stop - here - 1)
+            lines[stop] = lines[stop][begin + 3 :] if begin >= 0 else ""
+            return
+        if begin < 0:
+            lines[here] = "".join(kept)
+            return
+        begin += 3
+    lines[here] = "".join(kept) + lines[here][begin:]
+
+
+_HTML_BLOCK = re.compile(r" {0,3}<(h[1-6]|ul|ol|pre|dl|table)\b[^<>]*>", re.I)
+
+
+def _html_block(lines: list[str], at: int) -> int:
+    """The line behind the HTML element that begins in a line: where it is closed, else the next empty line."""
+    name, depth, empty = _HTML_BLOCK.match(lines[at])[1], 0, None
+    tag = re.compile(rf"<(/?){name}\b[^<>]*>", re.I)
+    for i in range(at, len(lines)):
+        if empty is None and not lines[i].strip():
+            empty = i
+        for m in tag.finditer(lines[i]):
+            depth += -1 if m[1] else 1
+            if depth <= 0:
+                return i + 1
+        if empty is not None and i - empty > 1000:  # far behind: it isn't closed
+            break
+    return empty if empty is not None else len(lines)
+
+
 def read_markdown(text: str, first: int = 1) -> list[Block]:
     lines = text.replace("\r\n", "\n").replace("\r", "\n").split("\n")
     out: list[Block] = []
@@ -255,13 +316,14 @@ def read_markdown(text: str, first: int = 1) -> list[Block]:
             end()
             continue
         if "<!--" in line and not line.startswith("    "):
-            rest = "\n".join(lines[at:])
-            a = rest.index("<!--")
-            b = rest.find("-->", a)
-            cut = rest[:a] + "\n" * rest.count("\n", a, len(rest) if b < 0 else b) + ("" if b < 0 else rest[b + 3 :])
-            lines[at:] = cut.split("\n")
+            _drop_comments(lines, at)
             i = at
             continue
+        if _HTML_BLOCK.match(line):  # allowed in Markdown: read as what it is
+            end()
+            i, listing = _html_block(lines, at), False
+            out += [(b[0], b[1], *[n + first + at - 1 for n in b[2:]]) for b in read_html("\n".join(lines[at:i]))]
+            continue
         indent = len(line) - len(line.lstrip(" \t")) + 3 * line[: len(line) - len(line.lstrip())].count("\t")
         item = _ITEM.match(line)
         if item and (indent < 4 or (listing and para)) and not _RULE.match(line):
@@ -288,10 +350,13 @@ def read_markdown(text: str, first: int = 1) -> list[Block]:
             listing = False
             continue
         if line.lstrip().startswith("$$") and not para:
-            body = "\n".join(lines[at:])
+            stop = at
+            while stop < len(lines) and lines[stop]:  # no formula goes over an empty line
+                stop += 1
+            body = "\n".join(lines[at:stop])
             a = body.index("$$")
             b = body.find("$$", a + 2)
-            if b > 0 and "\n\n" not in body[a:b]:
+            if b > 0:
                 out.append(("formula", tidy(body[a + 2 : b]), first + at))
                 i = at + body.count("\n", 0, b) + 1
                 if rest := body[b + 2 :].split("\n", 1)[0].strip():
@@ -345,6 +410,11 @@ _WIKI_INLINE = [
 ]
 
 
+def _breaks(text: str) -> list[int]:
+    """The places of the line feeds."""
+    return [m.start() for m in re.finditer("\n", text)]
+
+
 def wiki_inline(text: str) -> str:
     while (shorter := re.sub(r"\{\{[^{}]*\}\}", " ", text)) != text:
         text = shorter
@@ -357,10 +427,12 @@ def read_wiki(text: str) -> list[Block]:
     text = text.replace("\r\n", "\n").replace("\r", "\n")
     out: list[Block] = []
     kept: list[str] = []
+    text = text.replace("\ue000", "").replace("\ue001", "")
+    breaks = _breaks(text)
 
     def tag(m: re.Match) -> str:
         name, lines = (m[1] or "").lower(), "\n" * m[0].count("\n")
-        line = 1 + text.count("\n", 0, m.start())
+        line = 1 + bisect_left(breaks, m.start())
         if name == "nowiki":
             kept.append(m[2])
             return f"\ue000{len(kept) - 1}\ue001" + lines
@@ -369,7 +441,7 @@ def read_wiki(text: str) -> list[Block]:
             out.append(("formula" if name == "math" else "code", tidy(body), line))
         return " " + lines if name == "math" or not name else lines or "\n\ue001"  # a break that the text doesn't have
 
-    body = _WIKI_TAG.sub(tag, text.replace("\ue000", "").replace("\ue001", ""))
+    body = _WIKI_TAG.sub(tag, text)
     para: list[str] = []
     start, last, number, table = 0, 0, 0, False
 
@@ -418,13 +490,15 @@ _EVENT = re.compile(
 )
 _MATH_ENV = {"equation", "align", "gather", "multline", "displaymath", "math", "eqnarray", "flalign", "alignat"}
 _DROPPED = re.compile(r"\\(?:footnote|label|cite[tp]?|ref|vspace|hspace|index|thanks|documentclass|usepackage|pagestyle|includegraphics|bibliography|bibliographystyle)\*?\s*(?:\[[^\]]*\])?(?=\{)")
+_HREF = re.compile(r"\\href\s*(?=\{)")
+_GROUP = re.compile(r"\\.|[{}]", re.S)
 _KEPT_CHARACTER = re.compile(r"\\([&%#_${}])")
 
 
 def _braced(text: str, at: int) -> int:
     """End of the group that opens at ``at``, or -1."""
     depth = 0
-    for m in re.compile(r"\\.|[{}]", re.S).finditer(text, at):
+    for m in _GROUP.finditer(text, at):
         depth += {"{": 1, "}": -1}.get(m[0], 0)
         if not depth:
             return m.end()
@@ -433,12 +507,19 @@ def _braced(text: str, at: int) -> int:
 
 def latex_inline(text: str) -> str:
     """What a reader sees of a stretch of LaTeX."""
-    while m := _DROPPED.search(text):
+    parts, at = [], 0
+    while m := _DROPPED.search(text, at):
         end = _braced(text, m.end())
-        text = text[: m.start()] + " " * (not m[0].startswith("\\footnote")) + (text[end:] if end > 0 else "")
-    while m := re.search(r"\\href\s*(?=\{)", text):
-        end = _braced(text, m.end())
-        text = text[: m.start()] + (text[end:] if end > 0 else text[m.end() + 1 :])
+        parts += [text[at : m.start()], " " * (not m[0].startswith("\\footnote"))]
+        at = end if end > 0 else len(text)
+    text = "".join(parts) + text[at:]
+    parts, at, closed = [], 0, True
+    while m := _HREF.search(text, at):
+        end = _braced(text, m.end()) if closed else -1
+        closed = end > 0  # if one isn't closed, those behind it aren't either
+        parts.append(text[at : m.start()])
+        at = end if closed else m.end() + 1
+    text = "".join(parts) + text[at:]
     kept: list[str] = []
 
     def keep(m: re.Match) -> str:
@@ -464,10 +545,11 @@ def read_latex(text: str) -> list[Block]:
         here = i
         if m := _BEGIN_CODE.search(line):
             stop, body = f"\\end{{{m[1]}}}", source[i - 1][m.end() :]
-            skipped = 0
-            while stop not in body and i < len(source):
-                body, i, skipped = body + "\n" + source[i], i + 1, skipped + 1
-            head, found, tail = body.partition(stop)
+            held, skipped = [body], 0
+            while stop not in held[-1] and i < len(source):
+                held.append(source[i])
+                i, skipped = i + 1, skipped + 1
+            head, found, tail = "\n".join(held).partition(stop)
             head = re.sub(r"^(?:[ \t]*\[[^\]\n]*\])?" + (r"(?:[ \t]*\{[^}\n]*\})?" if m[1] == "minted" else ""), "", head)
             codes.append(tidy(head))
             line = line[: m.start()] + f"\n\n\ue000{len(codes) - 1}\ue001" + "\n" * max(0, skipped - 2) + tail
@@ -476,12 +558,13 @@ def read_latex(text: str) -> list[Block]:
         lines.append(line)
         numbers += [min(here + k, i) for k in range(line.count("\n") + 1)]
     body = "\n".join(lines)
+    breaks, missing = _breaks(body), set()
     out: list[Block] = []
     kind, start, p, at, parts, depth = "text", 0, 0, 0, [], 0
 
     def number(p: int) -> int:
         """The line of the source, of which ``body`` lacks the comments."""
-        return numbers[body.count("\n", 0, p)] if numbers else 1
+        return numbers[bisect_left(breaks, p)] if numbers else 1
 
     def end():
         nonlocal parts, kind
@@ -507,7 +590,9 @@ def read_latex(text: str) -> list[Block]:
         elif m["begin"]:
             name = m["env"].rstrip("*")
             if name in _MATH_ENV and m["begin"] == "begin":
-                close = body.find(f"\\end{{{m['env']}}}", at)
+                close = -1 if m["env"] in missing else body.find(f"\\end{{{m['env']}}}", at)
+                if close < 0:
+                    missing.add(m["env"])  # behind here there is none, so it isn't looked for again
                 if close > 0:
                     out.append(("formula", tidy(body[at:close]), number(p)))
                     at = close + len(m["env"]) + 6
@@ -535,7 +620,9 @@ def read_latex(text: str) -> list[Block]:
                 at = m.start() + 1
         else:
             close_by = {"(": r"\)", "[": r"\]"}.get(m["paren"] or m["bracket"] or "", m["dollar"])
-            close = re.compile(r"(?<!\\)" + re.escape(close_by)).search(body, at)
+            close = None if close_by in missing else re.compile(r"(?<!\\)" + re.escape(close_by)).search(body, at)
+            if close is None:
+                missing.add(close_by)
             inner = body[at : close.start()] if close else ""
             if close and inner.strip() and "\n\n" not in inner:
                 out.append(("formula", tidy(inner), number(p)))
@@ -565,8 +652,8 @@ _TAG = re.compile(r"<[/!]?[A-Za-z-][^<>]*>|\\[A-Za-z]+\*?|[=*#|{}\[\]]{2,}")
 def content_lines(text: str, width: float = 1.0) -> np.ndarray:
     """Whether each line belongs to the content, by its smoothed ratio of text to tags.
 
-    The threshold is the point between the means of the lower and the upper cluster of the ratios;
-    lines with tags whose ratio stays under a part of it are left out. Lines without a tag stay,
+    The ratios are smoothed with a Gaussian, and their logarithms form two clusters; the threshold lies
+    midway between the clusters' means. Lines with tags below it are left out. Lines without a tag stay,
     however short they are beside others.
     """
     lines = text.split("\n")
@@ -574,7 +661,7 @@ def content_lines(text: str, width: float = 1.0) -> np.ndarray:
     ratio = np.array([len(_TAG.sub("", x).strip()) for x in lines], dtype=np.float64) / np.maximum(1, tags)
     reach = max(1, math.ceil(3 * width))
     kernel = np.exp(-0.5 * (np.arange(-reach, reach + 1) / width) ** 2)
-    smooth = np.convolve(np.pad(ratio, reach, mode="edge"), kernel / kernel.sum(), mode="valid")
+    smooth = np.log1p(np.convolve(np.pad(ratio, reach, mode="edge"), kernel / kernel.sum(), mode="valid"))
     cut = smooth.mean()
     for _ in range(20):
         low, high = smooth[smooth <= cut], smooth[smooth > cut]
@@ -582,7 +669,7 @@ def content_lines(text: str, width: float = 1.0) -> np.ndarray:
         if abs(new - cut) < 1e-9:
             break
         cut = new
-    return (smooth > 0.1 * cut) | ((tags == 0) & (ratio > 0))
+    return (smooth > cut) | ((tags == 0) & (ratio > 0)) if (smooth > cut).any() else np.ones(len(lines), dtype=bool)
 
 
 def clean_text(text: str | None) -> str:
@@ -626,26 +713,19 @@ def _texts(batches):
         yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in names], pa.array(texts, pa.string())], names=[*names, "text"])
 
 
-_STATE = "id string, updated_at {0}, created_at {0}, "
-
-
-def _states(stored: DataFrame, run, result: str) -> DataFrame:
-    rows = stored.select("id", "updated_at", "created_at", "content")
-    return rows.mapInArrow(run, _STATE.format(rows.schema["updated_at"].dataType.simpleString()) + result)
+def _current(stored: DataFrame, run, result: str) -> DataFrame:
+    return current_contents(stored, ["content"]).mapInArrow(run, "id string, " + result)
 
 
 def current_elements(stored: DataFrame) -> DataFrame:
-    """(id, element, element_text): the distinct elements of each current content.
-
-    Every state is read where it lies; only what was found is shuffled to find the current state.
-    """
-    states = _states(stored, _elements, "found array<struct<element:string,element_text:string>>")
-    return current_rows(states, {"found": F.col("found")}).select("id", F.explode("found").alias("f")).select("id", "f.*")
+    """(id, element, element_text): the distinct elements of each current content. Superseded contents aren't read."""
+    found = _current(stored, _elements, "found array<struct<element:string,element_text:string>>")
+    return found.select("id", F.explode("found").alias("f")).select("id", "f.*")
 
 
 def current_texts(stored: DataFrame) -> DataFrame:
     """(id, text): the clean text of each current content; empty for a null or empty one."""
-    return current_rows(_states(stored, _texts, "text string"), {"text": F.col("text")}).select("id", "text")
+    return _current(stored, _texts, "text string")
 
 
 def p5_found(spark, d):

@@ -139,3 +139,31 @@ def test_elements_of_current_contents(spark):
     texts = {r["id"]: r["text"] for r in current_texts(df).collect()}
     assert texts == {"a": "# new\n\n- x\n\n- x", "b": "", "c": "", "d": "plain"}
     assert current_elements(df.limit(0)).count() == 0
+
+
+def test_html_elements_within_markdown():
+    text = "# Title\n\ntext\n\n<h2>Second &amp; more</h2>\n\n<ul>\n<li>one</li>\n\n<li>two</li>\n</ul>\n\n- a\n- b\n\n<pre>\nx = 1\n</pre>\n\n```\n<h2>no heading</h2>\n```\n\n<ol><li>never closed\n\n## Last\n"
+    found = [b[:2] for b in read_blocks(text)]
+    assert found == [
+        ("heading", "Title"), ("text", "text"), ("heading", "Second & more"), ("list_item", "one"), ("list_item", "two"), ("list_item", "a"), ("list_item", "b"), ("code", "x = 1"), ("code", "<h2>no heading</h2>"),
+        ("list_item", "never closed"), ("heading", "Last"),
+    ]
+    assert [b[2] for b in read_blocks(text)][:3] == [1, 3, 5]
+    assert markup_of("<div>\n- a\n</div>\n<p>b\n# c") == "html"
+
+
+@pytest.mark.parametrize("part", ["text \\label{x} $a$ \\footnote{b}\n\n\\begin{equation}x\\end{equation}\n", "a <!-- c --> b\n<!-- x\n y -->\n\n$$x$$\n\n", "* b <ref>x</ref> <math>y</math> '''c'''\n", "\\label{x} word ", "<li>a</li>\n", "<!-- x --> y "])
+def test_twice_the_text_takes_about_twice_the_time(part):
+    import time
+
+    heads = {"text": "\\section{a}\n", "\\lab": "\\section{a}\n", "a <!": "# a\n\n", "<!--": "# a\n\n", "* b ": "== a ==\n", "<li>": "<ul>\n"}
+
+    def took(k):
+        text, best = heads[part[:4]] + part * k, 1e9
+        for _ in range(3):
+            began = time.perf_counter()
+            read_blocks(text)
+            best = min(best, time.perf_counter() - began)
+        return best
+
+    assert took(6000) < 3.2 * took(3000) + 0.02
