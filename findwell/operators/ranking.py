@@ -41,10 +41,17 @@ class Context:
     as_of: Column
     documents: Column  # how many the collection has; 0 switches the rarity of terms off
     frequencies: Column  # map from term to how many documents hold it
+    name_found: Column  # how many of the tokens the name holds
+    name_phrase: Column  # whether it holds any phrase
+    name_order: Column  # whether it holds all tokens, in their order
+    low_found: Column  # the same of the content
+    low_phrase: Column
+    low_order: Column
 
 
 DOCUMENT_PARTS = ["title", "content", "name", "low", "n_words", "headers", "metadata", "path", "size", "modified"]
 QUERY_PARTS = ["query", "tokens", "phrases", "as_of", "documents", "frequencies"]
+FOUND_PARTS, ORDER_PARTS = ["name_found", "name_phrase", "low_found", "low_phrase"], ["name_order", "low_order"]
 
 
 def _computed(df: DataFrame, value: Column, name: str) -> DataFrame:
@@ -81,7 +88,21 @@ def with_context(df: DataFrame, query: Column, title="title", content="content",
         "frequencies": F.expr("cast(map() as map<string,bigint>)") if frequencies is None else frequencies,
     }
     rows = _computed(rows, F.struct(*[parts[n].alias(n) for n in QUERY_PARTS]), "__ctx")
-    return rows, Context(**{n: F.col(f"__doc.{n}") for n in DOCUMENT_PARTS}, **{n: F.col(f"__ctx.{n}") for n in QUERY_PARTS})
+    named = {n: F.col(f"__doc.{n}") for n in DOCUMENT_PARTS} | {n: F.col(f"__ctx.{n}") for n in QUERY_PARTS}
+    # What several scores need of a document and a query together, once; the order only where all is found.
+    rows = _computed(rows, F.struct(*[x.alias(n) for n, x in _found(named).items()]), "__found")
+    named |= {n: F.col(f"__found.{n}") for n in FOUND_PARTS}
+    rows = _computed(rows, F.struct(*[x.alias(n) for n, x in _order(named).items()]), "__order")
+    return rows, Context(**named, **{n: F.col(f"__order.{n}") for n in ORDER_PARTS})
+
+
+def _found(c: dict[str, Column]) -> dict[str, Column]:
+    any_phrase = lambda text: F.exists(c["phrases"], lambda p: F.contains(text, p))
+    return {f"{x}_found": T.count_terms_in(c["tokens"], c[x], True) for x in ("name", "low")} | {f"{x}_phrase": any_phrase(c[x]) for x in ("name", "low")}
+
+
+def _order(c: dict[str, Column]) -> dict[str, Column]:
+    return {f"{x}_order": F.when(c[f"{x}_found"] == F.size(c["tokens"]), T.terms_in_order(c["tokens"], c[x], True)).otherwise(False) for x in ("name", "low")}
 
 
 def _best(values: Column) -> Column:
@@ -104,7 +125,7 @@ def filename_parts(ctx: Context, c: RankingConfig) -> dict[str, Column]:
     name, n = ctx.name, F.size(ctx.tokens)
     asked = F.lower(F.trim(ctx.query))
     same = F.replace(name, F.lit(" "), F.lit("")) == F.replace(asked, F.lit(" "), F.lit(""))
-    found = T.count_terms_in(ctx.tokens, name, True)
+    found = ctx.name_found
     length = lambda t: F.octet_length(t)
 
     def near(t: Column) -> Column:
@@ -120,8 +141,8 @@ def filename_parts(ctx: Context, c: RankingConfig) -> dict[str, Column]:
     ext = T.extension(ctx.title)
     return {
         "exact": F.when(name == asked, c.exact_filename).when(same, c.near_exact_filename).otherwise(0.0),
-        "phrase": F.when(_any_phrase(ctx, name), c.filename_phrase).otherwise(0.0),
-        "words": F.when(n == 0, 0.0).when(found == n, F.when(T.terms_in_order(ctx.tokens, name, True), c.filename_in_order).otherwise(c.filename_all_words)).otherwise(c.filename_substring * found / n),
+        "phrase": F.when(ctx.name_phrase, c.filename_phrase).otherwise(0.0),
+        "words": F.when(n == 0, 0.0).when(found == n, F.when(ctx.name_order, c.filename_in_order).otherwise(c.filename_all_words)).otherwise(c.filename_substring * found / n),
         "extension": F.when((ext != "") & F.exists(ctx.tokens, lambda t: F.regexp_replace(t, r"^\.", "") == ext), c.extension).otherwise(0.0),
         "near": _best(F.transform(ctx.tokens, near)),
         "bonus": _sum(F.transform(ctx.tokens, repeated)),
@@ -138,8 +159,9 @@ def filename_score(ctx: Context, c: RankingConfig) -> Column:
 def score_filename(query: Column, name: Column, c: RankingConfig | None = None) -> Column:
     """The filename score of a name by itself; a null name counts as an empty one."""
     title = F.coalesce(name, F.lit(""))
-    nothing = {n: F.lit(None) for n in DOCUMENT_PARTS + QUERY_PARTS}
-    return filename_score(Context(**nothing | {"query": query, "tokens": Q.match_tokens(query), "phrases": Q.phrases(query), "title": title, "name": T.filename_words(title)}), c or RankingConfig())
+    parts = {n: F.lit(None) for n in DOCUMENT_PARTS + QUERY_PARTS} | {"query": query, "tokens": Q.match_tokens(query), "phrases": Q.phrases(query), "title": title, "name": T.filename_words(title), "low": F.lit("")}
+    parts |= _found(parts)
+    return filename_score(Context(**parts, **_order(parts)), c or RankingConfig())
 
 
 def score_filename_or_path(query: Column, title: Column, path: Column, c: RankingConfig | None = None) -> Column:
@@ -149,11 +171,10 @@ def score_filename_or_path(query: Column, title: Column, path: Column, c: Rankin
 
 
 def filename_details(ctx: Context, c: RankingConfig) -> Column:
-    name = ctx.name
-    found = T.count_terms_in(ctx.tokens, name, True)
+    name, found, n = ctx.name, ctx.name_found, F.size(ctx.tokens)
     kind = (
         F.when(ctx.title == "", "none").when(name == F.lower(F.trim(ctx.query)), "exact")
-        .when(T.all_terms_in(ctx.tokens, name, True), F.when(T.terms_in_order(ctx.tokens, name, True), "phrase").otherwise("all_words"))
+        .when((n > 0) & (found == n), F.when(ctx.name_order, "phrase").otherwise("all_words"))
         .when(found > 0, "partial").otherwise("none")
     )
     return F.struct(filename_score(ctx, c).alias("score"), kind.alias("match_type"), F.filter(ctx.tokens, lambda t: F.contains(name, t)).alias("matched_terms"))
@@ -207,8 +228,8 @@ def phrase_score(ctx: Context, c: RankingConfig) -> Column:
 
 
 def words_score(ctx: Context, c: RankingConfig) -> Column:
-    n, found = F.size(ctx.tokens), T.count_terms_in(ctx.tokens, ctx.low, True)
-    base = F.when((n == 0) | (found == 0), 0.0).when(found == n, F.when(T.terms_in_order(ctx.tokens, ctx.low, True), c.content_in_order).otherwise(c.content_scattered)).otherwise(c.content_scattered * found / n)
+    n, found = F.size(ctx.tokens), ctx.low_found
+    base = F.when((n == 0) | (found == 0), 0.0).when(found == n, F.when(ctx.low_order, c.content_in_order).otherwise(c.content_scattered)).otherwise(c.content_scattered * found / n)
     return base * tfidf_multiplier(ctx, c) if c.tfidf_enabled else base
 
 
@@ -220,10 +241,10 @@ def content_score(ctx: Context, c: RankingConfig) -> Column:
 
 def content_details(ctx: Context, c: RankingConfig) -> Column:
     low, n = ctx.low, F.size(ctx.tokens)
-    found = T.count_terms_in(ctx.tokens, ctx.low, True)
+    found = ctx.low_found
     kind = (
-        F.when(ctx.content == "", "none").when(_any_phrase(ctx, low), "phrase")
-        .when((n > 0) & (found == n), F.when(T.terms_in_order(ctx.tokens, ctx.low, True), "phrase").otherwise("all_words"))
+        F.when(ctx.content == "", "none").when(ctx.low_phrase, "phrase")
+        .when((n > 0) & (found == n), F.when(ctx.low_order, "phrase").otherwise("all_words"))
         .when(found > 0, "partial").otherwise("none")
     )
     heads = F.filter(ctx.headers, lambda h: T.count_terms_in(ctx.tokens, h["text"]) > 0)
@@ -284,12 +305,12 @@ def recency_multiplier(ctx: Context, c: RankingConfig) -> Column:
 
 def quality_type(ctx: Context) -> Column:
     """phrase, all_words, partial or none: the filename's match, unless partial, before the content's."""
-    name, low = ctx.name, ctx.low
-    order = lambda x: F.when(T.terms_in_order(ctx.tokens, x, True), "phrase").otherwise("all_words")
+    n = F.size(ctx.tokens)
+    order = lambda ordered: F.when(ordered, "phrase").otherwise("all_words")
     return (
-        F.when((ctx.title != "") & _any_phrase(ctx, name), "phrase").when((ctx.title != "") & T.all_terms_in(ctx.tokens, name, True), order(name))
-        .when(_any_phrase(ctx, low), "phrase").when((ctx.content != "") & T.all_terms_in(ctx.tokens, ctx.low, True), order(ctx.low))
-        .when(T.count_terms_in(ctx.tokens, ctx.low, True) > 0, "partial").otherwise("none")
+        F.when((ctx.title != "") & ctx.name_phrase, "phrase").when((ctx.title != "") & (n > 0) & (ctx.name_found == n), order(ctx.name_order))
+        .when(ctx.low_phrase, "phrase").when((ctx.content != "") & (n > 0) & (ctx.low_found == n), order(ctx.low_order))
+        .when(ctx.low_found > 0, "partial").otherwise("none")
     )
 
 
@@ -315,16 +336,15 @@ def default_multipliers(c: RankingConfig) -> dict[str, Multiplier]:
 
 def match_type(ctx: Context) -> Column:
     """The best match of filename and content by name; exact only for the whole file name."""
-    name, low, n = ctx.name, ctx.low, F.size(ctx.tokens)
-    titled = ctx.title != ""
-    order = lambda x: F.when(T.terms_in_order(ctx.tokens, x, True), "phrase").otherwise("all_words")
-    by_name = F.when(titled & _any_phrase(ctx, name), "phrase").when(titled & T.all_terms_in(ctx.tokens, name, True), order(name)).otherwise("none")
+    name, n, titled = ctx.name, F.size(ctx.tokens), ctx.title != ""
+    order = lambda ordered: F.when(ordered, "phrase").otherwise("all_words")
+    by_name = F.when(titled & ctx.name_phrase, "phrase").when(titled & (n > 0) & (ctx.name_found == n), order(ctx.name_order)).otherwise("none")
     by_text = (
-        F.when(_any_phrase(ctx, low), "phrase").when((ctx.content != "") & T.all_terms_in(ctx.tokens, ctx.low, True), order(ctx.low))
-        .when((n > 0) & (T.count_terms_in(ctx.tokens, ctx.low, True) > 0), "partial").otherwise("none")
+        F.when(ctx.low_phrase, "phrase").when((ctx.content != "") & (n > 0) & (ctx.low_found == n), order(ctx.low_order))
+        .when((n > 0) & (ctx.low_found > 0), "partial").otherwise("none")
     )
     # All words in the name are bettered by a phrase of the content only.
-    after_words = F.when(_any_phrase(ctx, low), "phrase").otherwise("all_words")
+    after_words = F.when(ctx.low_phrase, "phrase").otherwise("all_words")
     return F.when(titled & (name == T.filename_words(ctx.query)), "exact").when(by_name == "phrase", "phrase").when(by_name == "all_words", after_words).otherwise(by_text)
 
 

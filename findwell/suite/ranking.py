@@ -107,8 +107,33 @@ def q_rank_details(spark, d):
     ).select("query_id", "id", F.col("f.match_type").alias("file_match"), F.col("f.matched_terms").alias("file_terms"), F.col("c.match_type").alias("text_match"), F.col("c.matched_terms").alias("text_terms"), F.col("p.matched_components").alias("folders"), F.col("p.matched_terms").alias("folder_terms"))
 
 
+def q_rank_metadata_fields(spark, d):
+    """The query's tokens that the visible metadata fields hold."""
+    rows, ctx = _context(spark, d)
+    x = rows.select("query_id", "id", R.metadata_details(ctx, CONFIG).alias("m"))
+    field = lambda name: F.coalesce(F.try_element_at("m.matched_fields", F.lit(name)), F.expr("cast(array() as array<string>)")).alias(name)
+    return x.select("query_id", "id", field("author"), field("tags"), F.round("m.score", 6).alias("score"))
+
+
+def q_filename_only(spark, d):
+    """File names scored by themselves; the name from the path where there is no title."""
+    x = _pairs(spark, d).select("query_id", "id", "query", "title", F.concat(F.lit("/some/folder/"), "title").alias("path"))
+    return x.select("query_id", "id", F.round(R.score_filename(F.col("query"), F.col("title"), CONFIG), 6).alias("score"), F.round(R.score_filename_or_path(F.col("query"), F.lit(""), F.col("path"), CONFIG), 6).alias("by_path"))
+
+
+def q_rank_least(spark, d):
+    """Ranked rows of a least score."""
+    return R.at_least(_ranked(spark, d), 60.0).select("query_id", "id")
+
+
+def q_rank_top(spark, d):
+    """The three best ranked rows of each query."""
+    x = _ranked(spark, d).withColumn("rank_score", F.round("rank_score", 4))
+    return R.top(x, 3, by="query_id").select("query_id", "id", F.col("rank_score").alias("score"))
+
+
 QUERIES = {f.__name__: f for f in (
-    q_rank_filename, q_rank_content, q_rank_path, q_rank_metadata, q_position, q_recency, q_quality, q_filesize, q_match_type, q_rank_corpus, q_tfidf, q_rank_full, q_rank_breakdown, q_rank_details,
+    q_rank_filename, q_rank_content, q_rank_path, q_rank_metadata, q_position, q_recency, q_quality, q_filesize, q_match_type, q_rank_corpus, q_tfidf, q_rank_full, q_rank_breakdown, q_rank_details, q_rank_metadata_fields, q_filename_only, q_rank_least, q_rank_top,
 )}
 
 _SP = r"[\s\p{Z}\x{85}\x{0B}]+"
@@ -226,6 +251,11 @@ SQL = {
     "q_tfidf": f"""WITH {PAIR}, {_CORPUS}, nd AS (SELECT count(*)::DOUBLE AS nd FROM doc), e AS (SELECT query_id, id, unnest(tokens) AS term, low, len({_words('low')}) AS nw FROM x),
   f AS (SELECT query_id, id, e.term, CASE WHEN nw > 0 THEN {_count('e.term', 'low')} / nw::DOUBLE ELSE 0.0 END AS tf, {_IDF} AS idf FROM e LEFT JOIN cdf ON cdf.term = e.term, nd)
 SELECT query_id, id, term, round(tf, 9) AS tf, round(idf, 6) AS idf, round(tf * idf, 9) AS tfidf FROM f""",
+    "q_rank_metadata_fields": f"WITH {PAIR} SELECT query_id, id, list_filter(tokens, lambda t: contains(lower(author), t)) AS author, list_filter(tokens, lambda t: contains(lower(tags), t)) AS tags, round(({METADATA})::DOUBLE, 6) AS score FROM x",
+    "q_filename_only": f"WITH {PAIR} SELECT query_id, id, round(({FILENAME})::DOUBLE, 6) AS score, round(({FILENAME})::DOUBLE, 6) AS by_path FROM x",
+    "q_rank_least": f"WITH {PAIR}, {_CORPUS}, {_SHARES}, {_PARTS} SELECT query_id, id FROM final WHERE final >= 60",
+    "q_rank_top": f"""WITH {PAIR}, {_CORPUS}, {_SHARES}, {_PARTS}, t AS (SELECT query_id, id, round(final, 4) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(final, 4) DESC, id) AS k FROM final WHERE final > 0)
+SELECT query_id, id, score FROM t WHERE k <= 3""",
     "q_rank_full": f"WITH {PAIR}, {_CORPUS}, {_SHARES}, {_PARTS} SELECT query_id, id, round(final, 4) AS score FROM final WHERE final > 0",
     "q_rank_breakdown": f"""WITH {PAIR}, {_CORPUS}, {_SHARES}, {_PARTS} SELECT query_id, id, round(filename, 4) AS filename, round(content, 4) AS content, round(path, 4) AS path, round(metadata, 4) AS metadata, round(final, 4) AS final,
   round(recency::DOUBLE, 6) AS recency, round(query_quality::DOUBLE, 6) AS query_quality, round(file_size::DOUBLE, 6) AS file_size, match_type FROM final WHERE final > 0""",

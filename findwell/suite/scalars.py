@@ -62,6 +62,12 @@ def q_analyze_quoted(spark, d):
     return x.select("id", Q.terms("q").alias("terms"), Q.phrases("q").alias("phrases"), Q.negated("q").alias("negated"), Q.match_tokens("q").alias("tokens"), Q.query_type("q").alias("query_type"))
 
 
+def q_contains_term(spark, d):
+    """Whether a query has the first word of another one, in upper case, among its terms."""
+    x = table(spark, d, "search_queries").where("query_text is not null").select("query_id", F.col("query_text").alias("q"))
+    return x.select("query_id", Q.contains_term("q", F.upper(F.regexp_extract("q", r"^(\S+)", 1))).alias("own"), Q.contains_term("q", F.lit("THE")).alias("the"))
+
+
 def q_paths(spark, d):
     x = clean(spark, d).select("id", M.source_path("metadata").alias("path"))
     return x.select(
@@ -132,7 +138,7 @@ def q_mock_embed(spark, d):
 
 
 QUERIES = {f.__name__: f for f in (
-    q_preprocess, q_text_shortening, q_title_norm, q_tokenize, q_plain_words, q_term_matches, q_analyze_query, q_analyze_quoted, q_paths, q_headers, q_metadata,
+    q_preprocess, q_text_shortening, q_title_norm, q_tokenize, q_plain_words, q_term_matches, q_analyze_query, q_analyze_quoted, q_contains_term, q_paths, q_headers, q_metadata,
     q_edit_distance, q_osa, q_vectors, q_normalize, q_hash, q_token_ids, q_mock_embed,
 )}
 
@@ -196,6 +202,7 @@ SELECT doc_id, contains(low, 'graph') AND contains(low, 'dense') AND contains(lo
   len(list_filter({_words('low')}, lambda w: starts_with(w, 'gra'))) > 0 AS has_prefix, len(list_filter({_words('low')}, lambda w: starts_with(w, 'gra')))::INT AS n_prefix FROM x""",
     "q_analyze_query": f"WITH s AS (SELECT query_id, query_text AS q FROM search_queries WHERE query_text IS NOT NULL), {_analysis('s', 'query_id')} SELECT query_id, terms, phrases, negated, tokens, query_type, has_wildcard FROM a",
     "q_analyze_quoted": f"""WITH {CLEAN}, s AS (SELECT id, '"' || substr(title, 1, 9) || ''' NOT -old_' || title || ' AND plan?' AS q FROM doc), {_analysis('s', 'id')} SELECT id, terms, phrases, negated, tokens, query_type FROM a""",
+    "q_contains_term": f"WITH s AS (SELECT query_id, query_text AS q FROM search_queries WHERE query_text IS NOT NULL), {_analysis('s', 'query_id')} SELECT query_id, list_contains(terms, lower(regexp_extract(q, '^(\\S+)', 1))) AS own, list_contains(terms, 'the') AS the FROM a JOIN s USING (query_id)",
     "q_paths": f"""WITH {CUR}, x AS (SELECT id, coalesce(json_extract_string({_META}, '$.source_path'), '') AS path FROM cur),
   y AS (SELECT *, regexp_split_to_array(path, '/') AS parts FROM x)
 SELECT id, list_filter(parts[1:len(parts) - 1], lambda c: c NOT IN ('', '.')) AS components, lower(regexp_replace(path, '/$', '')) AS normal,
