@@ -18,14 +18,18 @@ def _exact(x: np.ndarray, q: np.ndarray) -> np.ndarray:
     return (x * q).astype(np.float64).sum(axis=1)
 
 
-def _scan_udf(ids, matrix: np.ndarray, k: int, kind: pa.DataType):
-    """The candidates of a task: one matrix product per batch, exact scores only near the k best."""
-    slack = 4e-7 * matrix.shape[1]  # bound on the error of a single-precision product of unit vectors
-    sizes = np.linalg.norm(matrix.astype(np.float64), axis=1)
+def _scan_udf(queries, k: int, kind: pa.DataType):
+    """The candidates of a task: one matrix product per batch, exact scores only near the k best.
+
+    ``queries`` is a broadcast of (ids, matrix), at most ``QUERIES_AT_ONCE`` rows.
+    """
 
     def run(batches):
         import pyarrow.compute as pc
 
+        ids, matrix = queries.value
+        slack = 4e-7 * matrix.shape[1]  # bound on the error of a single-precision product of unit vectors
+        sizes = np.linalg.norm(matrix.astype(np.float64), axis=1)
         least = np.full(len(matrix), -np.inf)  # the k-th best exact score so far
         q_kept, id_kept, s_kept = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=object), np.zeros(0)
         for batch in batches:
@@ -84,7 +88,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int, key: str = "id", vec
     def scan(block):
         if strategy == "arrow":
             q = np.array([r["q"] for r in block], dtype=np.float32)
-            return rows.mapInArrow(_scan_udf([r["query_id"] for r in block], q, k, to_arrow_type(asked.schema["query_id"].dataType)), f"query_id {kind}, id string, score double")
+            sent = queries.sparkSession.sparkContext.broadcast(([r["query_id"] for r in block], q))
+            return rows.mapInArrow(_scan_udf(sent, k, to_arrow_type(asked.schema["query_id"].dataType)), f"query_id {kind}, id string, score double")
         asks = F.array(*[F.struct(F.lit(r["query_id"]).cast(kind).alias("query_id"), F.array(*[F.lit(x).cast("float") for x in r["q"]]).alias("q")) for r in block])
         met = rows.select("id", "v", F.explode(asks).alias("a")).where((F.size("v") == F.size("a.q")) & F.forall("v", lambda x: F.abs(x) < float("inf")))
         return met.select("a.query_id", "id", inner_product("v", "a.q").alias("score"))
@@ -104,7 +109,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int, key: str = "id", vec
 def nearest_of(vectors: DataFrame, ids: list, matrix: np.ndarray, k: int, key: str = "id", vector: str = "embedding") -> DataFrame:
     """The same for a few query vectors that are known here: one scan and one sort, without a job before."""
     rows = vectors.where(F.col(key).isNotNull() & F.col(vector).isNotNull()).select(F.col(key).cast("string").alias("id"), F.col(vector).alias("v"))
-    hits = rows.mapInArrow(_scan_udf(ids, np.asarray(matrix, dtype=np.float32), k, pa.int32()), "query_id int, id string, score double")
+    sent = vectors.sparkSession.sparkContext.broadcast((ids, np.asarray(matrix, dtype=np.float32)))
+    hits = rows.mapInArrow(_scan_udf(sent, k, pa.int32()), "query_id int, id string, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
     return hits.withColumn("rank", rank).where(F.col("rank") <= k)
 

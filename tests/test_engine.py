@@ -72,6 +72,14 @@ def test_vector_file(spark, tmp_path):
     assert vector_file.load(spark, str(tmp_path / "none"), 2).count() == 0
     with pytest.raises(Exception, match="dimensions"):
         vector_file.load(spark, path, 3).collect()
+    folder = str(tmp_path / "parts")
+    many = spark.range(25).select(F.col("id").cast("string").alias("id"), F.array(F.col("id").cast("float"), F.lit(1).cast("float")).alias("embedding")).repartition(3)
+    assert vector_file.save_parts(many, folder, 2) == 25 and len(os.listdir(folder)) == 3
+    assert sorted(map(tuple, vector_file.load(spark, folder, 2).collect())) == sorted(map(tuple, many.collect()))
+    vector_file.save_numbered(many, str(tmp_path / "n"), 2)
+    assert sorted(map(tuple, vector_file.load_numbered(spark, str(tmp_path / "n")).collect())) == sorted(map(tuple, many.collect()))
+    assert vector_file.load_numbered(spark, str(tmp_path / "nothing")).count() == 0
+    assert len(list(vector_file.read_parts(b"".join(vector_file.encode([("a", [1.0])] * 5, 1, 5)), rows=2))) == 3
 
 
 @pytest.fixture(scope="module")
