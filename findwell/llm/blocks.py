@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-RANGE_TOKENS = 500_000
+RANGE_TOKENS = 2_000_000
 KEPT_WORDS = 1_000_000
 WORD = re.compile(r"[^\W_]+")
 
@@ -41,6 +41,21 @@ def lengthen(blob: bytes) -> np.ndarray:
     return out.reshape(-1).view("<u8").astype(np.uint64, copy=False)
 
 
+def pack_sorted(tokens: np.ndarray) -> bytes:
+    """Ascending hashes whose lowest 16 bits are 0 by their differences, four bytes each, the few larger ones in full behind them."""
+    gaps = np.diff(tokens >> np.uint64(16), prepend=np.uint64(0))
+    large = gaps >= 0xFFFFFFFF
+    return np.uint32(len(tokens)).tobytes() + np.where(large, 0xFFFFFFFF, gaps).astype("<u4").tobytes() + gaps[large].astype("<u8").tobytes()
+
+
+def unpack_sorted(blob: bytes) -> np.ndarray:
+    """The hashes of :func:`pack_sorted`."""
+    n = int(np.frombuffer(blob, dtype="<u4", count=1)[0])
+    gaps = np.frombuffer(blob, dtype="<u4", count=n, offset=4).astype(np.uint64)
+    gaps[gaps == 0xFFFFFFFF] = np.frombuffer(blob, dtype="<u8", offset=4 + 4 * n)
+    return np.cumsum(gaps, dtype=np.uint64) << np.uint64(16)
+
+
 def pack_counts(counts: np.ndarray) -> bytes:
     """Positive counts as one byte each, those of 255 and more in full behind them."""
     return np.minimum(counts, 255).astype(np.uint8).tobytes() + counts[counts >= 255].astype("<i8").tobytes()
@@ -53,6 +68,20 @@ def unpack_counts(blob: bytes, n: int) -> np.ndarray:
     return out
 
 
+def pack_marks(marks: np.ndarray) -> bytes:
+    """Marks (lowest 16 bits 0) in six bytes each, or by their places in a list of the different ones if that is shorter."""
+    known, place = np.unique(marks, return_inverse=True)
+    if len(known) < 1 << 16 and 6 * len(known) + 2 * len(marks) < 6 * len(marks):
+        return np.uint32(len(known)).tobytes() + shorten(known) + place.astype("<u2").tobytes()
+    return np.uint32(0).tobytes() + shorten(marks)
+
+
+def unpack_marks(blob: bytes) -> np.ndarray:
+    """The marks of :func:`pack_marks`."""
+    n = int(np.frombuffer(blob, dtype="<u4", count=1)[0])
+    return lengthen(blob[4 : 4 + 6 * n])[np.frombuffer(blob, dtype="<u2", offset=4 + 6 * n)] if n else lengthen(blob[4:])
+
+
 class WordHashes(dict):
     """64-bit hashes of words, remembered."""
 
@@ -64,7 +93,7 @@ class WordHashes(dict):
 
 
 def _send_udf(tokens_of, bits, short):
-    pack = shorten if short else lambda t: t.tobytes()
+    pack = pack_sorted if short else lambda t: t.tobytes()
 
     def run(batches):
         for batch in batches:
@@ -74,14 +103,14 @@ def _send_udf(tokens_of, bits, short):
                 edges = [0, *edges, len(tokens)]
                 full = [k for k in range(1 << bits) if edges[k] < edges[k + 1]]
                 parts = [[pack(tokens[edges[k] : edges[k + 1]]) for k in full], [pack_counts(counts[edges[k] : edges[k + 1]]) for k in full]]
-                parts += [[shorten(m[edges[k] : edges[k + 1]]) for k in full] for m in marks]
+                parts += [[pack_marks(m[edges[k] : edges[k + 1]]) for k in full] for m in marks]
                 yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([block] * len(full), pa.int64()), *[pa.array(p, pa.binary()) for p in parts]], names=["range", "block", "tokens", "counts", *["marks"] * len(marks)])
 
     return run
 
 
 def _add_udf(short, marked):
-    unpack = lengthen if short else lambda b: np.frombuffer(b, dtype=np.uint64)
+    unpack = unpack_sorted if short else lambda b: np.frombuffer(b, dtype=np.uint64)
 
     def add_up(table):
         tokens = [unpack(b) for b in table.column("tokens").to_pylist()]
@@ -94,9 +123,9 @@ def _add_udf(short, marked):
         columns = {"block": table.column("block"), "range": table.column("range"), "n": sizes, "totals": pa.array(blobs, pa.binary())}
         if marked:
             sums = np.zeros(int(inverse.max(initial=-1)) + 1, dtype=np.uint64)
-            np.add.at(sums, inverse, np.concatenate([lengthen(b) for b in table.column("marks").to_pylist()]))
+            np.add.at(sums, inverse, np.concatenate([unpack_marks(b) for b in table.column("marks").to_pylist()]))
             sums = sums[inverse]
-            shown = [shorten(sums[a:b][total[a:b] > 1]) for a, b in zip(edges, edges[1:])]
+            shown = [pack_marks(sums[a:b][total[a:b] > 1]) for a, b in zip(edges, edges[1:])]
             columns["marks"] = pa.array(shown, pa.binary())
         return pa.table(columns)
 
@@ -131,7 +160,7 @@ def totals_of(batch, i) -> np.ndarray:
 def marks_of(batch, i, totals: np.ndarray) -> np.ndarray:
     """The marks of the tokens of block ``i``; 0 for those that one text alone holds."""
     marks = np.zeros(len(totals), dtype=np.uint64)
-    marks[totals > 1] = np.concatenate([lengthen(t["marks"]) for t in batch.column("totals")[i].as_py()] or [marks[:0]])
+    marks[totals > 1] = np.concatenate([unpack_marks(t["marks"]) for t in batch.column("totals")[i].as_py()] or [marks[:0]])
     return marks
 
 

@@ -16,8 +16,9 @@ combinations would pass ``BUDGET`` per sequence is looked up under its common to
 are the others where they look for such records; so a record has at most (2 + BUDGET) n + SPARE
 keys, and no pair is lost. Keys that very many records hold are joined block against block.
 
-Pairs that meet are dropped at once if what is left of either set under the key is too little;
-the others are verified on all their tokens and weights. Records of equal sets are one class until
+Pairs that meet under common tokens are dropped at once if what is left of either set is too little.
+Pairs that meet under rare ones meet under all that the prefixes share: they are dropped if that
+and what stands behind the prefixes is too little. The others are verified on all their tokens and weights. Records of equal sets are one class until
 the end, so exact copies never meet as pairs before.
 
 A null title or content is an empty one; records of fewer than ``least_words`` words take no part.
@@ -32,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from findwell.llm.arrow import list_array, slices
-from findwell.llm.blocks import WORD, WordHashes, lengthen, marks_of, mix, numbers, shorten, totals_of, with_totals
+from findwell.llm.blocks import WORD, WordHashes, lengthen, marks_of, mix, numbers, pack_counts, shorten, totals_of, unpack_counts, with_totals
 from findwell.llm.pairs import BLOCK, block_count, pairs_within
 from findwell.operators.state import current_rows
 from findwell.plans.scratch import materialize
@@ -40,11 +41,12 @@ from findwell.plans.scratch import materialize
 SHINGLE, THRESHOLD, LEAST_WORDS = 5, 0.8, 20
 RARE = 16  # holders up to which a token is a key alone
 BUDGET, SPARE = 4, 64  # combinations per sequence of a record, and to begin with
-BLOCK_WORDS = 400_000
+BLOCK_WORDS, BLOCK_RECORDS = 1_000_000, 60_000
+BROADCAST = 1_000_000  # numbers of classes (8 bytes each) sent to all tasks; more are joined as a table
 _KEPT = ~np.uint64(0xFFFF)  # hashes of 48 bits: two of a record's sequences are confused once in 10**10 records
 _BLOCK = "block bigint, ids array<string>, classes array<bigint>, sizes array<int>, lengths array<int>, words binary, wide boolean, vocabulary array<bigint>, size bigint"
-_KEYS = "kind tinyint, key bigint, cls bigint, n int, bound int, wide boolean, often boolean, tokens binary"
-SET, ALONE, PAIR, COMMON = range(4)  # kinds of rows: a class with its tokens, and its keys
+_KEYS = "kind tinyint, key bigint, cls bigint, n int, bound int, weight int, wide boolean, often boolean, tokens binary"
+SET, RARE_ONE, HEAVY, PAIR, COMMON = range(5)  # kinds of rows: a class with its tokens, and its keys
 
 
 def shingle_hashes(words: np.ndarray, lengths: np.ndarray, shingle: int) -> tuple[np.ndarray, np.ndarray]:
@@ -75,6 +77,13 @@ def _class_of(tokens: np.ndarray) -> int:
     return h - (1 << 64) if h >= 1 << 63 else h
 
 
+def _number(block, at):
+    """The number of a record by its block and place there; a class has that of one of its records. Works on columns too."""
+    if isinstance(block, Column):
+        return F.shiftleft(F.shiftright(block, 32), 36) + F.shiftleft(block.bitwiseAND(F.lit(0xFFFFFFFF)), 16) + at
+    return (block >> 32 << 36) + ((block & 0xFFFFFFFF) << 16) + at
+
+
 def _pack_udf(shingle, least_words):
     def run(batches):
         from pyspark import TaskContext
@@ -106,7 +115,7 @@ def _pack_udf(shingle, least_words):
                     ids.append(key)
                     rows.append([hashes[w] for w in words])
                     held += len(words)
-                if held >= BLOCK_WORDS:
+                if held >= BLOCK_WORDS or len(ids) == BLOCK_RECORDS:
                     yield pack()
                     number, ids, rows, held = number + 1, [], [], 0
         if ids:
@@ -144,11 +153,6 @@ def _key(*marks: np.ndarray) -> np.ndarray:
     return mix(total).view(np.int64)
 
 
-def least_shared(n: int, threshold: float, larger: bool) -> int:
-    """How much a set of ``n`` must share at least with one that isn't larger, or isn't smaller."""
-    return int(np.ceil((threshold if larger else 2 * threshold / (1 + threshold)) * n - 1e-9))
-
-
 def combinations(weight: np.ndarray, left: np.ndarray, first: int, need: int) -> tuple[np.ndarray, np.ndarray]:
     """Places (f, g) of the first and second token of all that may be shared with a prefix's common tokens.
 
@@ -182,34 +186,39 @@ def _keys_udf(shingle, threshold, rare, budget, spare, block):
                 starts = np.flatnonzero(new)
                 weight = np.diff(np.append(starts, len(text)))
                 text, marks, df = text[starts], marks[starts], df[starts]
-                edges = np.searchsorted(text, np.arange(len(classes) + 1))
+                size, first_class = sizes[text], _number(batch.column("block")[i].as_py(), 0)
+                need = np.ceil(threshold * size - 1e-9).astype(np.int64)  # of a set that isn't smaller than the other
+                held_by = np.searchsorted(text, np.arange(len(classes) + 1))  # where each class begins
+                before = np.cumsum(weight) - weight
+                total = np.append(np.cumsum(weight), 0)[held_by[1:] - 1] - np.append(before, 0)[np.minimum(held_by[:-1], len(before))]
+                left = total[text] - (before - before[held_by[text]]) if len(text) else before
+                prefix, rare_one = left >= need, df <= rare
                 rows: dict[str, list] = {c.split()[0]: [] for c in _KEYS.split(", ")}
 
-                def add(kind, key, c, n, bound, wide=False, often=False, tokens=None):
+                def add(kind, key, cls, n, bound, weight=0, wide=False, often=False, tokens=None):
                     k = len(key)
-                    for name, x, dtype in (("kind", kind, np.int8), ("cls", c, np.int64), ("n", n, np.int32), ("wide", wide, bool)):
-                        rows[name].append(np.full(k, x, dtype=dtype))
-                    rows["key"].append(key), rows["bound"].append(np.asarray(bound, dtype=np.int32)), rows["often"].append(np.broadcast_to(often, k))
-                    rows["tokens"] += [tokens] * k
-
-                for k in np.flatnonzero(chosen & (edges[1:] > edges[:-1])).tolist():
-                    a, b, c, n = edges[k], edges[k + 1], classes[k], int(sizes[k])
-                    w, m, held = weight[a:b], marks[a:b], df[a:b]
-                    left = np.cumsum(w[::-1])[::-1]
-                    need = least_shared(n, threshold, True)
-                    if left[0] < need:
-                        continue
-                    end = int(np.searchsorted(-left, -need, side="right"))
-                    first = min(end, int(np.searchsorted(held, rare, side="right")))
-                    add(SET, np.zeros(1, dtype=np.int64), c, n, [0], tokens=shorten(m) + w.astype("<u4").tobytes())
-                    alone = np.concatenate([np.arange(first), first + np.flatnonzero(w[first:end] >= need)])
-                    add(ALONE, _key(m[alone]), c, n, left[alone], often=held[alone] > block)
-                    if first < end:
-                        f, g = combinations(w, left, first, need)
-                        wide = len(f) > budget * n + spare
-                        if not wide:
-                            add(PAIR, _key(m[f], m[g]), c, n, w[f] + left[g], often=held[f] > block)
-                        add(COMMON, _key(m[first:end]), c, n, left[first:end], wide, held[first:end] > block)
+                    for name, x, dtype in (("kind", kind, np.int8), ("cls", cls, np.int64), ("n", n, np.int32), ("bound", bound, np.int32), ("weight", weight, np.int32), ("wide", wide, bool), ("often", often, bool)):
+                        rows[name].append(np.broadcast_to(np.asarray(x, dtype=dtype), k))
+                    rows["key"].append(key)
+                    rows["tokens"] += tokens or [None] * k
+
+                one = np.flatnonzero(prefix & rare_one)
+                behind = total - np.bincount(text[one], weights=weight[one], minlength=len(classes)).astype(np.int64)
+                add(RARE_ONE, _key(marks[one]), first_class + text[one], size[one], behind[text[one]], weight[one])
+                looked = np.unique(text[prefix])
+                packed, spans = shorten(marks), list(zip(held_by[looked].tolist(), held_by[looked + 1].tolist()))
+                add(SET, np.zeros(len(looked), dtype=np.int64), first_class + looked, sizes[looked], 0, tokens=[np.uint32(b - a).tobytes() + packed[6 * a : 6 * b] + pack_counts(weight[a:b]) for a, b in spans])
+                for k in np.unique(text[prefix & ~rare_one]).tolist():
+                    a, b, c, n = held_by[k], held_by[k + 1], first_class + k, int(sizes[k])
+                    w, m, held, rest, least = weight[a:b], marks[a:b], df[a:b], left[a:b], int(need[a])
+                    end, first = int(prefix[a:b].sum()), int((prefix[a:b] & rare_one[a:b]).sum())
+                    heavy = first + np.flatnonzero(w[first:end] >= least)
+                    add(HEAVY, _key(m[heavy]), c, n, rest[heavy], often=held[heavy] > block)
+                    f, g = combinations(w, rest, first, least)
+                    wide = len(f) > budget * n + spare
+                    if not wide:
+                        add(PAIR, _key(m[f], m[g]), c, n, w[f] + rest[g], often=held[f] > block)
+                    add(COMMON, _key(m[first:end]), c, n, rest[first:end], wide=wide, often=held[first:end] > block)
                 if rows["key"]:
                     columns = [pa.array(np.concatenate(rows[name])) for name in list(rows)[:-1]]
                     yield pa.RecordBatch.from_arrays([*columns, pa.array(rows["tokens"], pa.binary())], names=list(rows))
@@ -219,8 +228,8 @@ def _keys_udf(shingle, threshold, rare, budget, spare, block):
 
 def _similar_udf(threshold):
     def tokens(blob):
-        k = len(blob) // 10
-        return lengthen(blob[: 6 * k]), np.frombuffer(blob, dtype="<u4", offset=6 * k).astype(np.int64)
+        k = int(np.frombuffer(blob, dtype="<u4", count=1)[0])
+        return lengthen(blob[4 : 4 + 6 * k]), unpack_counts(blob[4 + 6 * k :], k)
 
     def run(batches):
         for batch in slices(batches, 2048):
@@ -238,6 +247,18 @@ def _similar_udf(threshold):
     return run
 
 
+def _rare_meetings(keys: DataFrame, threshold: float) -> DataFrame:
+    """(a, b): classes that meet under rare tokens and may share enough. No such key has more than a few rows."""
+    rows = keys.select("key", "cls", "n", "bound", "weight")
+    a, b = (rows.select("key", *[F.col(c).alias(f"{c}_{x}") for c in ("cls", "n", "bound", "weight")]) for x in "ab")
+    sizes = F.least("n_a", "n_b") >= threshold * F.greatest("n_a", "n_b") - 1e-9
+    met = a.join(b, "key").where((F.col("cls_a") < F.col("cls_b")) & sizes)
+    # All shared up to the end of the shorter prefix is met, and the rest stands behind it.
+    need = F.ceil(threshold / (1 + threshold) * (F.col("n_a") + F.col("n_b")) - 1e-9) - F.greatest("bound_a", "bound_b")
+    pairs = met.groupBy(F.col("cls_a").alias("a"), F.col("cls_b").alias("b")).agg(F.sum(F.least("weight_a", "weight_b")).alias("met"), F.max(need).alias("need"))
+    return pairs.where("met >= need").select("a", "b")
+
+
 def _meetings(left: DataFrame, right: DataFrame, hot: DataFrame, threshold: float, block: int) -> DataFrame:
     """(a, b): classes of ``left`` and not larger ones of ``right`` that meet under a key and may share enough.
 
@@ -274,23 +295,27 @@ def near_copies(records: DataFrame, shingle: int = SHINGLE, threshold: float = T
     rows = records.where(F.col("id").isNotNull()).select("id", "title", "content")
     blocks = materialize(rows.mapInArrow(_pack_udf(shingle, least_words), _BLOCK), "blocks")
     each = blocks.select("block", F.posexplode(F.arrays_zip("ids", "classes")).alias("at", "m")).select("block", "at", F.col("m.ids").alias("id"), F.col("m.classes").alias("cls"))
-    first = each.groupBy("cls").agg(F.min(F.struct("block", "at")).alias("w")).select("w.block", "w.at")
+    first = materialize(each.groupBy("cls").agg(F.min(F.struct("block", "at")).alias("w")).select("cls", "w.block", "w.at"), "classes")
+    members = each.select("id", "cls").join(first.select("cls", _number(F.col("block"), F.col("at")).alias("number")), "cls").select("id", F.col("number").alias("cls"))
     chosen = first.groupBy("block").agg(F.collect_list("at").alias("chosen"))
     counted = with_totals(blocks.drop("ids"), _tokens_of(shingle), "size", short=True, marked=True)
     keys = materialize(counted.join(chosen, "block").mapInArrow(_keys_udf(shingle, threshold, rare, budget, spare, block), _KEYS), "keys")
     hot = materialize(keys.where("often").groupBy("kind", "key").agg(F.count(F.lit(1)).alias("held")).where(F.col("held") > block), "hot")
-    met = []
-    for kind in (ALONE, PAIR, COMMON):
+    met = [_rare_meetings(keys.where(F.col("kind") == RARE_ONE), threshold)]
+    for kind in (HEAVY, PAIR, COMMON):
         mine, there = keys.where(F.col("kind") == kind).select("key", "cls", "n", "bound", "wide"), hot.where(F.col("kind") == kind).select("key", "held")
         sides = [(mine.where("wide"), mine), (mine.where("not wide"), mine.where("wide"))] if kind == COMMON else [(mine, mine)]
         met += [_meetings(left, right, there, threshold, block) for left, right in sides]
     pairs = met[0]
     for m in met[1:]:
         pairs = pairs.unionByName(m)
-    sets = keys.where(F.col("kind") == SET).select("cls", "n", "tokens")
+    pairs = materialize(pairs.distinct(), "pairs")
+    asked = materialize(pairs.select(F.col("a").alias("cls")).unionAll(pairs.select("b")).distinct(), "asked")
+    asked = F.broadcast(asked) if asked.count() <= BROADCAST else asked
+    sets = keys.where(F.col("kind") == SET).select("cls", "n", "tokens").join(asked, "cls", "left_semi")
     a, b = (sets.select(F.col("cls").alias(x), F.col("n").alias(f"n_{x}"), F.col("tokens").alias(f"tokens_{x}")) for x in "ab")
-    both = pairs.distinct().join(a, "a").join(b, "b")
-    return each.select("id", "cls"), both.select("a", "b", "tokens_a", "tokens_b", "n_a", "n_b").mapInArrow(_similar_udf(threshold), "a bigint, b bigint, similarity double")
+    both = pairs.join(a, "a").join(b, "b")
+    return members, both.select("a", "b", "tokens_a", "tokens_b", "n_a", "n_b").mapInArrow(_similar_udf(threshold), "a bigint, b bigint, similarity double")
 
 
 def near_copy_pairs(records: DataFrame, **settings) -> DataFrame:
@@ -329,4 +354,11 @@ SQL = {
   s AS (SELECT DISTINCT id, array_to_string(w[i + 1 : i + 3], ' ') AS g FROM (SELECT id, w, unnest(range(len(w) - 2)) AS i FROM w WHERE len(w) >= 20)),
   n AS (SELECT id, count(*) AS n FROM s GROUP BY id), c AS (SELECT a.id AS id_a, b.id AS id_b, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.id < b.id GROUP BY ALL)
 SELECT id_a, id_b FROM c JOIN n x ON x.id = id_a JOIN n y ON y.id = id_b WHERE k >= 0.6 * (x.n + y.n - k)""",
+    "p2_links": r"""WITH cur AS (SELECT id, coalesce(title, '') AS title, content FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY coalesce(updated_at, created_at) DESC NULLS LAST) AS r FROM stored_documents WHERE id IS NOT NULL) WHERE r = 1),
+  w AS (SELECT id, regexp_extract_all(lower(title || chr(10) || coalesce(content, '')), '[\p{L}\p{N}]+') AS w FROM cur),
+  s AS (SELECT DISTINCT id, array_to_string(w[i + 1 : i + 5], ' ') AS g FROM (SELECT id, w, unnest(range(len(w) - 4)) AS i FROM w WHERE len(w) >= 20)),
+  k AS (SELECT id, count(*) AS n, md5(string_agg(g, '|' ORDER BY g)) AS h FROM s GROUP BY id), m AS (SELECT h, min(id) AS class_id, count(*) AS copies FROM k GROUP BY h),
+  r AS (SELECT s.id, g, n FROM s JOIN k USING (id) JOIN m ON m.class_id = s.id),
+  c AS (SELECT a.id AS a, b.id AS b FROM r a JOIN r b ON a.g = b.g AND a.id <> b.id GROUP BY ALL HAVING count(*) >= 0.8 * (max(a.n) + max(b.n) - count(*)) - 1e-9), l AS (SELECT a, count(*) AS links FROM c GROUP BY a)
+SELECT k.id, class_id, copies, coalesce(links, 0) AS links FROM k JOIN m USING (h) LEFT JOIN l ON l.a = class_id""",
 }

@@ -33,6 +33,10 @@ def test_counts_and_hashes_are_packed_without_loss():
     assert (blocks.unpack_counts(blocks.pack_counts(counts), 5) == counts).all()
     tokens = np.array([1 << 16, (1 << 64) - (1 << 16), 0], dtype=np.uint64)
     assert (blocks.lengthen(blocks.shorten(tokens)) == tokens).all()
+    for some in (np.sort(tokens), tokens[:0], np.arange(1000, dtype=np.uint64) << np.uint64(50)):
+        assert (blocks.unpack_sorted(blocks.pack_sorted(some)) == some).all()
+    for marks in (tokens, np.repeat(tokens, 50), tokens[:0], np.arange(100_000, dtype=np.uint64) << np.uint64(16)):
+        assert (blocks.unpack_marks(blocks.pack_marks(marks)) == marks).all()
 
 
 # --- near copies
