@@ -31,7 +31,7 @@ from findwell.llm.pairs import pairs_within
 DIM = 64
 SAMPLE = 16_384  # rows that the trees are fitted on, at most
 TREES, LEAF_SAMPLE, PROBES = 4, 32, 12
-TARGET = 512  # vectors that a leaf holds on average, at most
+TARGET = 1024  # vectors that a leaf holds on average, at most
 EXACT_BLOCK = 8192  # vectors of a block of the exact search
 SLACK = 0.02  # by which the integers may misjudge a cosine
 TILE = 4096
