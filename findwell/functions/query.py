@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from findwell.functions.text import col, words
 
+# Fixed pattern: a quoted phrase.
 PHRASE = r"[\"']([^\"']+)[\"']"
 # Punctuation at either end of a word, but for hyphens and underscores.
 EDGES = r"^[^\P{P}_-]+|[^\P{P}_-]+$"

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 # Portable between Java and RE2: every Unicode space, not just the ASCII ones.
 SPACES = r"[\s\p{Z}\x{85}\x{0B}]+"
+# Fixed patterns: what counts as a heading (after #, in a tag, over a line), and the step of the positions of the last two.
+HASH_HEADING, TAG_HEADING, LINE_HEADING, HEADING_STEP = r"(?md)^(#{1,6})\s+(.+)$", r"(?i)<h([1-6])[^>]*>([^<]+)</h[1-6]>", r"(?md)^(.+)\n[=\-~^]+\s*$", 100
 TOKEN = r"[\p{L}\p{M}\p{N}_]+(?:['’.][\p{L}\p{M}\p{N}_]+)*"
 
 
@@ -142,14 +144,12 @@ def headers(text) -> Column:
     t = col(text)
 
     def placed(xs):
-        return F.transform(xs, lambda x, i: F.struct(x.level.alias("level"), x.text.alias("text"), (i * 100).alias("position")))
+        return F.transform(xs, lambda x, i: F.struct(x.level.alias("level"), x.text.alias("text"), (i * HEADING_STEP).alias("position")))
 
     def made(level, title):
         return F.struct(level.cast("int").alias("level"), F.trim(title).alias("text"))
 
-    hashed = r"(?md)^(#{1,6})\s+(.+)$"
-    whole = F.regexp_extract_all(t, F.lit(r"(?md)^#{1,6}\s+.+$"), F.lit(0))
-    pairs = F.arrays_zip(F.regexp_extract_all(t, F.lit(hashed), F.lit(1)).alias("a"), F.regexp_extract_all(t, F.lit(hashed), F.lit(2)).alias("b"), whole.alias("w"))
+    pairs = F.arrays_zip(*[F.regexp_extract_all(t, F.lit(HASH_HEADING), F.lit(k)).alias(name) for k, name in ((1, "a"), (2, "b"), (0, "w"))])
     # The place of each is searched from the end of the one before.
     seek = F.aggregate(
         pairs,
@@ -160,7 +160,6 @@ def headers(text) -> Column:
         ),
         lambda s: s["xs"],
     )
-    tag = r"(?i)<h([1-6])[^>]*>([^<]+)</h[1-6]>"
-    tagged = F.arrays_zip(F.regexp_extract_all(t, F.lit(tag), F.lit(1)).alias("a"), F.regexp_extract_all(t, F.lit(tag), F.lit(2)).alias("b"))
-    lined = F.regexp_extract_all(t, F.lit(r"(?md)^(.+)\n[=\-~^]+\s*$"), F.lit(1))
+    tagged = F.arrays_zip(*[F.regexp_extract_all(t, F.lit(TAG_HEADING), F.lit(k)).alias(name) for k, name in ((1, "a"), (2, "b"))])
+    lined = F.regexp_extract_all(t, F.lit(LINE_HEADING), F.lit(1))
     return F.concat(seek, placed(F.transform(tagged, lambda p: made(p["a"], p["b"]))), placed(F.transform(lined, lambda p: made(F.lit(1), p))))

@@ -16,8 +16,13 @@ def _line(text: str) -> str:
 def _notice(response: dict) -> str:
     said = response.get("suggestions") or []
     if response.get("auto_fuzzy"):
-        return f'No exact matches found. Showing results for "{said[0]}" instead.' if said else "No exact matches found. Showing fuzzy results instead."
-    return f"Did you mean: {', '.join(said)}?" if said else ""
+        return "Nothing holds these words; similar words were searched" + (f": {said[0]}" if said else "")
+    return f"Perhaps you meant {' or '.join(said)}" if said else ""
+
+
+def _head(response: dict) -> str:
+    words, meaning = response["total_keyword"], response["total_semantic"]
+    return f"{words + meaning} documents ({words} by words, {meaning} by meaning) after {response['query_time_ms']} ms"
 
 
 def as_json(response: dict) -> str:
@@ -26,26 +31,24 @@ def as_json(response: dict) -> str:
 
 def as_lines(response: dict) -> str:
     """One line per hit: its list, rank, score and file, or title, or the begin of its content."""
-    total = response["total_keyword"] + response["total_semantic"]
-    out = [f"Found {total} results in {response['query_time_ms']}ms", *filter(None, [_notice(response)])]
+    out = [_head(response), *filter(None, [_notice(response)])]
     for kind in ("keyword", "semantic"):
         for r in response[kind]:
             d = r["document"]
             name = (d.get("metadata") or {}).get("source_path") or _line(d.get("title") or "") or _short(_line(d.get("content") or ""), 80)
-            out.append(f"[{kind}] #{r['rank']} {r['score']:.4f} | {name}")
+            out.append(f"{kind}\t{r['rank']}\t{r['score']:.4f}\t{name}")
     return "\n".join(out)
 
 
 def as_text(response: dict) -> str:
-    total = response["total_keyword"] + response["total_semantic"]
-    out = [f"Found {total} results in {response['query_time_ms']}ms ({response['total_keyword']} keyword-only, {response['total_semantic']} semantic-only)", "", *filter(None, [_notice(response)])]
-    for kind, title in (("keyword", "Keyword results"), ("semantic", "Semantic results")):
-        if response[kind]:
-            out.append(f"--- {title} ---")
+    """Both lists, each hit with its scores, id, title and the begin of its content."""
+    out = [_head(response), *filter(None, [_notice(response)])]
+    for kind, title in (("keyword", "By words"), ("semantic", "By meaning")):
+        out += ["", title] * bool(response[kind])
         for r in response[kind]:
             d = r["document"]
-            out += ["-" * 57, f"[{kind}] Rank: {r['rank']} | Score: {r['score']:.4f} (Keyword: {r['keyword_score']:.4f}, Semantic: {r['semantic_score']:.4f})", f"ID: {d['id']}"]
-            out += [f"Title: {d['title']}"] * bool(d.get("title")) + ["", _short(d.get("content") or "", 200), ""]
+            out.append(f"{r['rank']:>4}. {d.get('title') or '(no title)'}  [{r['score']:.4f}; words {r['keyword_score']:.4f}, meaning {r['semantic_score']:.4f}]")
+            out += [f"      {d['id']}", f"      {_short(_line(d.get('content') or ''), 200)}"]
     return "\n".join(out)
 
 

@@ -100,7 +100,7 @@ def test_search_response(engine):
     r = engine.search(SearchQuery("saffron mill", limit=2), rerank=True)
     assert r["keyword"][0]["document"]["id"] == "doc-3" and r["total_keyword"] == len(TOPICS) and [x["rank"] for x in r["keyword"]] == [1, 2]
     assert not {x["document"]["id"] for x in r["keyword"]} & {x["document"]["id"] for x in r["semantic"]}
-    assert "doc-3" in as_text(r) and as_lines(r).startswith("Found")
+    assert "doc-3" in as_text(r) and as_lines(r).startswith(f"{r['total_keyword'] + r['total_semantic']} documents")
 
 
 def test_fuzzy_retry_and_suggestions(engine):
