@@ -106,13 +106,12 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int, key: str = "id", vec
     return hits.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
-def nearest_of(vectors: DataFrame, ids: list, matrix: np.ndarray, k: int, key: str = "id", vector: str = "embedding") -> DataFrame:
-    """The same for a few query vectors that are known here: one scan and one sort, without a job before."""
+def best_of(vectors: DataFrame, query: np.ndarray, k: int, key: str = "id", vector: str = "embedding") -> DataFrame:
+    """(id, score) of the ``k`` best for one query vector that is known here: one scan, no shuffle, the best of each task merged."""
     rows = vectors.where(F.col(key).isNotNull() & F.col(vector).isNotNull()).select(F.col(key).cast("string").alias("id"), F.col(vector).alias("v"))
-    sent = vectors.sparkSession.sparkContext.broadcast((ids, np.asarray(matrix, dtype=np.float32)))
+    sent = vectors.sparkSession.sparkContext.broadcast(([0], np.asarray(query, dtype=np.float32)[None]))
     hits = rows.mapInArrow(_scan_udf(sent, k, pa.int32()), "query_id int, id string, score double")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
-    return hits.withColumn("rank", rank).where(F.col("rank") <= k)
+    return hits.orderBy(F.desc("score"), "id").limit(max(0, k)).select("id", "score")
 
 
 def remove(vectors: DataFrame, ids: DataFrame, key: str = "id") -> DataFrame:

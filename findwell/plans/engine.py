@@ -10,6 +10,7 @@ from __future__ import annotations
 import hashlib
 import time
 from collections import OrderedDict
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import replace
 
 import numpy as np
@@ -92,7 +93,7 @@ class SearchEngine:
             release(old)
             return None, {}, None
         index = KeywordIndex.build(old)
-        index = KeywordIndex(materialize(index.postings, "old"), index.lengths)
+        index = KeywordIndex(materialize(index.postings, "old"), materialize(index.lengths, "old"))
         return self.store.stage("_deleted", old.select("id")), self._stage(self._differences(old, index, -1)), old
 
     def index(self, documents: DataFrame, as_of=None) -> None:
@@ -118,7 +119,7 @@ class SearchEngine:
         texts = parts.select("content").distinct().withColumn("embedding", self.embedder.embed(F.col("content")))
         chunks = parts.join(texts, "content").select("chunk_id", "document_id", "chunk_index", "content", "embedding")
         index = KeywordIndex.build(new)
-        index = KeywordIndex(materialize(index.postings, "postings"), index.lengths)
+        index = KeywordIndex(materialize(index.postings, "postings"), materialize(index.lengths, "lengths"))
         staged = self._stage({"chunks": chunks, "postings": keyword.by_term(index.postings), "lengths": index.lengths, **self._differences(new, index, 1)})
         plain = self._stage({"documents": new})
         while True:
@@ -133,7 +134,7 @@ class SearchEngine:
                 add |= self._stage({"documents": kept})
             if self.store.publish(base, add=add, delete=deleted):
                 break
-        for table in (new, index.postings):
+        for table in (new, index.postings, index.lengths):
             release(table)
 
     def made_id(self, title: str | None, content: str | None) -> str:
@@ -248,52 +249,72 @@ class SearchEngine:
         self._vectors.move_to_end(query)
         return self._vectors[query]
 
+    def _counts(self, base: int, terms: list[str], matching: list[str]) -> dict[tuple, int]:
+        """Stored counts by (table, field or None, term or None), of a query's few terms: one scan without a shuffle."""
+        some = lambda name, *columns: self._table(name, base).select(F.lit(name).alias("table"), *columns)
+        none = F.lit(None).cast("string")
+        rows = some("sizes", "field", none.alias("term"), "n", "words")
+        if matching:
+            rows = rows.unionAll(some("rank_terms", none.alias("field"), "term", F.col("df").alias("n"), F.lit(0).cast("bigint").alias("words")).where(F.col("term").isin(matching)))
+        if terms:
+            rows = rows.unionAll(some("dictionary", "field", "term", F.col("df").alias("n"), F.lit(0).cast("bigint").alias("words")).where(F.col("term").isin(terms) & (F.col("field") != "any")))
+        out: dict[tuple, int] = {}
+        for r in rows.collect():  # the differences of a few terms, as many as there were changes since the last compaction
+            key = (r["table"], r["field"], r["term"])
+            out[key] = out.get(key, 0) + r["n"]
+            out[*key, "words"] = out.get((*key, "words"), 0) + r["words"]
+        return out
+
     def _one_fused(self, q: SearchQuery) -> tuple[list[dict], dict[str, int], int]:
         """The fused hits of one query (at most the candidates of either list), the document counts of its terms, and of all.
 
-        The query is known here, so its terms are filters of the scans and its counts constants.
+        The query is known here, so its terms are filters of the scans and its counts constants. Both
+        kinds of hits are looked for at the same time.
         """
         c, spark = self.config.search, self.spark
         one = spark.sql("SELECT 0 AS query_id, :q AS query", {"q": q.query})
         base = self.store.version()
-        parts, matching = [], [r["term"] for r in one.select(F.explode(ranking.query_tokens("query")).alias("term")).collect()]
-        ranks = self._summed("rank_terms", self._table("rank_terms", base).where(F.col("term").isin(matching))).select(F.lit("rank").alias("field"), "term", "df")
-        sizes = self._table("sizes", base).groupBy("field").agg(F.sum("n").alias("n"), F.sum("words").alias("words"))
-        stats = sizes.select("field", F.lit(None).cast("string").alias("term"), F.col("n").alias("df"), "words").unionByName(ranks.withColumn("words", F.lit(None).cast("bigint")))
         wanted = keyword.query_terms(one)
-        if q.keyword:
-            terms = self._summed("dictionary", self._table("dictionary", base))
-            if q.fuzzy:
-                wanted = spark.createDataFrame(keyword.fuzzy_terms(self.keyword_index(), wanted, c.fuzziness).collect(), keyword.fuzzy_terms(self.keyword_index(), wanted).schema)
-            else:
-                wanted = wanted.withColumn("asked", F.col("term"))
-            asked = sorted({r["term"] for r in wanted.select("term").collect()})
-            stats = stats.unionByName(terms.where(F.col("term").isin(asked) & (F.col("field") != "any")).withColumn("words", F.lit(None).cast("bigint")))
-        rows = stats.collect()  # a few rows a term
-        found = {r["field"]: (r["df"], r["words"]) for r in rows if r["term"] is None}
-        if q.keyword and (known := [(r["field"], r["term"], r["df"], *found[r["field"]]) for r in rows if r["term"] is not None and r["field"] in found]):
+        if q.keyword and q.fuzzy:
+            near = keyword.fuzzy_terms(self.keyword_index(), wanted, c.fuzziness)
+            wanted = spark.createDataFrame(near.collect(), near.schema)
+        elif q.keyword:
+            wanted = wanted.withColumn("asked", F.col("term"))
+        terms = sorted({r["term"] for r in wanted.select("term").collect()}) if q.keyword else []
+        matching = one.select(ranking.query_tokens("query").alias("terms")).first()["terms"]
+        counted = self._counts(base, terms, matching)
+        found = {f: (counted.get(("sizes", f, None), 0), counted.get(("sizes", f, None, "words"), 0)) for f in keyword.FIELDS}
+        known = [(f, t, df, *found[f]) for t in terms for f in keyword.FIELDS if (df := counted.get(("dictionary", f, t), 0)) > 0]
+
+        def lexical() -> dict[str, float]:
+            if not known:
+                return {}
             table = spark.createDataFrame(known, "field string, term string, df bigint, n bigint, total bigint").withColumn("average", F.col("total") / F.col("n")).drop("total")
             weighed = F.broadcast(wanted.join(F.broadcast(table), "term"))  # rows of one query's terms
             postings = self._table("postings", base).where(F.col("term").isin(sorted({k[1] for k in known})))
             hits = KeywordIndex(postings, postings).hits(weighed)
             boosted = max(c.title_boost, c.phrase_boost) > 1
             scored = keyword.boosted_hits(hits, c.title_boost, c.phrase_boost) if boosted else hits.groupBy("query_id", "id").agg(F.sum(F.col("s") * F.col("times")).alias("score"))
-            parts.append(scored.orderBy(F.desc("score"), "id").limit(c.candidates).select(F.lit("keyword").alias("source"), "id", "score"))
-        if q.semantic:
-            chunks = self._table("chunks", base)
-            near = vector_search.nearest_of(chunks, [0], self._vector(q.query)[None], c.candidates, key="chunk_id")
-            parts.append(near.groupBy(F.regexp_replace("id", "_[0-9]+$", "").alias("id")).agg(F.max("score").alias("score")).select(F.lit("semantic").alias("source"), "id", "score"))
-        got = [r.asDict() for r in parts[0].unionByName(parts[1]).collect()] if len(parts) == 2 else [r.asDict() for r in parts[0].collect()] if parts else []
-        lexical = {r["id"]: r["score"] for r in got if r["source"] == "keyword"}
-        semantic = {r["id"]: r["score"] for r in got if r["source"] == "semantic"}
+            return {r["id"]: r["score"] for r in scored.orderBy(F.desc("score"), "id").limit(c.candidates).select("id", "score").collect()}
+
+        def semantic() -> dict[str, float]:
+            best: dict[str, float] = {}
+            for r in vector_search.best_of(self._table("chunks", base), self._vector(q.query), c.candidates, key="chunk_id").collect():
+                document = r["id"].rpartition("_")[0]  # chunk ids are the document's id and a number
+                best[document] = max(best.get(document, r["score"]), r["score"])
+            return best
+
+        with ThreadPoolExecutor(2) as both:
+            jobs = [both.submit(job) if on else None for job, on in ((lexical, q.keyword), (semantic, q.semantic))]
+        words, meaning = (job.result() if job else {} for job in jobs)
         least = dict(zip(("keyword", "semantic"), q.least(c)))
         fused = [
-            {"id": i, "source": s, "score": x, "keyword_score": lexical.get(i, 0.0), "semantic_score": semantic.get(i, 0.0)}
-            for s, i, x in [("keyword", i, x) for i, x in lexical.items()] + [("semantic", i, x) for i, x in semantic.items() if i not in lexical]
+            {"id": i, "source": s, "score": x, "keyword_score": words.get(i, 0.0), "semantic_score": meaning.get(i, 0.0)}
+            for s, i, x in [("keyword", i, x) for i, x in words.items()] + [("semantic", i, x) for i, x in meaning.items() if i not in words]
             if least[s] <= 0 or x >= least[s]
         ]
         fused.sort(key=lambda r: (r["source"], -r["score"], r["id"].encode()))
-        return fused, {r["term"]: r["df"] for r in rows if r["field"] == "rank"}, found.get("content", (0, 0))[0] or 0
+        return fused, {t: n for t in matching if (n := counted.get(("rank_terms", None, t), 0)) > 0}, found["content"][0]
 
     def search(self, query: SearchQuery | str, rerank: bool = False, auto_fuzzy: bool = False) -> dict:
         """One search as a response: two lists with their totals, suggestions, time taken.
