@@ -84,7 +84,9 @@ class SearchEngine:
         return {name: df.coalesce(1) if name == "sizes" else df.sortWithinPartitions("term") for name, df in signed.items()}
 
     def _stage(self, tables: dict[str, DataFrame]) -> dict[str, list[str]]:
-        return {name: [self.store.stage(name, df)] for name, df in tables.items()}
+        with ThreadPoolExecutor(4) as some:  # small tables don't wait for large ones
+            jobs = {name: some.submit(self.store.stage, name, df) for name, df in tables.items()}
+        return {name: [job.result()] for name, job in jobs.items()}
 
     def _retract(self, ids: DataFrame, base: int) -> tuple[str | None, dict[str, list[str]], DataFrame | None]:
         """Staged: the delete vector of those of the documents (id) that the version has, and what they take from the counts."""
