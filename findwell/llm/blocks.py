@@ -132,7 +132,7 @@ def _add_udf(short, marked):
     return add_up
 
 
-def with_totals(blocks: DataFrame, tokens_of, size: str, short: bool = False, marked: bool = False) -> DataFrame:
+def with_totals(blocks: DataFrame, tokens_of, size: str, short: bool = False, marked: bool = False, keep=None) -> DataFrame:
     """``blocks`` with totals: for each token of the block, how many texts of all blocks hold it.
 
     ``tokens_of(batch, i)`` gives the number of block ``i`` of a batch, its distinct token hashes in
@@ -140,13 +140,14 @@ def with_totals(blocks: DataFrame, tokens_of, size: str, short: bool = False, ma
     many tokens it has. Hashes whose lowest 16 bits are 0 may be sent ``short``. With ``marked`` a
     fourth array has for each token the sum of hashes (lowest 16 bits 0) of the block's texts that hold
     it, and the totals have the sums over all blocks: tokens held by the same texts have the same
-    mark. ``blocks`` must give the same rows each time it is read.
+    mark. ``keep`` may write the totals down and return them. ``blocks`` must give the same rows each time it is read.
     """
     amount = blocks.agg(F.sum(size)).collect()[0][0] or 0
     bits = max(4, int(np.ceil(np.log2(max(1, amount / RANGE_TOKENS)))))
     more, kind = (["marks"], ", marks binary") if marked else ([], "")
     sent = blocks.mapInArrow(_send_udf(tokens_of, bits, short), "range int, block bigint, tokens binary, counts binary" + kind)
     added = sent.groupBy("range").applyInArrow(_add_udf(short, marked), "block bigint, range int, n int, totals binary" + kind)
+    added = keep(added) if keep else added
     reply = added.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("range", "n", "totals", *more))).alias("__t"))
     field = lambda t: F.struct(t["n"].alias("n"), t["totals"].alias("counts"), *[t[m].alias(m) for m in more])
     return blocks.join(reply, "block").withColumn("totals", F.transform("__t", field)).drop("__t")

@@ -123,6 +123,38 @@ def test_records_of_common_sequences_alone_stay_within_the_budget(spark, monkeyp
     assert all(x["k"] <= 3 * x["n"] for x in each)
 
 
+def test_keys_of_common_tokens_are_few_and_candidates_are_verified_once(spark, monkeypatch):
+    """Sentences of a few patterns, as in a large collection: nearly every sequence is common, and few pairs are similar."""
+    r = random.Random(14)
+    rows = [(f"{k:03d}", None, " ".join(f"the {r.choice(WORDS[:60])} of {r.choice(WORDS[:60])} may" for _ in range(40))) for k in range(250)]
+    rows += [(f"{k:03d}x", None, rows[k][2].replace("may", "must", 1)) for k in range(8)]
+    written = {}
+
+    def keep(df, name):
+        written.setdefault(name, []).append(materialize(df, name))
+        return written[name][-1]
+
+    materialize = near_copies.materialize
+    monkeypatch.setattr(near_copies, "materialize", keep)
+    got = {(p["id_a"], p["id_b"]) for p in near_copies.near_copy_pairs(stored(spark, rows), shingle=3, threshold=0.6).collect()}
+    sizes = [len(shingles(c, 3)[0]) for _, _, c in rows]
+    assert got == near_copies_by_hand(rows, 3, 0.6) and len(got) >= 8
+    keys = sum(int(np.frombuffer(x["tokens"], dtype="<u4", count=1)[0]) for x in written["keys"][0].where("kind = -1").collect())
+    assert keys + written["keys"][0].where("kind > 0").count() <= 4 * sum(sizes)
+    assert written["pairs"][0].count() <= 2 * len(got) + 8
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", None) in (None, "false")
+
+
+def test_sketches_never_tell_of_more_than_is_missing():
+    r = np.random.default_rng(5)
+    for n, m in ((20, 30), (90, 200), (700, 500), (3, 3)):
+        common, x, y = (r.integers(1, 1 << 48, k).astype(np.uint64) << np.uint64(16) for k in (n // 2, n - n // 2, m - n // 2))
+        p, q = near_copies.missing(near_copies.sketch(np.concatenate([common, x]), n), near_copies.sketch(np.concatenate([common, y]), m))
+        assert len(x) / 2 < p <= len(x) and len(y) / 2 < q <= len(y) or n < 9
+        same = near_copies.sketch(common, n)
+        assert near_copies.missing(same, same) == (0, 0)
+
+
 # --- terms
 
 
